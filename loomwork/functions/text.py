@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once.
+
+    Catalyst puts a projection's expressions in the place of their names when it moves filters or aggregates
+    below it, so an expression that names others several times can grow without bound; a lambda's variable cannot.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"\A{WS}+|{WS}+\z", "")
 
@@ -50,8 +61,7 @@ def fullmatch(c: Column | str, pattern: str | Column) -> Column:
 
 def lines(c: Column | str) -> Column:
     """The lines of a text: a final separator opens no new line, an empty text has none."""
-    parts = F.split(col(c), LINE_SEP)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(col(c), LINE_SEP), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def count_words(c: Column | str) -> Column:
