@@ -134,7 +134,8 @@ class Encoder:
     """
 
     _kept: dict[str, Encoder] = {}
-    most = 400_000
+    #: Pieces remembered in a worker, some 150 bytes each; the memory starts anew beyond that.
+    most = 1_200_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -175,12 +176,22 @@ class Encoder:
         rest = sorted(set(range(len(texts))) - set(easy))
         if len(self.ids) > self.most:
             self.ids.clear()
-        parts = [_PIECES.findall(texts[i]) for i in easy]
-        if new := list({w for p in parts for w in p} - self.ids.keys()):
-            self._learn(new)
-        get = self.ids.__getitem__
-        for i, p in zip(easy, parts, strict=True):
-            out[i] = b"".join(map(get, p))
+        get, open_, new = self.ids.get, [], set()
+        for i in easy:
+            pieces = _PIECES.findall(texts[i])
+            ids = list(map(get, pieces))
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                new.update([pieces[k] for k in gaps])
+                open_.append((i, pieces, ids, gaps))
+            else:
+                out[i] = b"".join(ids)
+        if new:
+            self._learn(list(new))
+        for i, pieces, ids, gaps in open_:
+            for k in gaps:
+                ids[k] = self.ids[pieces[k]]
+            out[i] = b"".join(ids)
         if rest:
             for i, e in zip(rest, self.lib.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, dtype="<u4").tobytes()
