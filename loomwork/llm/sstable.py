@@ -85,8 +85,9 @@ def _bloom_places(key: bytes, bits: int, k: int) -> list[int]:
 class ShardWriter:
     """Entries come in key order; equal keys are allowed. Holds one block and the keys' Bloom hashes."""
 
-    def __init__(self, sink, *, block_bytes: int = 64 << 10, bits_per_key: int = 10, level: int = 1) -> None:
-        self.sink, self.block_bytes, self.bits_per_key, self.level = sink, block_bytes, bits_per_key, level
+    def __init__(self, sink, *, block_bytes: int = 64 << 10, bits_per_key: int = 10) -> None:
+        self.sink, self.block_bytes, self.bits_per_key = sink, block_bytes, bits_per_key
+        self.codec = pa.Codec("zstd", compression_level=1)
         self.at = self.entries = self.ids = 0
         self.index: list[tuple[bytes, int, int, int]] = []
         self.hashes: list[int] = []
@@ -114,7 +115,8 @@ class ShardWriter:
 
     def flush(self) -> None:
         if self.n:
-            data = zlib.compress(self.buf.getvalue(), self.level)
+            plain = self.buf.getvalue()
+            data = _varint(len(plain)) + self.codec.compress(plain, asbytes=True)
             self.sink.write(data)
             self.index.append((self.first, self.at, len(data), self.n))
             self.at += len(data)
@@ -165,7 +167,9 @@ class Shard:
 
     def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         _, o, s, n = self.blocks[i]
-        data, at, key = zlib.decompress(self._part(o, s)), 0, b""
+        stored, key = self._part(o, s), b""
+        size, at = _read_varint(stored, 0)
+        data, at = pa.Codec("zstd").decompress(stored[at:], decompressed_size=size, asbytes=True), 0
         for _ in range(n):
             shared, at = _read_varint(data, at)
             more, at = _read_varint(data, at)
