@@ -33,7 +33,20 @@ from loomwork.llm.components import skew_join
 from loomwork.llm.textkit import lower_ascii, pick, settle, ship, sub_batches
 
 LEAD = 4
-_FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]").search
+
+
+class _Short(dict):
+    """token -> 16 bits of its hash, remembered while there are few."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[token] = xxhash.xxh64_intdigest(token) & 0xFFFF
+        return h
+
+
+_SHORT = _Short()
 
 
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
@@ -49,13 +62,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, names = xxhash.xxh64_intdigest, ["rk", "doc_id", "line", "leaf", "around", "at", "tokens"]
-        kept: dict[bytes, int] = {}
         for b in sub_batches(batches):
             cols: list[list] = [[] for _ in names]
             for rk, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 seen: dict[int, tuple[list[int], list[bytes]]] = {}
                 for i, raw in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    tokens = _FIELD.sub(b"<*>", lower_ascii(raw)).split()
+                    tokens = lower_ascii(raw).split()
+                    if _DIGIT(raw):
+                        tokens = [b"<*>" if _DIGIT(t) else t for t in tokens]
                     if tokens:
                         seen.setdefault(_signed(digest(b" ".join(tokens))), ([], tokens))[0].append(i)
                 if not seen:
@@ -68,14 +82,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     leaf = sig = None
                     if len(tokens) > LEAD:
                         leaf = _signed(digest(b" ".join((str(len(tokens)).encode(), *tokens[:LEAD])), 1))
-                        if len(kept) > 400_000:
-                            kept.clear()
-                        out = []
-                        for t in tokens:
-                            if t not in kept:
-                                kept[t] = digest(t) & 0xFFFF
-                            out.append(kept[t])
-                        sig = np.array(out, dtype="<u2").tobytes()
+                        sig = np.fromiter(map(_SHORT.__getitem__, tokens), dtype="<u2", count=len(tokens)).tobytes()
                     for c, v in zip(cols, (rk, doc, h, leaf, _signed(digest(f"{low} {high}")), at, sig), strict=True):
                         c.append(v)
             types = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.binary()]
