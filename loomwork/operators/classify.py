@@ -75,24 +75,29 @@ def classify(df: DataFrame, prompt: str = "prompt", answer: str = "answer") -> D
 def parse(df: DataFrame, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
     """Adds task_type, examples (array of input_value, output_value), question, category and error (null where none)."""
     p = F.col(prompt)
-    df = df.withColumn("task_type", detect(prompt))
-    task = F.col("task_type")
 
     def pairs(pattern: str) -> Column:
-        return F.arrays_zip(F.regexp_extract_all(p, F.lit(pattern), 1).alias("input_value"), F.regexp_extract_all(p, F.lit(pattern), 2).alias("output_value"))
+        both = F.arrays_zip(F.regexp_extract_all(p, F.lit(pattern), 1).alias("a"), F.regexp_extract_all(p, F.lit(pattern), 2).alias("b"))
+        return F.transform(both, lambda e: F.struct(e["a"].alias("input_value"), e["b"].alias("output_value")))
 
     def cut(mark: str, skip_query: bool) -> Column:
         kept = F.filter(lines(p), lambda x: F.contains(x, F.lit(mark)) & (~F.startswith(x, F.lit("Now,")) if skip_query else F.lit(True)))
         left = lambda x: F.substring_index(x, mark, 1)
         return F.transform(kept, lambda x: F.struct(strip(left(x)).alias("input_value"), strip(F.substring(x, F.char_length(left(x)) + len(mark) + 1, F.char_length(x))).alias("output_value")))
 
-    as_pairs = lambda c: F.transform(c, lambda e: F.struct(e["input_value"].alias("input_value"), e["output_value"].alias("output_value")))
-    examples = (
-        F.when(task.isin("numeral", "cipher"), cut(" -> ", False)).when(task == "symbolic_transform", cut(" = ", True))
-        .when(task == "bit_manipulation", as_pairs(pairs(G.PAIRS["bit_manipulation"]))).when(task == "gravity", as_pairs(pairs(G.PAIRS["gravity"]))).when(task == "unit_conversion", as_pairs(pairs(G.PAIRS["unit_conversion"])))
-    )
-    question = F.nullif(F.coalesce(*[F.when(task == t, F.regexp_extract(p, q, 1)) for t, q in G.QUESTION.items()]), F.lit(""))
-    df = df.withColumn("examples", examples).withColumn("question", strip(question)).withColumn("answer", strip(answer))
-    error = F.when(task.isNull(), "unknown_task_type").when(F.col("question").isNull(), F.concat(task, F.lit(":missing_question"))).when(F.size("examples") == 0, F.concat(task, F.lit(":missing_examples")))
-    category = F.when(task != "symbolic_transform", task).when(fullmatch("question", r"\d+\D\d+"), "equation_numeric").otherwise("cryptarithm")
-    return df.withColumn("error", error).withColumn("category", F.when(error.isNull(), category))
+    def parsed(task: Column) -> Column:
+        examples = (
+            F.when(task.isin("numeral", "cipher"), cut(" -> ", False)).when(task == "symbolic_transform", cut(" = ", True))
+            .when(task == "bit_manipulation", pairs(G.PAIRS["bit_manipulation"])).when(task == "gravity", pairs(G.PAIRS["gravity"])).when(task == "unit_conversion", pairs(G.PAIRS["unit_conversion"]))
+        )
+        question = strip(F.nullif(F.coalesce(*[F.when(task == t, F.regexp_extract(p, q, 1)) for t, q in G.QUESTION.items()]), F.lit("")))
+
+        def judged(e: Column, q: Column) -> Column:
+            error = F.when(task.isNull(), "unknown_task_type").when(q.isNull(), F.concat(task, F.lit(":missing_question"))).when(F.size(e) == 0, F.concat(task, F.lit(":missing_examples")))
+            category = F.when(task != "symbolic_transform", task).when(fullmatch(q, r"\d+\D\d+"), "equation_numeric").otherwise("cryptarithm")
+            return let(error, lambda x: F.struct(task.alias("task_type"), e.alias("examples"), q.alias("question"), x.alias("error"), F.when(x.isNull(), category).alias("category")))
+
+        return let(examples, lambda e: let(question, lambda q: judged(e, q)))
+
+    df = df.withColumn("__p", let(detect(prompt), parsed)).withColumn("answer", strip(answer))
+    return df.withColumns({c: F.col(f"__p.{c}") for c in ("task_type", "examples", "question", "error", "category")}).drop("__p")

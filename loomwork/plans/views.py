@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.functions import grammar as G
+from loomwork.functions.session import settle
 from loomwork.plans.registry import table
 
 _ALPHA = "abcdefghijklmnopqrstuvwxyz"
@@ -92,7 +93,8 @@ PROBLEMS_BAD = f"{PROBLEMS}, problems_bad AS ({_bad('duckdb')})"
 
 
 def problems(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(_sql("spark").replace("FROM part)", "FROM {part})"), part=table(spark, d, "part"))
+    # Settled, as a table of prompts would be: else every use of a prompt repeats the expression that prints it.
+    return settle(spark.sql(_sql("spark").replace("FROM part)", "FROM {part})"), part=table(spark, d, "part")))
 
 
 def problems_bad(spark: SparkSession, d: str) -> DataFrame:
