@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import ascii_words, lower_ascii, pick, settle, ship, sub_batches, word_hashes
+from loomwork.llm.textkit import lower_ascii, mix64, pick, settle, ship, sub_batches
 
 #: Context bits of the predictors: two bytes, four bytes, the word so far.
 BITS = (16, 17, 17)
@@ -57,7 +58,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, m in enumerate((_M, _M_INV)):
-            p = np.full(max(n, 1 << 20), m, dtype=np.uint64)
+            p = np.full(n + (1 << 18), m, dtype=np.uint64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1][:n]
@@ -86,6 +87,29 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return buf[at], sizes, [two, four, word]
 
 
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts (words, and one end a text), and how many each text has.
+
+    A word's hash is a polynomial of its bytes, read off running sums: no word becomes an object of its own.
+    """
+    buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    power, inverse = _power_tables(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
+    blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    words = mix64((total[ends] - total[starts]) * inverse[starts])
+    cuts = np.searchsorted(starts, np.cumsum(sizes + 1) + 1)
+    n_tokens = np.diff(cuts, prepend=0) + 1
+    tokens = np.full(int(n_tokens.sum()), np.uint64(_END_HASH))
+    inner = np.ones(len(tokens), dtype=bool)
+    inner[np.cumsum(n_tokens) - 1] = False
+    tokens[inner] = words
+    return tokens, n_tokens
+
+
 def huffman(counts: np.ndarray) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
     """Children of each inner node (a leaf b as b, an inner node k as 256 + k), and each byte's path of (node, bit)."""
     heap = [(int(c) + 1, b) for b, c in enumerate(counts)]
@@ -111,12 +135,13 @@ def _train(docs: DataFrame) -> DataFrame:
     """(kind, part, data): a byte histogram and, by predictor and part of its contexts, the counts of (context, byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(texts: list[bytes]) -> pa.RecordBatch:
+        def counted(keys: list[list[np.ndarray]]) -> pa.RecordBatch:
             out: list[tuple[int, int, bytes]] = []
-            coded, _, ctx = contexts(texts)
-            out.append((-1, 0, np.bincount(coded, minlength=256).astype("<i8").tobytes()))
-            for k, c in enumerate(ctx):
-                key = np.sort(c << np.uint32(8) | coded)
+            for k in range(len(BITS)):
+                key = np.sort(np.concatenate(keys[k]))
+                keys[k] = []
+                if k == 0:
+                    out.append((-1, 0, np.bincount((key & np.uint32(255)).astype(np.uint8), minlength=256).astype("<i8").tobytes()))
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 n = np.diff(np.append(first, len(key))).astype("<u4")
                 key = key[first].astype("<u4")
@@ -130,16 +155,19 @@ def _train(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["kind", "part", "data"])
 
-        texts, size = [], 0
-        for b in sub_batches(batches):
-            for t in b.column(1).to_pylist():
-                texts.append(lower_ascii(t.encode("utf-8", "surrogatepass")))
-                size += len(texts[-1])
-                if size > 8 << 20:
-                    yield counted(texts)
-                    texts, size = [], 0
-        if texts:
-            yield counted(texts)
+        Model.forget()
+        keys: list[list[np.ndarray]] = [[] for _ in BITS]
+        size = 0
+        for b in sub_batches(batches, 1 << 20):
+            coded, _, ctx = contexts([lower_ascii(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()])
+            for k, c in enumerate(ctx):
+                keys[k].append(c << np.uint32(8) | coded)
+            size += len(coded)
+            if size > 4 << 20:
+                yield counted(keys)
+                keys, size = [[] for _ in BITS], 0
+        if size:
+            yield counted(keys)
 
     return docs.mapInArrow(run, "kind int, part int, data binary")
 
@@ -174,6 +202,21 @@ def _merge(parts: DataFrame, children: list[tuple[int, int]]) -> DataFrame:
 class Model:
     """Tables and tree; log10 probabilities of texts."""
 
+    _kept: dict[str, Model] = {}
+
+    @classmethod
+    def forget(cls) -> None:
+        """A worker that counts needs no model of an earlier call."""
+        cls._kept.clear()
+
+    @classmethod
+    def of(cls, key: str, *args) -> Model:
+        """One model a worker process: it is built once, not by every task."""
+        if key not in cls._kept:
+            cls._kept.clear()
+            cls._kept[key] = cls(*args)
+        return cls._kept[key]
+
     def __init__(self, paths: list[list[tuple[int, int]]], tables: dict[tuple[int, int], bytes], weights: tuple, rate: float, refine: float) -> None:
         self.length = np.array([len(p) for p in paths], dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
@@ -211,36 +254,64 @@ class Model:
         return nats / math.log(10)
 
     def _block(self, coded: np.ndarray, ctx: list[np.ndarray], pos: np.ndarray, doc: np.ndarray, w: np.ndarray, curve: np.ndarray, nats: np.ndarray, n: int) -> None:
-        b = coded[pos]
-        length = self.length[b]
+        b = coded.take(pos)
+        length = self.length.take(b)
         ends = np.cumsum(length)
-        flat = np.repeat(self.start[b] - (ends - length), length) + np.arange(ends[-1])
-        node, bit = self.node[flat], self.bit[flat]
-        owner = np.repeat(doc, length)
-        odds, mixed = [], np.zeros(len(flat), dtype=np.float32)
+        begins = ends - length
+        which = np.repeat(np.arange(len(pos)), length)
+        flat = (self.start.take(b) - begins).take(which)
+        flat += np.arange(ends[-1])
+        node, bit = self.node.take(flat), self.bit.take(flat)
+        owner = doc.take(which)
+        odds = []
         for k, table in enumerate(self.tables):
-            s = table[np.repeat(ctx[k][pos] << np.uint32(8), length) | node].astype(np.float32)
+            at = (ctx[k].take(pos) << np.uint32(8)).take(which)
+            at |= node
+            s = table.take(at).astype(np.float32)
             s *= np.float32(1 / SCALE)
             odds.append(s)
-        gate = owner * GATES + self.gate[flat] + (odds[-1] != 0)
-        for k, s in enumerate(odds):
-            mixed += w[k][gate] * s
+        gate = owner * GATES
+        gate += self.gate.take(flat)
+        gate += odds[-1] != 0
+        mixed = w[0].take(gate)
+        mixed *= odds[0]
+        for k in range(1, len(odds)):
+            part = w[k].take(gate)
+            part *= odds[k]
+            mixed += part
         np.clip(mixed, -9, 9, out=mixed)
-        p = 1 / (1 + np.exp(-mixed))
-        place = owner * BUCKETS + np.clip(np.rint(mixed / np.float32(0.75) + (BUCKETS - 1) / 2), 0, BUCKETS - 1).astype(np.int64)
-        q = (3 * p + curve[place]) * np.float32(0.25)
-        nats += np.bincount(owner, np.log(np.where(bit > 0, q, 1 - q)), minlength=n)
+        p = np.exp(-mixed)
+        p += 1
+        np.reciprocal(p, out=p)
+        mixed *= np.float32(1 / 0.75)
+        mixed += np.float32(BUCKETS / 2)  # truncation below rounds to the nearest centre
+        place = mixed.astype(np.int64)
+        np.clip(place, 0, BUCKETS - 1, out=place)
+        owner *= BUCKETS
+        place += owner
+        q = curve.take(place)
+        q *= np.float32(0.25)
+        q += p * np.float32(0.75)
+        q += bit
+        q -= 1  # of the bit that came, but for the sign
+        np.abs(q, out=q)
+        np.log(q, out=q)
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        nats[doc[first]] += np.add.reduceat(q, begins[first], dtype=np.float64)
         # What this block teaches the next one.
-        miss = bit - p
-        seen = np.bincount(gate, minlength=n * GATES)
+        place *= 2
+        place += bit > 0
+        counts = np.bincount(place, minlength=2 * len(curve)).reshape(-1, 2)
+        hits = counts.sum(axis=1)
+        curve += ((counts[:, 1] - hits * curve) / (hits + self.refine)).astype(np.float32)
+        np.clip(curve, 1e-4, 1 - 1e-4, out=curve)
+        seen = np.repeat(hits.reshape(n, BUCKETS).sum(axis=1) / GATES, GATES)
         step = (self.rate / np.maximum(np.sqrt(seen), 1)).astype(np.float32)
+        np.subtract(bit, p, out=p)
         for k, s in enumerate(odds):
-            w[k] += step * np.bincount(gate, miss * s, minlength=n * GATES).astype(np.float32)
+            s *= p
+            w[k] += step * np.bincount(gate, s, minlength=n * GATES).astype(np.float32)
             np.clip(w[k], -0.5, 2.0, out=w[k])
-        hits = np.bincount(place, minlength=len(curve))
-        ones = np.bincount(place, bit, minlength=len(curve))
-        curve += ((ones - hits * curve) / (hits + self.refine)).astype(np.float32)
-        np.clip(curve, 1e-4, 1 - 1e-4, out=curve)
 
 
 def _token_counts(train: DataFrame) -> DataFrame:
@@ -252,10 +323,9 @@ def _token_counts(train: DataFrame) -> DataFrame:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-        for b in sub_batches(batches):
-            for t in b.column(1).to_pylist():
-                held.append(np.append(word_hashes(ascii_words(t)), np.uint64(_END_HASH)))
-                size += len(held[-1])
+        for b in sub_batches(batches, 1 << 20):
+            held.append(token_hashes([lower_ascii(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()])[0])
+            size += len(held[-1])
             if size > 4_000_000:
                 yield counted()
                 held, size = [], 0
@@ -294,36 +364,33 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
     shared = spark.sparkContext.broadcast((paths, tables, slot_key, slot_c))
     floor = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
     bottom = total + 0.1 * (distinct + 1)
-    models: dict[str, Model] = {}
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, tables, key, c = shared.value
-        model = models.setdefault("one", Model(paths, tables, weights, rate, refine)) if not models else models["one"]
+        model = Model.of(name, paths, tables, weights, rate, refine)
         logs = np.where(c > 0, np.log10((c + 0.1) / bottom), 0.0)
         names = ["rk", "h", "tf", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
         for b in sub_batches(batches, 1 << 20):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            scores = model.log10([lower_ascii(t.encode("utf-8", "surrogatepass")) for t in texts])
-            rows, cold_k, cold_h, cold_n = [], [], [], []
-            for doc, text, s in zip(ids, texts, scores, strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                rk = xxhash.xxh64_intdigest(data, xxhash.xxh32_intdigest(str(doc))) - (1 << 63)
-                words = np.append(word_hashes(ascii_words(text)), np.uint64(_END_HASH))
-                at = (words % np.uint64(SLOTS)).astype(np.int64)
-                known = key[at] == words
-                known &= c[at] > 0
-                h, n = np.unique(words[~known], return_counts=True)
-                cold_h.append(h)
-                cold_n.append(n)
-                cold_k.append(np.full(len(h), rk, dtype=np.int64))
-                rows.append((rk, rk ^ 0x5DEECE66D, 0, doc, len(words), int(known.sum()), float(logs[at[known]].sum()), float(s), len(data) + 1))
-            cols = [list(x) for x in zip(*rows, strict=True)]
+            data = [t.encode("utf-8", "surrogatepass") for t in texts]
+            low = [lower_ascii(t) for t in data]
+            scores = model.log10(low)
+            rk = np.array([xxhash.xxh64_intdigest(t, xxhash.xxh32_intdigest(str(doc))) for doc, t in zip(ids, data, strict=True)], dtype=np.uint64).view(np.int64)
+            tokens, n_tokens = token_hashes(low)
+            owner = np.repeat(np.arange(len(ids)), n_tokens)
+            at = (tokens % np.uint64(SLOTS)).astype(np.int64)
+            known = (key.take(at) == tokens) & (c.take(at) > 0)
+            sums = np.bincount(owner, np.where(known, logs.take(at), 0.0), minlength=len(ids))
+            hot = np.bincount(owner, known, minlength=len(ids)).astype(np.int64)
+            cols = [rk, rk ^ 0x5DEECE66D, np.zeros(len(ids), dtype=np.int64), b.column(0), n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])]
             types = [pa.int64()] * 6 + [pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
-            k, h, n = np.concatenate(cold_k), np.concatenate(cold_h), np.concatenate(cold_n)
-            if len(k):
-                none = [pa.nulls(len(k), t) for t in types[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), *none], names=names)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
+            # Tokens that are not hot meet their counts in the cluster, a row each.
+            cold = np.flatnonzero(~known)
+            if len(cold):
+                none = [pa.nulls(len(cold), t) for t in types[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.array(np.ones(len(cold), dtype=np.int64)), *none], names=names)
 
     rows = docs.mapInArrow(run, "rk long, h long, tf long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long")
     met = rows.join(counts, "h", "left")
