@@ -2,9 +2,10 @@
 
 A document's strength is linear in features of its text. Labelled rows give preference pairs (one document of
 label 1, one of label 0); the weights minimise the logistic loss of the pairs' feature differences, so no
-intercept is learned. Documents whose strength lies below a low quantile of the preferred documents'
-strengths are rejected: ``score`` is a logistic curve through ``cut`` (0.3) at that quantile, its slope fitted
-to the labels, so ``score >= cut`` says the same as ``strength >= quantile``.
+intercept is learned. Documents are rejected whose strength lies below a low quantile of the preferred documents'
+strengths (halfway to the high quantile of the others, where the two classes lie apart). ``score`` is a logistic
+curve through ``cut`` (0.3) at that strength, its slope fitted to the labels, so ``score >= cut`` says the same as
+``strength >= threshold``.
 
 Only weights are learned on a bounded sample: at most ``max_rows`` labelled rows (the first by a hash of
 their id) and ``max_pairs`` pairs. Features and scores cover every document and its whole text.
@@ -88,7 +89,9 @@ def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = 200_000, ridge: float
         if np.abs(step).max() < 1e-6:
             break
     s = z @ w
-    at = float(np.quantile(s[good], quantile))
+    # The cut is a low quantile of the preferred strengths; where it lies clear of the others' high quantile, halfway.
+    at, other = float(np.quantile(s[good], quantile)), float(np.quantile(s[bad], 1 - quantile))
+    at = (at + other) / 2 if other < at else at
     a, b = 1.0, 0.0
     centre, width = s.mean(), max(s.std(), 1e-6)
     t = (s - centre) / width
