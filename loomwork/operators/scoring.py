@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +81,6 @@ def json_success(df: DataFrame, prediction: str, expected: str, out: str) -> Dat
     """Adds out: the prediction is JSON as Python reads it, and equals the expected JSON text where there is one."""
     import json
 
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def judged(p: pd.Series, e: pd.Series) -> pd.Series:
         def one(a: str | None, b: str | None) -> bool:
