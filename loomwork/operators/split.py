@@ -149,3 +149,21 @@ def redistribute(quotas: dict[str, int], shortfall: int) -> dict[str, int]:
     largest = max(out, key=lambda k: out[k])
     out[largest] += target - sum(out.values())
     return out
+
+
+def twister_order(df: DataFrame, order: str, seed: int, most: int = 5_000_000) -> DataFrame:
+    """place: 0, 1, ... as Python's random.Random(seed).shuffle would put the rows, taken in the given order.
+
+    For parity with shuffles made elsewhere. The driver permutes row numbers only, so the table is bounded by ``most``.
+    """
+    import random
+
+    from loomwork.operators.chat import with_rank
+
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows exceed {most}; use shuffle_key")
+    shuffled = list(range(n))
+    random.Random(seed).shuffle(shuffled)
+    places = df.sparkSession.createDataFrame([(r + 1, p) for p, r in enumerate(shuffled)], "rank long, place long")
+    return with_rank(df, order).join(places, "rank").drop("rank")

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import bits as B
 from loomwork.functions import thinking as Th
+from loomwork.functions import url as U
+from loomwork.functions.text import token_estimate
 from loomwork.operators import generate as Gn
+from loomwork.operators import mixture as Mx
 from loomwork.operators import reason as R
 from loomwork.operators import records as Rec
 from loomwork.plans import views as V
+from loomwork.plans.core_queries import TOKENS
 from loomwork.plans.problem_queries import _SCORED, _scored
 from loomwork.plans.registry import query, table
 from loomwork.plans.training_queries import _solved
@@ -85,3 +89,29 @@ def prompts_built(spark: SparkSession, d: str) -> DataFrame:
     """Both prompt forms and the evaluation prompt of each problem."""
     p = V.problems(spark, d)
     return p.select("pid", R.answer_prompt("prompt").alias("answer_only"), R.cot_prompt("prompt").alias("cot"), F.concat("prompt", F.lit("\n\nAnswer:")).alias("evaluation"), Th.build(F.lit("r"), "answer").alias("completion"))
+
+
+@query(f"WITH {V.PROBLEMS} SELECT pid, {TOKENS.format('prompt')} AS prompt_tokens, {TOKENS.format('answer')} AS answer_tokens, {TOKENS.format("(prompt || chr(10) || chr(10) || 'Answer: ' || answer)")} AS full_tokens FROM problems")
+def token_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of prompt, answer and the full text, which is counted by itself."""
+    full = F.concat("prompt", F.lit("\n\nAnswer: "), "answer")
+    return V.problems(spark, d).select("pid", token_estimate("prompt").alias("prompt_tokens"), token_estimate("answer").alias("answer_tokens"), token_estimate(full).alias("full_tokens"))
+
+
+@query("""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://user:pw@') WHEN page_id % 3 = 1 THEN replace(url, '://', ':/') ELSE url END AS url FROM pages)
+    SELECT page_id, regexp_matches(lower(url), '^(http|https|socks5|socks5h)://[^/?#]+') AS valid, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@', '\\1') AS redacted,
+        nullif(lower(regexp_extract(url, '^[^:]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host FROM u""")
+def url_redaction(spark: SparkSession, d: str) -> DataFrame:
+    k, u = F.col("page_id") % 3, F.col("url")
+    url = F.when(k == 0, F.replace(u, F.lit("://"), F.lit("://user:pw@"))).when(k == 1, F.replace(u, F.lit("://"), F.lit(":/"))).otherwise(u)
+    rows = table(spark, d, "pages").select("page_id", url.alias("url"))
+    return rows.select("page_id", U.valid(F.col("url")).alias("valid"), U.redact(F.col("url")).alias("redacted"), U.host(F.col("url")).alias("host"))
+
+
+_MIX = {"train": {"simple_math_thinking": 60, "comparison_thinking": 40, "binary_only": 30}, "validation": {"simple_math_thinking": 10, "comparison_thinking": 10, "binary_only": 5}}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}', {q}::BIGINT, {q}::BIGINT)" for s, of in _MIX.items() for c, q in of.items()) + ") v(split, category, n, n_prompts)")
+def mixture_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Generated pools, filled under quotas with global dedup: every quota met, no prompt twice."""
+    return Mx.stats(Mx.assemble(Mx.pools(spark, _MIX), _MIX)).select("split", "category", "n", "n_prompts")

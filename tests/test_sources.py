@@ -68,3 +68,47 @@ def test_stream(spark, tmp_path):
     start(validated(stream, "prompt", "ts"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r.hash for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r.hash for r in validated(df, "prompt", "ts").collect())
     assert windowed_counts(df, "ts", "prompt").count() == 4
+
+
+def test_splits_manifest_and_reports(spark, tmp_path):
+    from loomwork.sources import sinks
+
+    df = spark.createDataFrame([(i, f"id{i}", "train" if i % 3 else "test", None if i else "bad") for i in range(9)], "_ord long, id string, split string, error string")
+    sinks.write_splits(df, str(tmp_path / "s"), ("id",))
+    lines = [x for p in sorted((tmp_path / "s" / "split=train").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [f'{{"id":"id{i}"}}' for i in (1, 2, 4, 5, 7, 8)]
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_splits(df, str(tmp_path / "s"), ("id",))
+    m = sinks.write_manifest(df, str(tmp_path / "m.json"), "split", "id", 42)
+    assert json.loads((tmp_path / "m.json").read_text()) == m and m["splits"]["test"]["n"] == 3
+    with pytest.raises(ValueError, match="1 invalid"):
+        sinks.require(df, "error", str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text())["errors"] == {"bad": 1}
+    assert sinks.require(df.filter("error is null"), "error", "unused").count() == 8
+    assert sinks.exclusions({"max_length": 5, "splits": {"train": {"excluded_ids": ["a"]}}}, 5) == {"train": ["a"]}
+    with pytest.raises(ValueError, match="max_length"):
+        sinks.exclusions({"max_length": 5}, 6)
+    p = spark.createDataFrame([("a", True), ("b", False)], "id string, primary_correct boolean")
+    sinks.write_evaluation(p, str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e" / "error_cases")).count() == 1
+
+
+def test_overrides():
+    from loomwork.functions.config import override
+
+    c = {"a": {"b": 1}, "t": "x"}
+    assert override(c, ["a.b=2.5", "t=y"]) == {"a": {"b": 2.5}, "t": "y"} and c["a"]["b"] == 1
+    for bad in ("a.c=1", "z=1", "a.b.c=1"):
+        with pytest.raises(KeyError):
+            override(c, [bad])
+
+
+def test_twister_order_is_pythons_shuffle(spark):
+    import random
+
+    from loomwork.operators.split import twister_order
+
+    want = list(range(50))
+    random.Random(7).shuffle(want)
+    rows = twister_order(spark.range(50).repartition(5), "id", 7).orderBy("place").collect()
+    assert [r.id for r in rows] == want
