@@ -12,7 +12,7 @@ Learning in a document goes by blocks: decisions of a block use what the blocks
 blocks grow from 256 to 4096 bytes, so that numpy codes many documents side by side.
 
 The tables hold counts of all training texts. Context tables have a fixed size, a parameter (2**16 and
-2**17 contexts of 256 nodes, one byte each: 80 MB in a worker), so what is broadcast has a proven bound. Token
+2**18 contexts of 256 nodes, one byte each: 144 MB in a worker), so what is broadcast has a proven bound. Token
 counts (for base_score) have no bound and stay in the cluster: tokens with at least a 262144th of all
 occurrences are at most 262144 and broadcast; all others meet their counts in a shuffle join.
 
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +35,14 @@ from pyspark.sql import functions as F
 from loomwork.llm.textkit import lower_ascii, mix64, pick, settle, ship, sub_batches
 
 #: Context bits of the predictors: two bytes, four bytes, the word so far.
-BITS = (16, 17, 17)
+BITS = (16, 18, 18)
 CHUNKS = 64
 SCALE = 16.0
 PRIOR = 0.1
 PAD = 4
 GATES = 8
 #: Weights that every document starts with: where the word so far is unknown, and where it is known.
-START = ((0.3, 0.7, 0.0), (0.3, 0.5, 0.3))
+START = ((0.2, 0.9, 0.0), (0.15, 0.55, 0.4))
 BUCKETS = 24
 HOT = 1 << 18
 SLOTS = 1 << 20
@@ -132,16 +131,17 @@ def huffman(counts: np.ndarray) -> tuple[list[tuple[int, int]], list[list[tuple[
 
 
 def _train(docs: DataFrame) -> DataFrame:
-    """(kind, part, data): a byte histogram and, by predictor and part of its contexts, the counts of (context, byte)."""
+    """(kind, part, n, data): for kind -1 the count n of byte part; by predictor and part of its contexts, the counts of (context, byte)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(keys: list[list[np.ndarray]]) -> pa.RecordBatch:
-            out: list[tuple[int, int, bytes]] = []
+            out: list[tuple[int, int, int | None, bytes | None]] = []
             for k in range(len(BITS)):
                 key = np.sort(np.concatenate(keys[k]))
                 keys[k] = []
                 if k == 0:
-                    out.append((-1, 0, np.bincount((key & np.uint32(255)).astype(np.uint8), minlength=256).astype("<i8").tobytes()))
+                    histogram = np.bincount((key & np.uint32(255)).astype(np.uint8), minlength=256)
+                    out += [(-1, int(b), int(histogram[b]), None) for b in np.flatnonzero(histogram)]
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 n = np.diff(np.append(first, len(key))).astype("<u4")
                 key = key[first].astype("<u4")
@@ -151,11 +151,11 @@ def _train(docs: DataFrame) -> DataFrame:
                     if cuts[p] < cuts[p + 1]:
                         part = slice(cuts[p], cuts[p + 1])
                         steps = np.diff(key[part], prepend=np.uint32(p) * width).astype("<u4")
-                        out.append((k, p, pa.compress(steps.tobytes() + n[part].tobytes(), codec="zstd", asbytes=True) + len(steps).to_bytes(4, "little")))
+                        out.append((k, p, None, pa.compress(steps.tobytes() + n[part].tobytes(), codec="zstd", asbytes=True) + len(steps).to_bytes(4, "little")))
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["kind", "part", "data"])
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "part", "n", "data"])
 
-        Model.forget()
         keys: list[list[np.ndarray]] = [[] for _ in BITS]
         size = 0
         for b in sub_batches(batches, 1 << 20):
@@ -169,7 +169,7 @@ def _train(docs: DataFrame) -> DataFrame:
         if size:
             yield counted(keys)
 
-    return docs.mapInArrow(run, "kind int, part int, data binary")
+    return docs.mapInArrow(run, "kind int, part int, n long, data binary")
 
 
 def _merge(parts: DataFrame, children: list[tuple[int, int]]) -> DataFrame:
@@ -196,27 +196,12 @@ def _merge(parts: DataFrame, children: list[tuple[int, int]]) -> DataFrame:
                 table[:, node] = np.clip(np.rint(np.log((one + PRIOR) / (zero + PRIOR)) * SCALE), -127, 127)
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([pa.compress(table.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["kind", "part", "table"])
 
-    return parts.filter("kind >= 0").repartition(n, "kind", "part").mapInArrow(run, "kind int, part int, table binary")
+    return parts.filter("kind >= 0").select("kind", "part", "data").repartition(n, "kind", "part").mapInArrow(run, "kind int, part int, table binary")
 
 
 class Model:
     """Tables and tree; log10 probabilities of texts."""
 
-    _kept: dict[str, Model] = {}
-
-    @classmethod
-    def forget(cls) -> None:
-        """A worker that counts needs no model of an earlier call."""
-        cls._kept.clear()
-
-    @classmethod
-    def of(cls, key: str, *args) -> Model:
-        """One model a worker process: it is built once, not by every task."""
-        if key not in cls._kept:
-            cls._kept.clear()
-            cls._kept[key] = cls(*args)
-        return cls._kept[key]
-
     def __init__(self, paths: list[list[tuple[int, int]]], tables: dict[tuple[int, int], bytes], weights: tuple, rate: float, refine: float) -> None:
         self.length = np.array([len(p) for p in paths], dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
@@ -357,18 +342,17 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
 
     parts = settle(_train(train))
     histogram = np.zeros(256, dtype=np.int64)
-    for (data,) in parts.filter("kind < 0").select("data").toLocalIterator():
-        histogram += np.frombuffer(data, "<i8")
+    for byte, n in parts.filter("kind < 0").groupBy("part").agg(F.sum("n")).collect():
+        histogram[byte] = n
     children, paths = huffman(histogram)
     tables = {(k, p): bytes(t) for k, p, t in _merge(parts, children).collect()}
     shared = spark.sparkContext.broadcast((paths, tables, slot_key, slot_c))
     floor = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
     bottom = total + 0.1 * (distinct + 1)
-    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths, tables, key, c = shared.value
-        model = Model.of(name, paths, tables, weights, rate, refine)
+        model = Model(paths, tables, weights, rate, refine)  # a task's own: idle workers should hold no tables
         logs = np.where(c > 0, np.log10((c + 0.1) / bottom), 0.0)
         names = ["rk", "h", "tf", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
         for b in sub_batches(batches, 1 << 20):
