@@ -29,11 +29,15 @@ def mask(messages: Column | str = "messages") -> Column:
 
 def spans(mask: Column) -> Column:
     """(start, end) of each run of ones."""
-    at = lambda i: F.coalesce(F.get(mask, i), F.lit(0))
-    every = F.sequence(F.lit(0), F.greatest(F.size(mask) - 1, F.lit(0)))
-    starts = F.filter(every, lambda i: (at(i) == 1) & (at(i - 1) == 0))
-    ends = F.filter(every, lambda i: (at(i) == 1) & (at(i + 1) == 0))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    def runs(m: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(m, i), F.lit(0))
+        every = F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0)))
+        starts = F.filter(every, lambda i: (at(i) == 1) & (at(i - 1) == 0))
+        ends = F.filter(every, lambda i: (at(i) == 1) & (at(i + 1) == 0))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    return let(mask, runs)
 
 
 def boundaries_ok(spans: Column, ids: Column, end: Column) -> Column:
@@ -46,24 +50,28 @@ def audit_arrays(df: DataFrame, max_length: int, *, ids: str = "input_ids", mask
     if max_length <= 0:
         raise ValueError("max_length must be positive")
     end = F.lit(END) if end is None else end
-    df = df.withColumn("__spans", spans(F.col(masks)))
-    n, s = F.size(ids), F.col("__spans")
-    kept = F.slice(F.col(masks), 1, max_length)
     supervised = lambda m: F.aggregate(m, F.lit(0), lambda a, x: a + x).cast("long")
-    error = (
-        F.when(F.size(ids) != F.size(masks), "inconsistent_lengths").when(supervised(F.col(masks)) == 0, "no_supervised_tokens")
-        .when(~boundaries_ok(s, F.col(ids), end), "missing_end_boundary")
-    )
-    df = df.withColumns({
-        "original_tokens": n.cast("long"), "sequence_tokens": F.least(n, F.lit(max_length)).cast("long"),
-        "original_supervised_tokens": supervised(F.col(masks)), "supervised_tokens": supervised(kept),
-        "truncated": n > max_length, "original_spans": F.size("__spans").cast("long"), "supervised_spans": F.size(spans(kept)).cast("long"),
-        "truncates_supervised_span": F.exists(s, lambda x: (x["start"] < max_length) & (F.lit(max_length) <= x["end"])),
-        "ends_with_supervised_token": F.coalesce(F.element_at(kept, -1) == 1, F.lit(False)),
-        "end_supervised": F.exists(F.arrays_zip(F.slice(F.col(ids), 1, max_length).alias("t"), kept.alias("k")), lambda z: (z["k"] == 1) & (z["t"] == end)),
-        "error": error,
-    })
-    return df.withColumn("eligible", F.col("error").isNull() & ~F.col("truncated")).withColumn("exclusion_reason", F.when(F.col("truncated"), "sequence_exceeds_max_length")).drop("__spans")
+
+    def judged(i: Column, m: Column, s: Column) -> Column:
+        n, kept = F.size(i), F.slice(m, 1, max_length)
+        error = (
+            F.when(F.size(i) != F.size(m), "inconsistent_lengths").when(supervised(m) == 0, "no_supervised_tokens")
+            .when(~boundaries_ok(s, i, end), "missing_end_boundary")
+        )
+        return let(kept, lambda k: F.struct(
+            n.cast("long").alias("original_tokens"), F.least(n, F.lit(max_length)).cast("long").alias("sequence_tokens"),
+            supervised(m).alias("original_supervised_tokens"), supervised(k).alias("supervised_tokens"), (n > max_length).alias("truncated"),
+            F.size(s).cast("long").alias("original_spans"), F.size(spans(k)).cast("long").alias("supervised_spans"),
+            F.exists(s, lambda x: (x["start"] < max_length) & (F.lit(max_length) <= x["end"])).alias("truncates_supervised_span"),
+            F.coalesce(F.try_element_at(k, F.lit(-1)) == 1, F.lit(False)).alias("ends_with_supervised_token"),
+            F.exists(F.arrays_zip(F.slice(i, 1, max_length).alias("t"), k.alias("k")), lambda z: (z["k"] == 1) & (z["t"] == end)).alias("end_supervised"),
+            error.alias("error"), (error.isNull() & (n <= max_length)).alias("eligible"), F.when(n > max_length, "sequence_exceeds_max_length").alias("exclusion_reason"),
+        ))
+
+    found = let(F.col(ids), lambda i: let(F.col(masks), lambda m: let(spans(m), lambda s: judged(i, m, s))))
+    df = df.withColumn("__a", found)
+    names = ("original_tokens", "sequence_tokens", "original_supervised_tokens", "supervised_tokens", "truncated", "original_spans", "supervised_spans", "truncates_supervised_span", "ends_with_supervised_token", "end_supervised", "error", "eligible", "exclusion_reason")
+    return df.withColumns({c: F.col(f"__a.{c}") for c in names}).drop("__a")
 
 
 def labels(ids: Column, mask: Column) -> Column:

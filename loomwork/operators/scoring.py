@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import grammar as G
 from loomwork.functions import thinking as Th
-from loomwork.functions.text import WS, count_fields, decimal_key, fullmatch, lines, normalize_ws, strip
+from loomwork.functions.text import WS, contains_any, count_fields, decimal_key, fullmatch, lines, normalize_ws, strip
 
 # The answer label and the stop reasons of a finished generation.
 LABEL = r"(?i)\A(?:final answer|answer|the answer is):[ \t]*([^\n]*)\z"
@@ -197,16 +197,21 @@ def protocol_rates(df: DataFrame) -> DataFrame:
     )
 
 
+# Words that explain, and answers that refuse.
+EXPLAINING = ("explanation", "because", "therefore", "the rule", "i think", "let me")
+REFUSING = ("i don't know", "i do not know", "idk", "n/a")
+
+
 def binary_format(raw: Column) -> dict[str, Column]:
-    """Six flags of an answer that should be eight bits. has_extra asks for a match of all of a longer text, so it is never true."""
+    """Six findings about an answer that should be eight bits. has_extra asks a longer text to match eight bits as a
+    whole, so it is never true; it is kept as it is defined."""
     t = strip(raw)
-    is8 = fullmatch(t, "[01]{8}")
-    return {"is_8bit": is8, "binary_only": fullmatch(t, "[01]+"), "length_ok": F.char_length(t) == 8, "has_newline": F.contains(t, F.lit("\n")), "has_extra": (F.char_length(t) > 8) & is8, "passed": is8}
+    is8, explains, marked = fullmatch(t, "[01]{8}"), contains_any(F.lower(raw), EXPLAINING), contains_any(raw, ("```", "**"))
+    return {"is_8bit": is8, "explains": explains, "markdown": marked, "has_extra": (F.char_length(t) > 8) & is8, "raw_length": F.char_length(t).cast("long"), "passed": is8 & ~explains & ~marked}
 
 
 def open_flags(raw: Column, max_new: int = 128) -> dict[str, Column]:
-    low = F.lower(strip(raw))
-    return {"too_short": count_fields(raw) <= 3, "possible_truncation": F.char_length(raw) >= 3 * max_new, "refusal": low.isin("i cannot", "i can't", "i'm sorry", "sorry", "no")}
+    return {"too_short": count_fields(raw) <= 3, "possible_truncation": F.char_length(raw) >= 3 * max_new, "refusal": F.lower(strip(raw)).isin(*REFUSING)}
 
 
 def side_by_side(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

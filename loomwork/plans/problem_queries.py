@@ -9,6 +9,7 @@ from loomwork.functions import grammar as G
 from loomwork.functions import thinking as Th
 from loomwork.operators import classify as K
 from loomwork.operators import scoring as S
+from loomwork.operators import traces as Tr
 from loomwork.plans import views as V
 from loomwork.plans.registry import query
 
@@ -171,7 +172,7 @@ def dev_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.dev_summary(_scored(spark, d), "task_type")
 
 
-@query(f"WITH {V.THINKING}, p AS (SELECT *, strpos(assistant, '<think>') AS a, strpos(assistant, '</think>') AS b, len(string_split(assistant, '<think>')) - 1 AS na, len(string_split(assistant, '</think>')) - 1 AS nb FROM thinking), r AS (SELECT *, trim(substr(assistant, a + 7, greatest(b - a - 7, 0)), E' \\t\\n\\r') AS reasoning, trim(substr(assistant, b + 8), E' \\t\\n\\r') AS final, a > 0 AND b > a AS both FROM p) SELECT pid, both AND reasoning <> '' AS lenient_ok, both AND reasoning <> '' AND na = 1 AND nb = 1 AND final <> '' AS strict_ok, CASE WHEN both AND reasoning <> '' THEN final END AS lenient_final FROM r")
+@query(f"WITH {V.THINKING}, p AS (SELECT *, strpos(assistant, '<think>') AS a, strpos(assistant, '</think>') AS b, len(string_split(assistant, '<think>')) - 1 AS na, len(string_split(assistant, '</think>')) - 1 AS nb FROM thinking), r AS (SELECT *, trim(substr(assistant, a + 7, greatest(b - a - 7, 0)), E' \\t\\n\\r') AS reasoning, trim(substr(assistant, b + 8), E' \\t\\n\\r') AS final, a > 0 AND b > a AS tags FROM p) SELECT pid, tags AND reasoning <> '' AS lenient_ok, tags AND reasoning <> '' AND na = 1 AND nb = 1 AND final <> '' AS strict_ok, CASE WHEN tags AND reasoning <> '' THEN final END AS lenient_final FROM r")
 def thinking_parse(spark: SparkSession, d: str) -> DataFrame:
     t = V.thinking(spark, d).withColumns({"l": Th.parse("assistant", strict=False), "s": Th.parse("assistant", strict=True)})
     return t.select("pid", F.col("l.ok").alias("lenient_ok"), F.col("s.ok").alias("strict_ok"), F.col("l.final").alias("lenient_final"))
@@ -211,13 +212,13 @@ def physics_features(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pid", S.physics_features(F.col("task_type"), F.col("assistant"))["formula_correct"].alias("formula_correct"))
 
 
-@query(f"WITH {V.PREDICTIONS}, t AS (SELECT pid, trim(prediction_raw, E' \\t\\n\\r') AS t FROM predictions) SELECT pid, regexp_full_match(t, '[01]{{8}}') AS is_8bit, regexp_full_match(t, '[01]+') AS binary_only, length(t) = 8 AS length_ok, contains(t, chr(10)) AS has_newline, false AS has_extra, regexp_full_match(t, '[01]{{8}}') AS passed FROM t")
+@query(f"WITH {V.PREDICTIONS}, t AS (SELECT pid, trim(prediction_raw, E' \\t\\n\\r') AS t, regexp_matches(lower(prediction_raw), 'explanation|because|therefore|the rule|i think|let me') AS explains, contains(prediction_raw, '```') OR contains(prediction_raw, '**') AS markdown FROM predictions) SELECT pid, regexp_full_match(t, '[01]{{8}}') AS is_8bit, explains, markdown, false AS has_extra, length(t)::BIGINT AS raw_length, regexp_full_match(t, '[01]{{8}}') AND NOT explains AND NOT markdown AS passed FROM t")
 def binary_format(spark: SparkSession, d: str) -> DataFrame:
     flags = S.binary_format(F.col("prediction_raw"))
     return V.predictions(spark, d).select("pid", *[c.alias(n) for n, c in flags.items()])
 
 
-@query(f"WITH {V.PREDICTIONS} SELECT pid, len(regexp_extract_all(prediction_raw, '\\S+')) <= 3 AS too_short, length(prediction_raw) >= 18 AS possible_truncation, lower(trim(prediction_raw, E' \\t\\n\\r')) IN ('i cannot', 'i can''t', 'i''m sorry', 'sorry', 'no') AS refusal FROM predictions")
+@query(f"WITH {V.PREDICTIONS} SELECT pid, len(regexp_extract_all(prediction_raw, '\\S+')) <= 3 AS too_short, length(prediction_raw) >= 18 AS possible_truncation, lower(trim(prediction_raw, E' \\t\\n\\r')) IN ('i don''t know', 'i do not know', 'idk', 'n/a') AS refusal FROM predictions")
 def open_flags(spark: SparkSession, d: str) -> DataFrame:
     flags = S.open_flags(F.col("prediction_raw"), 6)
     return V.predictions(spark, d).select("pid", *[c.alias(n) for n, c in flags.items()])
@@ -231,3 +232,14 @@ def model_side_by_side(spark: SparkSession, d: str) -> DataFrame:
     e = S.evaluate(V.predictions(spark, d))
     by = lambda df: df.groupBy("task_type").agg(F.count_if("primary_correct").alias("correct"), F.count("*").alias("total"))
     return S.side_by_side(by(e.filter("_ord % 3 = 0")), by(e.filter("_ord % 3 <> 0")), "task_type")
+
+
+_FLAG = lambda of: "CASE task_type " + " ".join(f"WHEN '{t}' THEN regexp_matches(block, '{_q(p)}')" for t, p in of.items()) + " ELSE false END"
+
+
+@query(f"""WITH {V.THINKING}, {_SCORED}, b AS (SELECT pid, task_type, final, trim(regexp_extract(assistant, '(?s)<think>(.*?)</think>', 1), E' \\t\\n\\r') AS block, regexp_matches(assistant, '(?s)<think>.*?</think>') AS closed FROM scored),
+    f AS (SELECT pid, task_type, closed, closed AND {_FLAG(Tr.RULE)} AS has_rule, closed AND {_FLAG(Tr.NUMBER)} AS has_number, closed AND {_FLAG(Tr.QUERY)} AS has_query, closed AND final <> '' AS has_answer FROM b)
+    SELECT pid, has_rule, has_number, has_query, has_answer, closed AND CASE WHEN task_type IN ('gravity', 'unit_conversion') THEN NOT has_number AND NOT has_query WHEN task_type = 'bit_manipulation' THEN NOT has_rule AND NOT has_number WHEN task_type = 'cipher' THEN NOT has_number ELSE NOT has_rule END AS template_only FROM f""")
+def trace_audit(spark: SparkSession, d: str) -> DataFrame:
+    t = V.thinking(spark, d)
+    return t.select("pid", *[c.alias(n) for n, c in Tr.flags(F.col("task_type"), F.col("assistant")).items()])
