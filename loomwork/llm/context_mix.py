@@ -355,7 +355,7 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
         model = Model(paths, tables, weights, rate, refine)  # a task's own: idle workers should hold no tables
         logs = np.where(c > 0, np.log10((c + 0.1) / bottom), 0.0)
         names = ["rk", "h", "tf", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
-        for b in sub_batches(batches, 1 << 20):
+        for b in sub_batches(batches, 1 << 19):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
             low = [lower_ascii(t) for t in data]
