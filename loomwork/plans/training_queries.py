@@ -158,12 +158,12 @@ def _task(name: str):
 
 
 # In these views every problem follows its rule, so the solver's answer is the gold answer.
-for _t, _name in (("numeral", "reason_numeral"), ("unit_conversion", "reason_unit"), ("gravity", "reason_gravity")):
+for _t, _name in (("numeral", "reason_numeral"), ("unit_conversion", "reason_unit"), ("gravity", "reason_gravity"), ("cipher", "reason_cipher"), ("symbolic_transform", "reason_symbolic")):
     QUERIES[_name] = _task(_t)
     ORACLES[_name] = f"WITH {V.PROBLEMS} SELECT pid, answer AS solved, true AS ok, NULL::VARCHAR AS error FROM problems WHERE task_type = '{_t}'"
-# The others search rules that SQL cannot; tests hold them against row-at-a-time models.
-for _t, _name in (("bit_manipulation", "reason_bit"), ("cipher", "reason_cipher"), ("symbolic_transform", "reason_symbolic")):
-    QUERIES[_name] = _task(_t)
+# Eight examples do not always tell one bit rule from another, so some answers differ from the gold ones; tests hold the
+# bit solver against planted rules.
+QUERIES["reason_bit"] = _task("bit_manipulation")
 
 
 @query()
