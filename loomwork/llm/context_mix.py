@@ -11,8 +11,8 @@ log10 probabilities of all decisions; bits_per_byte is the total in bits over th
 Learning in a document goes by blocks: decisions of a block use what the blocks before it taught, and
 blocks grow from 256 to 4096 bytes, so that numpy codes many documents side by side.
 
-The tables hold counts of all training texts. Context tables have a fixed size, a parameter (2**16 and
-2**18 contexts of 256 nodes, one byte each: 144 MB in a worker), so what is broadcast has a proven bound. Token
+The tables hold counts of all training texts. Context tables have a fixed size, a parameter (2**16,
+2**17 and 2**18 contexts of 256 nodes, one byte each: 112 MB in a worker), so what is broadcast has a proven bound. Token
 counts (for base_score) have no bound and stay in the cluster: tokens with at least a 262144th of all
 occurrences are at most 262144 and broadcast; all others meet their counts in a shuffle join.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.textkit import lower_ascii, mix64, pick, settle, ship, sub_batches
 
 #: Context bits of the predictors: two bytes, four bytes, the word so far.
-BITS = (16, 18, 18)
+BITS = (16, 17, 18)
 CHUNKS = 64
 SCALE = 16.0
 PRIOR = 0.1
