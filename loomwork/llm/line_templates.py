@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import skew_join
-from loomwork.llm.textkit import lower_ascii, pick, settle, ship, sub_batches
+from loomwork.llm.textkit import Encoder, lower_ascii, pick, settle, ship, sub_batches
 
 LEAD = 4
 _DIGIT = re.compile(rb"[0-9]").search
@@ -61,6 +61,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """rk, doc_id, line (hash), leaf (hash; null where the leaf is the line), around, at (places), tokens (16 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         digest, names = xxhash.xxh64_intdigest, ["rk", "doc_id", "line", "leaf", "around", "at", "tokens"]
         for b in sub_batches(batches):
             cols: list[list] = [[] for _ in names]

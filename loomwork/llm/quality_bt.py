@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import pick, settle, ship, sub_batches
+from loomwork.llm.textkit import Encoder, pick, settle, ship, sub_batches
 
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "wide": range(128, 256), "mark": b"#*$%&|<>", "bar": b"|", "bang": b"!?", "stop": b".", "comma": b",;:", "other": b"\"'()-/=@[]^_`{}~+\\", "control": [*range(9), *range(14, 32), 127]}
 _SETS = np.zeros((len(_CLASSES), 256))
@@ -49,6 +49,7 @@ def feature_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for b in sub_batches(batches):
             rows = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["doc_id", "x"])

@@ -147,6 +147,11 @@ class Encoder:
         self.line = probe[1] if len(probe) == 3 else None
         self.plain = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*\Z") if self.line is not None else re.compile(r"(?!)")
 
+    @classmethod
+    def release(cls) -> None:
+        """Workers are reused: one that does other work gives the remembered pieces back."""
+        cls._kept.clear()
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
