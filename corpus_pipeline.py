@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontam, line_templates, packing, quality_bt, simhash_tiles
-from loomwork.llm.textkit import shared_dir
+from loomwork.llm import decontam, line_templates, near_copies, packing, quality_bt
+from loomwork.llm.components import skew_join
+from loomwork.llm.textkit import pick, settle, shared_dir
 
 #: SQL cannot express the learned, clustered and packed stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -38,9 +39,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays."""
-    classes = simhash_tiles.near_duplicates(docs)
-    return _without(docs, classes.filter("doc_id <> component_id"))
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the least id stays."""
+    classes = near_copies.classes(pick(docs).select(line_templates.row_key().alias("rk"), "doc_id", "text"))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    return _without(docs, skew_join(classes, settle(least), "root", "n").filter("doc_id <> least"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
