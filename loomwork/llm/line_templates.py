@@ -5,8 +5,7 @@ depth: the token count, then the first four tokens. Lines of one leaf are parsed
 hashes: a line joins the template that agrees with it in most places, at least ``similar`` of them, and places
 that differ become variable; else it founds a template. Lines of up to four tokens are their own leaf.
 
-A template recurs when it is met in at least ``min_docs`` surroundings that differ and these are at least half
-of its documents. The surroundings of a line are the two outermost hashes among the other lines of its
+A template recurs when it is met in at least ``min_docs`` surroundings that differ. The surroundings of a line are the two outermost hashes among the other lines of its
 document, so copies of a document, and near copies that kept those lines, count once: copies are left to
 document-level dedup. A recurring template stays in its first document (least doc_id) and is dropped from all
 others.
@@ -147,7 +146,7 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     per_doc = known.groupBy("template", "rk").agg(F.min("around").alias("around"), F.min(place).alias("first"))
     per_around = per_doc.groupBy("template", "around").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     stats = per_around.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"), F.min("first").alias("first"))
-    drop = settle(stats.filter((F.col("n_around") >= min_docs) & (2 * F.col("n_around") >= F.col("n_docs"))).select("template", F.col("first.rk").alias("first_rk"), F.col("n_docs").alias("n")))
+    drop = settle(stats.filter(F.col("n_around") >= min_docs).select("template", F.col("first.rk").alias("first_rk"), F.col("n_docs").alias("n")))
     hit = skew_join(known, drop, "template", "n").filter("rk <> first_rk")
     # A repeated row has its places twice.
     return hit.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
