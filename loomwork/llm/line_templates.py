@@ -5,9 +5,8 @@ depth: the token count, then the first four tokens. Lines of one leaf are parsed
 hashes: a line joins the template that agrees with it in most places, at least ``similar`` of them, and places
 that differ become variable; else it founds a template. Lines of up to four tokens are their own leaf.
 
-A template recurs when it is met in at least ``min_docs`` surroundings that differ. The surroundings of a line are the two outermost hashes among the other lines of its
-document, so copies of a document, and near copies that kept those lines, count once: copies are left to
-document-level dedup. A recurring template stays in its first document (least doc_id) and is dropped from all
+A template recurs when it is met in at least ``min_docs`` documents that are no near copies of each other (classes of
+``near_copies``): a class counts once, and copies are left to document-level dedup. A recurring template stays in its first document (least doc_id) and is dropped from all
 others.
 
 Lines travel as hashes, templates as 16 bits a token; no key is collected whole: hot lines are pre-aggregated
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import skew_join
+from loomwork.llm.near_copies import classes
 from loomwork.llm.textkit import Encoder, lower_ascii, pick, settle, ship, sub_batches
 
 LEAD = 4
@@ -57,11 +57,11 @@ def _signed(h: int) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """rk, doc_id, line (hash), leaf (hash; null where the leaf is the line), around, at (places), tokens (16 bits each)."""
+    """rk, doc_id, line (hash), leaf (hash; null where the leaf is the line), at (places), tokens (16 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Encoder.release()
-        digest, names = xxhash.xxh64_intdigest, ["rk", "doc_id", "line", "leaf", "around", "at", "tokens"]
+        digest, names = xxhash.xxh64_intdigest, ["rk", "doc_id", "line", "leaf", "at", "tokens"]
         for b in sub_batches(batches):
             cols: list[list] = [[] for _ in names]
             for rk, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -72,23 +72,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         tokens = [b"<*>" if _DIGIT(t) else t for t in tokens]
                     if tokens:
                         seen.setdefault(_signed(digest(b" ".join(tokens))), ([], tokens))[0].append(i)
-                if not seen:
-                    continue
-                order = sorted(seen)
-                ends = (order[:2], order[-2:])
                 for h, (at, tokens) in seen.items():
-                    low = next((x for x in ends[0] if x != h), 0)
-                    high = next((x for x in reversed(ends[1]) if x != h), 0)
                     leaf = sig = None
                     if len(tokens) > LEAD:
                         leaf = _signed(digest(b" ".join((str(len(tokens)).encode(), *tokens[:LEAD])), 1))
                         sig = np.fromiter(map(_SHORT.__getitem__, tokens), dtype="<u2", count=len(tokens)).tobytes()
-                    for c, v in zip(cols, (rk, doc, h, leaf, _signed(digest(f"{low} {high}")), at, sig), strict=True):
+                    for c, v in zip(cols, (rk, doc, h, leaf, at, sig), strict=True):
                         c.append(v)
-            types = [pa.int64()] * 5 + [pa.list_(pa.int32()), pa.binary()]
+            types = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "rk long, doc_id long, line long, leaf long, around long, at array<int>, tokens binary")
+    return docs.mapInArrow(run, "rk long, doc_id long, line long, leaf long, at array<int>, tokens binary")
 
 
 def _parse(similar: float):
@@ -139,11 +133,12 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     ordered = sigs.select("leaf", "line", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "line")
     moved = ordered.mapInArrow(_parse(similar), "line long, template long")
     moved = settle(moved.join(lines.groupBy("line").agg(F.sum("n").alias("n")), "line"))
-    slim = found.select("rk", "doc_id", "line", "around", "at")
+    slim = found.select("rk", "doc_id", "line", "at")
     known = settle(skew_join(slim, moved, "line", "n", "left").withColumn("template", F.coalesce("template", "line")))
 
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rk")
-    per_doc = known.groupBy("template", "rk").agg(F.min("around").alias("around"), F.min(place).alias("first"))
+    copies = classes(docs).select("rk", F.col("root").alias("around")).dropDuplicates(["rk"])
+    per_doc = known.groupBy("template", "rk").agg(F.min(place).alias("first")).join(copies, "rk", "left").withColumn("around", F.coalesce("around", "rk"))
     per_around = per_doc.groupBy("template", "around").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     stats = per_around.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"), F.min("first").alias("first"))
     drop = settle(stats.filter(F.col("n_around") >= min_docs).select("template", F.col("first.rk").alias("first_rk"), F.col("n_docs").alias("n")))

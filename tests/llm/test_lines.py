@@ -17,3 +17,18 @@ def test_a_group_of_copies_does_not_save_a_line(spark):
     shared, base = line(r, 15), line(r, 40)
     rows = [(i, f"{line(r, 40)}\n{shared}\n{line(r, 40)}") for i in range(6)] + [(10 + i, f"{base}\n{shared}") for i in range(20)]
     assert dropped(spark, rows) == {i: int(i > 0) for i, _ in rows}
+
+
+@pytest.mark.parametrize("passage, own", [(10, 2), (20, 3), (30, 5)])
+def test_a_passage_of_many_lines_in_short_documents(spark, passage, own):
+    r = random.Random(passage)
+    shared = [line(r) for _ in range(passage)]
+    rows = [(i, "\n".join([*shared, *(line(r) for _ in range(own))])) for i in range(40)]
+    assert dropped(spark, rows) == {i: passage * (i > 0) for i, _ in rows}
+
+
+def test_documents_of_one_line(spark):
+    r = random.Random(4)
+    start, end = line(r, 5), line(r, 4)
+    rows = [(i, f"{start} {1000 + i} {2000 + i} {end}") for i in range(8)]
+    assert dropped(spark, rows) == {i: int(i > 0) for i, _ in rows}
