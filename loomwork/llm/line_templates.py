@@ -6,7 +6,7 @@ hashes: a line joins the template that agrees with it in most places, at least `
 that differ become variable; else it founds a template. Lines of up to four tokens are their own leaf.
 
 A template recurs when it is met in at least ``min_docs`` documents that are no near copies of each other (classes of
-``near_copies``): a class counts once, and copies are left to document-level dedup. A recurring template stays in its first document (least doc_id) and is dropped from all
+``near_copies`` among the documents that hold a template of ``min_docs`` documents): a class counts once, and copies are left to document-level dedup. A recurring template stays in its first document (least doc_id) and is dropped from all
 others.
 
 Lines travel as hashes, templates as 16 bits a token; no key is collected whole: hot lines are pre-aggregated
@@ -137,8 +137,11 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     known = settle(skew_join(slim, moved, "line", "n", "left").withColumn("template", F.coalesce("template", "line")))
 
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rk")
-    copies = classes(docs).select("rk", F.col("root").alias("around")).dropDuplicates(["rk"])
-    per_doc = known.groupBy("template", "rk").agg(F.min(place).alias("first")).join(copies, "rk", "left").withColumn("around", F.coalesce("around", "rk"))
+    per_doc = known.groupBy("template", "rk").agg(F.min(place).alias("first"))
+    often = settle(per_doc.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template", "n"))
+    per_doc = settle(skew_join(known, often, "template", "n").groupBy("template", "rk").agg(F.min(place).alias("first")))
+    copies = classes(docs.join(per_doc.select("rk").distinct(), "rk", "left_semi")).select("rk", F.col("root").alias("around")).dropDuplicates(["rk"])
+    per_doc = per_doc.join(copies, "rk", "left").withColumn("around", F.coalesce("around", "rk"))
     per_around = per_doc.groupBy("template", "around").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     stats = per_around.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"), F.min("first").alias("first"))
     drop = settle(stats.filter(F.col("n_around") >= min_docs).select("template", F.col("first.rk").alias("first_rk"), F.col("n_docs").alias("n")))
