@@ -140,7 +140,7 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     per_doc = known.groupBy("template", "rk").agg(F.min(place).alias("first"))
     often = settle(per_doc.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template", "n"))
     per_doc = settle(skew_join(known, often, "template", "n").groupBy("template", "rk").agg(F.min(place).alias("first")))
-    copies = classes(docs.join(per_doc.select("rk").distinct(), "rk", "left_semi")).select("rk", F.col("root").alias("around")).dropDuplicates(["rk"])
+    copies = classes(docs, settle(per_doc.select("rk").distinct())).select("rk", F.col("root").alias("around")).dropDuplicates(["rk"])
     per_doc = per_doc.join(copies, "rk", "left").withColumn("around", F.coalesce("around", "rk"))
     per_around = per_doc.groupBy("template", "around").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     stats = per_around.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"), F.min("first").alias("first"))
