@@ -3,10 +3,11 @@
 An item is found in a document when at least ``containment`` of its distinct shingles (five words, lower-cased
 runs of letters and digits) occur anywhere in the document. A short item is a tiny part of a long document, so
 whole documents cannot be compared by Jaccard. Items are partitioned by size instead: class u holds items of
-u/2 to u shingles, and for each class a document is read in windows of 2u shingles that advance by u. An item
+u/2 to u shingles, from 8 on, and for each class a document is read in windows of 2u shingles that advance by u. An item
 that lies in a window shares at least a fifth of their union, so of ``hashes`` minima one at least agrees but
 for a chance of 0.8**64, and pairs with an equal minimum become candidates. A candidate is checked exactly, over
-all shingles of the document. Nothing caps candidates.
+all shingles of the document. Items of fewer than five shingles have none of this: a document with any of their shingles
+is a candidate. Nothing caps candidates.
 
 Items come to the executors in groups of at most ``group`` (a bound on what is broadcast), one group after the
 other against all documents; documents are never shuffled.
@@ -47,6 +48,7 @@ class Items:
         self.ids: list[int | None] = []
         self.shingles: list[np.ndarray] = []
         self.short: dict[int, dict[int, list[int]]] = {}
+        self.few: dict[int, list[int]] = {}
         classes: dict[int, list[int]] = {}
         for item, text in rows:
             w = words_of(text)
@@ -58,6 +60,9 @@ class Items:
             self.shingles.append(s)
             if len(w) < width:
                 self.short.setdefault(len(w), {}).setdefault(int(s[0]), []).append(k)
+            elif len(s) < 5:
+                for x in s:
+                    self.few.setdefault(int(x), []).append(k)
             else:
                 classes.setdefault(max(8, 1 << (len(s) - 1).bit_length()), []).append(k)
         self.classes = []
@@ -81,6 +86,11 @@ class Items:
         if not docs:
             return found
         sizes = np.array([len(d) for d in docs])
+        if self.few:
+            whole, keys = np.concatenate(docs), np.array(sorted(self.few), dtype=np.uint64)
+            hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, whole), len(keys) - 1)] == whole)
+            for d, x in zip(np.repeat(np.arange(len(docs)), sizes)[hit].tolist(), whole[hit].tolist(), strict=True):
+                found.update((d, k) for k in self.few[x])
         joined = self.fold(np.concatenate(docs))
         first = np.cumsum(sizes) - sizes
         for u, lists in self.classes:
