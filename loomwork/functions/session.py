@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a folder of this machine serves a local master; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = jvm_dir.get() if jvm_dir.isDefined() else None
+        if folder is None:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = f"/tmp/loomwork-checkpoints-{os.getpid()}"
+            spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes the rows once and cuts lineage, in spark.checkpoint.dir; a folder is set here only where there is none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"/tmp/loomwork-checkpoints-{os.getpid()}")
+    """Computes the rows once and cuts lineage, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.session import settle
 from loomwork.functions.text import prompt_hash
 
 # The roles that a conversation may have.
@@ -85,23 +86,34 @@ def prepare(chat: DataFrame, source: str, split: str) -> DataFrame:
     })
 
 
+def placed(df: DataFrame, *order: Column | str) -> tuple[DataFrame, list[int]]:
+    """df in the order of the columns with __at, and the rows before each partition.
+
+    __at is a partition's number in its high bits and the place in the partition in its low 33 bits. The rows are settled with
+    it: range bounds are drawn from samples, so a second run of the same plan may cut elsewhere.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.shiftright("__at", 33).alias("p")).count().collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    return rows, before
+
+
+def place(before: list[int]) -> Column:
+    """The place among all rows, from 1, of rows that ``placed`` gave."""
+    return (F.get(F.lit(before), F.shiftright("__at", 33).cast("int")) + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).cast("long")
+
+
 def with_rank(df: DataFrame, *order: str) -> DataFrame:
     """rank: 1, 2, ... over all rows in the order of the columns, without bringing the rows to one task.
 
-    Rows are range-partitioned and numbered in their partition; the driver adds one offset a partition.
+    Rows are range-partitioned, sorted and settled once; the driver sees one count a partition.
     """
-    from pyspark.sql import Window
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    sizes = sorted((r["__p"], r["count"]) for r in parts.groupBy("__p").count().collect())
-    offsets, total = {}, 0
-    for p, c in sizes:
-        offsets[p], total = total, total + c
-    if not offsets:
-        return parts.drop("__p").withColumn("rank", F.lit(0).cast("long"))
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("__p"))
-    return parts.withColumn("rank", (F.row_number().over(Window.partitionBy("__p").orderBy(*order)) + base).cast("long")).drop("__p")
+    rows, before = placed(df, *order)
+    return rows.withColumn("rank", place(before)).drop("__at")
 
 
 def shape(chat: DataFrame) -> DataFrame:

@@ -42,7 +42,10 @@ def write_json(path: str, value: object) -> None:
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A result as a Markdown table; of a longer one the first rows, and a line that says how many there are."""
+    rows = df.limit(limit + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+    lines = [head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows[:limit])]
+    if len(rows) > limit:
+        lines += ["", f"The first {limit} of {df.count()} rows."]
+    return "\n".join(lines) + "\n"

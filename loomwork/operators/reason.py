@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions import thinking as Th
 from loomwork.functions.text import let, rstrip, token_estimate
@@ -47,28 +48,30 @@ def physics(df: DataFrame) -> DataFrame:
     return df.withColumn("solved", F.when(F.col("error").isNull(), F.col("gold"))).withColumn("rule", F.when(F.col("error").isNull(), F.when(gravity, "g = 2*d/t^2").otherwise("output/input")))
 
 
-def symbolic(df: DataFrame, key: str = "pid") -> DataFrame:
-    """Adds values (none), coefficient, predicted (null), solved, rule and error from the Python solvers, in Arrow batches."""
-    names = ["__k", "solved", "rule", "error"]
+def symbolic(df: DataFrame) -> DataFrame:
+    """Adds values (none), coefficient, predicted (null), solved, rule and error from the Python solvers, in Arrow batches.
+
+    Rows pass through with all their columns: nothing is joined back.
+    """
+    new = ("solved", "rule", "error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomwork.functions.solvers import solve
 
         for b in batches:
-            ids, tasks, examples, questions = (c.to_pylist() for c in b.columns)
+            tasks, examples, questions = (b.column(c).to_pylist() for c in ("task_type", "examples", "question"))
             out = [solve(t, [(e["input_value"], e["output_value"]) for e in ex or []], q or "") for t, ex, q in zip(tasks, examples, questions, strict=True)]
-            cols = [ids, [a if not e else None for a, _, e in out], [r if not e else None for _, r, e in out], [e or None for _, _, e in out]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
+            cols = [[a if not e else None for a, _, e in out], [r if not e else None for _, r, e in out], [e or None for _, _, e in out]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.string()) for c in cols]], names=[*b.schema.names, *new])
 
-    found = df.select(F.col(key).cast("string").alias("__k"), "task_type", "examples", "question").mapInArrow(run, "__k string, solved string, rule string, error string")
-    out = df.join(found, F.col(key).cast("string") == F.col("__k")).drop("__k")
-    return out.withColumns({"values": F.array().cast("array<double>"), "coefficient": F.lit(None).cast("double"), "predicted": F.lit(None).cast("double")})
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.StringType()) for c in new]])
+    return df.mapInArrow(run, schema).withColumns({"values": F.array().cast("array<double>"), "coefficient": F.lit(None).cast("double"), "predicted": F.lit(None).cast("double")})
 
 
-def reason(df: DataFrame, key: str = "pid") -> DataFrame:
+def reason(df: DataFrame) -> DataFrame:
     """df has task_type, examples, question and gold. Adds solved, rule, values, coefficient, predicted, error, ok."""
     a = physics(df.filter(F.col("task_type").isin(*PHYSICS)))
-    b = symbolic(df.filter(~F.col("task_type").isin(*PHYSICS)), key)
+    b = symbolic(df.filter(~F.col("task_type").isin(*PHYSICS)))
     return a.unionByName(b, allowMissingColumns=True).withColumn("ok", F.coalesce(F.col("solved") == F.col("gold"), F.lit(False)))
 
 

@@ -7,10 +7,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.session import settle
+from loomwork.operators.chat import place, placed, with_rank
+
+#: So many strata at most are broadcast, a name and a number each.
+MANY_STRATA = 100_000
+
 
 def shuffle_key(seed: int, *key: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]), 256)
@@ -56,20 +63,18 @@ def stratified_split(df: DataFrame, stratum: str, key: str, ratios: tuple[float,
 def rank_within(df: DataFrame, stratum: str, *order: Column | str) -> DataFrame:
     """rank: 1, 2, ... in each stratum, without bringing a stratum to one task.
 
-    Rows are range-partitioned by (stratum, order) and numbered in each partition; counts of (partition, stratum)
-    give the offsets.
+    A rank is the row's place among all rows by (stratum, order) less its stratum's first place. First places are a row a
+    stratum: broadcast up to MANY_STRATA of them, joined beyond.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = [F.col(o) if isinstance(o, str) else o for o in order]
-    keyed = df.select("*", *[c.alias(f"__o{i}") for i, c in enumerate(named)])
     cols = [f"__o{i}" for i in range(len(named))]
-    parts = keyed.repartitionByRange(n, stratum, *cols).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p", stratum).agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__p", F.col(stratum).alias("__s"), (F.sum("__n").over(Window.partitionBy(stratum).orderBy("__p")) - F.col("__n")).alias("__base"))
-    local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p", stratum).orderBy(*cols)))
-    offsets = offsets.withColumnRenamed("__p", "__q")
-    out = local.join(F.broadcast(offsets), (F.col("__p") == F.col("__q")) & F.col(stratum).eqNullSafe(F.col("__s")))  # at most partitions + strata rows
-    return out.withColumn("rank", (F.col("__r") + F.col("__base")).cast("long")).drop(*cols, "__p", "__q", "__r", "__s", "__base")
+    rows, before = placed(df.select("*", *[c.alias(n) for c, n in zip(named, cols, strict=True)]), stratum, *cols)
+    rows = rows.withColumn("__place", place(before))
+    firsts = settle(rows.groupBy(F.col(stratum).alias("__s")).agg(F.min("__place").alias("__first")))
+    if firsts.count() <= MANY_STRATA:
+        firsts = F.broadcast(firsts)
+    out = rows.join(firsts, F.col(stratum).eqNullSafe(F.col("__s")))
+    return out.withColumn("rank", F.col("__place") - F.col("__first") + 1).drop(*cols, "__at", "__place", "__s", "__first")
 
 
 def take_per_group(df: DataFrame, group: str, k: int, *order: Column | str) -> DataFrame:
@@ -88,10 +93,14 @@ def sample_by_quota(df: DataFrame, stratum: str, key: str, quotas: dict[str, int
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in hash order; fewer rows than n is an error."""
-    out = df.orderBy(shuffle_key(seed, key), key).limit(n)
     if (have := df.limit(n).count()) < n:
         raise ValueError(f"need {n} rows, found {have}")
-    return out
+    return _first(df, key, n, seed)
+
+
+def _first(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows in hash order, by rank: a sort with a limit would hold n rows in a task."""
+    return with_rank(df.withColumn("__k", shuffle_key(seed, key)), "__k", key).filter(F.col("rank") <= n).drop("__k", "rank")
 
 
 def dev_size(n: int, ratio: float) -> int:
@@ -100,8 +109,6 @@ def dev_size(n: int, ratio: float) -> int:
 
 
 def train_dev(df: DataFrame, key: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    from loomwork.operators.chat import with_rank
-
     n = df.count()
     ranked = with_rank(df.withColumn("__k", shuffle_key(seed, key)), "__k", key).drop("__k")
     return ranked.withColumn("split", F.when(F.col("rank") <= dev_size(n, ratio), "dev").otherwise("train"))
@@ -109,8 +116,6 @@ def train_dev(df: DataFrame, key: str, ratio: float = 0.1, seed: int = 42) -> Da
 
 def partition_by_ratio(df: DataFrame, key: str, weights: tuple[int, ...] = (10, 1, 1), seed: int = 42) -> DataFrame:
     """part: 0, 1, ... by cumulative shares of the row count; the last part takes the remainder."""
-    from loomwork.operators.chat import with_rank
-
     n, at, cuts = df.count(), 0, []
     for w in weights[:-1]:
         at += round(n * w / sum(weights))
@@ -124,7 +129,7 @@ def partition_by_ratio(df: DataFrame, key: str, weights: tuple[int, ...] = (10,
 
 def rebalance(df: DataFrame, kind: str, key: str, *, reduce: str, keep: int, seed: int = 42) -> DataFrame:
     """All rows but those of kind ``reduce``, of which keep stay, in hash order."""
-    few = df.filter(F.col(kind) == reduce).orderBy(shuffle_key(seed, key), key).limit(max(0, keep))
+    few = _first(df.filter(F.col(kind) == reduce), key, max(0, keep), seed)
     return df.filter(F.col(kind) != reduce).unionByName(few)
 
 
@@ -156,10 +161,6 @@ def twister_order(df: DataFrame, order: str, seed: int, most: int = 5_000_000) -
 
     For parity with shuffles made elsewhere. The driver permutes row numbers only, so the table is bounded by ``most``.
     """
-    import random
-
-    from loomwork.operators.chat import with_rank
-
     n = df.count()
     if n > most:
         raise ValueError(f"{n} rows exceed {most}; use shuffle_key")

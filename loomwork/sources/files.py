@@ -1,25 +1,45 @@
 """Strict readers and writers.
 
-Row order is part of the data model: ``_ord`` is the file's place in name order and the byte order within it, made by
-Spark's own file splits (monotone within a file), so it does not depend on partitioning of later steps.
+Row order is part of the data model: ``_ord`` grows with the file's place in name order and with the place in the file, so
+it does not depend on the partitioning of later steps.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import json
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.functions.session import settle
 from loomwork.functions.text import strip
 
 MESSAGE = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df.withColumn("_ord", F.monotonically_increasing_id())
+    """_ord in file order. Splits of one file come to the partitions in their order, so a running number serves there.
+
+    Splits of several files are dealt out by size. Their rows are settled with path and running number, and each (path,
+    partition) starts where the one before it in that order ends: the driver sees a count a split.
+    """
+    if len(df.inputFiles()) < 2:
+        return df.withColumn("_ord", F.monotonically_increasing_id())
+    rows = settle(df.select("*", F.col("_metadata.file_path").alias("__path"), F.monotonically_increasing_id().alias("__at")))
+    part = F.shiftright("__at", 33)
+    splits = sorted(tuple(r) for r in rows.groupBy("__path", part.alias("p")).agg(F.min("__at").alias("lo"), F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for path, p, lo, n in splits:
+        starts.append((path, p, total - lo))
+        total += n
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, "__in string, __p long, __shift long"))
+    return rows.join(known, (F.col("__path") == F.col("__in")) & (part == F.col("__p"))).withColumn("_ord", F.col("__at") + F.col("__shift")).drop("__path", "__at", "__in", "__p", "__shift")
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "prompt", "answer")) -> DataFrame:
@@ -78,11 +98,76 @@ def scan_with_pool(rows: DataFrame, pool: DataFrame, key: str = "id") -> tuple[D
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """One JSON object {key: {...}} as rows key, value. The file is parsed by a reader that yields pairs one by one; a
-    file of this shape cannot be split, so it is one task, whose memory is one pair and a buffer."""
+    file of this shape cannot be split, so it is one task, whose memory is one pair and a buffer. A file that is damaged, or cut
+    off before the object closes, is an error."""
     spark.dataSource.register(keyed_json_source())
     return spark.read.format("keyed_json").schema("key string, value string, _ord long").load(path).select("key", F.from_json("value", value_schema).alias("value"), "_ord")
 
 
+def keyed_pairs(chunks: Iterator[str]) -> Iterator[tuple[str, object]]:
+    """(key, value) of one JSON object that comes in pieces. ValueError where it is no whole object."""
+    decoder, blank = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+    text, at, ended = "", 0, False
+
+    def more(least: int) -> bool:
+        """Drops what was read and adds least characters at least, as far as there are any."""
+        nonlocal text, at, ended
+        parts, got = [text[at:]], 0
+        while got < least and not ended:
+            piece = next(chunks, None)
+            ended = piece is None
+            parts.append(piece or "")
+            got += len(parts[-1])
+        text, at = "".join(parts), 0
+        return got > 0
+
+    def char() -> str:
+        """The next character that is not blank, without taking it; empty at the end."""
+        nonlocal at
+        while True:
+            at = blank.match(text, at).end()
+            if at < len(text) or not more(1):
+                return text[at : at + 1]
+
+    def take(wanted: str) -> None:
+        nonlocal at
+        if char() != wanted:
+            raise ValueError(f"keyed JSON: {wanted!r} expected, found {char()!r}")
+        at += 1
+
+    def value() -> object:
+        """A value that fails is read again with twice the text; it fails for good where the fault lies well before the end."""
+        nonlocal at
+        char()
+        while True:
+            try:
+                out, end = decoder.raw_decode(text, at)
+                if end < len(text) or ended:
+                    at = end
+                    return out
+            except json.JSONDecodeError as e:
+                if ended or not (e.msg.startswith("Unterminated string") or e.pos > len(text) - 16):
+                    raise ValueError(f"keyed JSON: {e.msg}") from e
+            more(max(1, len(text) - at))
+
+    take("{")
+    if char() == "}":
+        at += 1
+    else:
+        while True:
+            key = value()
+            if not isinstance(key, str):
+                raise ValueError("keyed JSON: a key is no string")
+            take(":")
+            yield key, value()
+            if char() == "}":
+                at += 1
+                break
+            take(",")
+    if char():
+        raise ValueError("keyed JSON: text after the object")
+
+
 def keyed_json_source():
     from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -91,43 +176,12 @@ def keyed_json_source():
             self.path = path
 
         def read(self, partition):
-            import json
-
             from pyarrow import fs
 
             system, where = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
-            decoder, buffer, n = json.JSONDecoder(), "", 0
             with system.open_input_stream(where) as f:
-                import codecs
-
-                chunks = codecs.iterdecode(iter(lambda: f.read(1 << 20), b""), "utf-8")
-                opened = False
-                for chunk in chunks:
-                    buffer += chunk
-                    if not opened:
-                        buffer = buffer.lstrip()
-                        if not buffer:
-                            continue
-                        if buffer[0] != "{":
-                            raise ValueError("not a JSON object")
-                        buffer, opened = buffer[1:], True
-                    while True:
-                        rest = buffer.lstrip(" \t\r\n,")
-                        if not rest or rest[0] == "}":
-                            break
-                        try:
-                            key, at = decoder.raw_decode(rest)
-                            colon = rest[at:].lstrip()
-                            if not colon.startswith(":"):
-                                break
-                            value, end = decoder.raw_decode(tail := colon[1:].lstrip())
-                            if end == len(tail):
-                                break  # a number may go on
-                        except json.JSONDecodeError:
-                            break
-                        yield key, json.dumps(value, ensure_ascii=False), n
-                        n += 1
-                        buffer = tail[end:]
+                for n, (key, value) in enumerate(keyed_pairs(codecs.iterdecode(iter(lambda: f.read(1 << 20), b""), "utf-8"))):
+                    yield key, json.dumps(value, ensure_ascii=False), n
 
     class KeyedJson(DataSource):
         @classmethod
@@ -143,8 +197,8 @@ def keyed_json_source():
     return KeyedJson
 
 
-def write_jsonl(df: DataFrame, path: str, columns: tuple[str, ...], order: str = "_ord", *, single_file: bool = True) -> None:
-    """One compact JSON object a line, in order. A single file is a contract for small exports; large ones keep their parts."""
+def write_jsonl(df: DataFrame, path: str, columns: tuple[str, ...], order: str = "_ord", *, single_file: bool = False) -> None:
+    """One compact JSON object a line, in order over the parts by name. A single file is written by one task: for small exports only."""
     rows = df.orderBy(order).select(F.to_json(F.struct(*columns)).alias("value"))
     (rows.coalesce(1) if single_file else rows).write.mode("errorifexists").text(path)
 

@@ -25,9 +25,9 @@ def write_manifest(df: DataFrame, path: str, split: str, key: str, seed: int) ->
 def write_evaluation(predictions: DataFrame, folder: str, *, protected: bool = False, correct: str = "primary_correct") -> None:
     """Predictions, and the wrong ones beside them unless the split is protected."""
     columns = tuple(predictions.columns)
-    write_jsonl(predictions, f"{folder}/predictions", columns, columns[0], single_file=False)
+    write_jsonl(predictions, f"{folder}/predictions", columns, columns[0])
     if not protected:
-        write_jsonl(predictions.filter(~F.col(correct)), f"{folder}/error_cases", columns, columns[0], single_file=False)
+        write_jsonl(predictions.filter(~F.col(correct)), f"{folder}/error_cases", columns, columns[0])
 
 
 def require(df: DataFrame, error: str, report: str) -> DataFrame:

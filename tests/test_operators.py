@@ -48,6 +48,33 @@ def test_split_does_not_depend_on_partitions(spark):
     assert sorted(r for _, r, _ in seen[0]) == sorted([*range(1, 168), *range(1, 168), *range(1, 167)])
 
 
+def test_ranks_of_many_rows_are_places(spark):
+    """More rows than range bounds are sampled from: every rank is met once."""
+    n = 200_000
+    df = spark.range(n).repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        parts = {r.part: r["count"] for r in Sp.partition_by_ratio(df, "id").groupBy("part").count().collect()}
+        assert parts == {0: 166_667, 1: 16_667, 2: 16_666}
+        split = Sp.train_dev(df, "id")
+        assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"dev": 20_000, "train": 180_000}
+        for ranked, column in ((split, "rank"), (C.with_rank(df, "id"), "rank"), (Sp.twister_order(df.limit(60_000), "id", 3), "place")):
+            low = column == "rank"
+            r = ranked.agg(F.min(column), F.max(column), F.countDistinct(column), F.count("*")).first()
+            assert tuple(r) == (int(low), r[3] - 1 + low, r[3], r[3])
+        strata = Sp.rank_within(df.withColumn("s", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string"))), "s", "id")
+        assert strata.groupBy("s").agg((F.max("rank") == F.count("*")).alias("a"), (F.countDistinct("rank") == F.count("*")).alias("b")).filter("not a or not b").count() == 0
+        chat = df.select(F.array(F.struct(F.lit("user").alias("role"), F.lit("q").alias("content"))).alias("messages"), F.col("id").alias("_ord"))
+        assert C.prepare(chat, "s", "train").select("id").distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_long_markdown_tables_say_what_is_left_out(spark):
+    text = G.markdown_table(spark.range(300), limit=10)
+    assert text.count("\n| ") == 10 and text.endswith("The first 10 of 300 rows.\n") and "rows." not in G.markdown_table(spark.range(10), limit=10)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 11, 70, 101])
 def test_three_percentiles(spark, n):
     import math

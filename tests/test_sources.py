@@ -45,9 +45,35 @@ def test_pool_and_keyed_json(spark, tmp_path):
     assert [(r.key, r.value.q, r.value.n) for r in rows] == [(f"k{i}", f"é{i}", i) for i in range(500)]
 
 
+def test_keyed_json_is_whole_or_an_error(spark, tmp_path):
+    pairs = {f"k{i}": {"q": "x" * (i * 37 % 90), "n": i, "deep": [i, None, {"a": "\\u00e9, }"}]} for i in range(60)}
+    text = json.dumps(pairs)
+    for size in (1, 7, 64, 10**6):
+        chunks = lambda t, size=size: iter([t[i : i + size] for i in range(0, len(t), size)])
+        assert dict(S.keyed_pairs(chunks(text))) == pairs
+        assert list(S.keyed_pairs(chunks(" { } \n"))) == []
+        assert list(S.keyed_pairs(chunks('{"a": 12, "b":true}'))) == [("a", 12), ("b", True)]
+        for bad in (text[: len(text) // 2], text[:-1], text.replace('"n": 30', '"n": oops 30'), text + "x", "[1]", "", '{"a":1 "b":2}', '{"a":1,}', '{1:2}'):
+            with pytest.raises(ValueError, match="keyed JSON"):
+                list(S.keyed_pairs(chunks(bad)))
+    (tmp_path / "cut.json").write_text(text[:-40])
+    with pytest.raises(Exception, match="keyed JSON"):
+        S.read_keyed_json(spark, str(tmp_path / "cut.json"), "q string").collect()
+
+
+def test_order_over_files_is_by_name(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    want = []
+    for name, n in (("a", 3), ("b", 500), ("c", 1), ("d", 90)):
+        ids = [f"{name}{i}" for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"id": i}) + "\n" for i in ids))
+        want += ids
+    assert [r.id for r in S.read_jsonl(spark, str(tmp_path), schema, ("id",)).orderBy("_ord").collect()] == want
+
+
 def test_write_then_read(spark, tmp_path):
     df = spark.createDataFrame([(2, "b", "é"), (1, "a", None)], "_ord long, id string, v string")
-    S.write_jsonl(df, str(tmp_path / "out"), ("id", "v"))
+    S.write_jsonl(df, str(tmp_path / "out"), ("id", "v"), single_file=True)
     text = next((tmp_path / "out").glob("part-*")).read_text(encoding="utf-8")
     assert text == '{"id":"a"}\n{"id":"b","v":"é"}\n'
 
