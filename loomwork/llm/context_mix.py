@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import lower_ascii, mix64, pick, settle, ship, sub_batches
+from loomwork.llm.textkit import lower_ascii, mix64, pick, power_tables, settle, ship, sub_batches
 
 #: Context bits of the predictors: two bytes, four bytes, the word so far.
 BITS = (16, 17, 18)
@@ -50,17 +50,6 @@ BLOCKS = (256, 256, 512, 1024, 2048)
 LAST_BLOCK = 4096
 _END_HASH = xxhash.xxh64_intdigest(b"\x00end")
 _M = np.uint64(0x9E3779B97F4A7C15)
-_M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, m in enumerate((_M, _M_INV)):
-            p = np.full(n + (1 << 18), m, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -76,7 +65,7 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     b1, b2, b3, b4 = (wide[at - k] for k in (1, 2, 3, 4))
     two = ((b1 | b2 << np.uint32(8)) * np.uint32(40503)) & np.uint32(0xFFFF)
     four = (b1 | b2 << np.uint32(8) | b3 << np.uint32(16) | b4 << np.uint32(24)) * np.uint32(2654435761) >> np.uint32(32 - BITS[1])
-    power, inverse = _power_tables(len(buf) + 1)
+    power, inverse = power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
     blank = (buf <= 32) & ((buf == 0) | (buf == 32) | (buf >= 9) & (buf <= 13))
@@ -93,7 +82,7 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    power, inverse = _power_tables(len(buf) + 1)
+    power, inverse = power_tables(len(buf) + 1)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
     blank = (buf == 32) | ((buf >= 9) & (buf <= 13))

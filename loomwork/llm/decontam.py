@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import Encoder, pick, shingle_hashes, ship, sub_batches, word_hashes
+from loomwork.llm.textkit import pick, release, shingle_hashes, ship, sub_batches, word_hashes
 
 _WORDS = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
@@ -153,7 +153,7 @@ def find(df: DataFrame, items: DataFrame, *, width: int = 5, containment: float
         shared = spark.sparkContext.broadcast(Items(rows, width, containment, hashes))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            Encoder.release()
+            release()
             index = shared.value
             for b in sub_batches(batches, 4 << 20):
                 ids = b.column(0).to_pylist()

@@ -2,162 +2,304 @@
 
 Each line is parsed into tokens (A-Z lower-cased); tokens with a digit are variable fields. The tree has a fixed
 depth: the token count, then the first four tokens. Lines of one leaf are parsed in the order of their
-hashes: a line joins the template that agrees with it in most places, at least ``similar`` of them, and places
-that differ become variable; else it founds a template. Lines of up to four tokens are their own leaf.
+hashes: a line joins the template that agrees with it in most places, at least ``similar`` of them (of equals the older
+one), and places that differ become variable; else it founds a template. Lines of up to four tokens are their own leaf.
 
-A template recurs when it is met in at least ``min_docs`` documents that are no near copies of each other (classes of
-``near_copies`` among the documents that hold a template of ``min_docs`` documents): a class counts once, and copies are left to document-level dedup. A recurring template stays in its first document (least doc_id) and is dropped from all
-others.
+A template recurs when ``min_docs`` documents hold it that are no near copies of each other; copies of a document alone do not
+make its lines recur, and are left to document-level dedup. Whether two documents are near copies is read off sketches: BINS
+least hashes of five-word shingles of the whole text, of which a share of COPY agrees. Documents of equal sketches count once; the others
+are taken in the order of their sketch ids, and each that is no near copy of those taken before is taken, until there are
+``min_docs``. That goes first by slices of a template's documents, then over what the slices took, so that no
+task holds all documents of a template. A recurring template stays in its first document (least doc_id) and is dropped
+from all others.
 
 Lines travel as hashes, templates as 16 bits a token; no key is collected whole: hot lines are pre-aggregated
-or met by ``skew_join``.
+or met by ``skew_join``. The lines of a leaf are parsed by one task, in memory of 2 bytes a token of each template. A line is compared
+only with templates that share a block of tokens with it: of a leaf's places after the leading tokens, cut in one
+block more than may differ, one block at least agrees, so nothing is missed.
 
 Nulls: a null text is an empty one; blank lines are never dropped and never counted. Null ids come last.
-Repeated rows are one document. Empty tables give no rows.
+Repeated rows are one document. Empty tables give no rows. A table that has columns named like the two counts keeps them;
+the counts then take the first free name with a number.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import skew_join
-from loomwork.llm.near_copies import classes
-from loomwork.llm.textkit import Encoder, lower_ascii, pick, settle, ship, sub_batches
+from loomwork.llm.textkit import lower_ascii, mix64, pick, release, run_hashes, settle, ship, sub_batches, token_bounds
 
 LEAD = 4
-_DIGIT = re.compile(rb"[0-9]").search
+BINS = 32
+COPY = 0.8
+WIDTH = 5
+#: Documents of a template in one slice, about.
+SLICE = 500_000
+_FIELD = np.uint64(0x2A2A2A2A)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Short(dict):
-    """token -> 16 bits of its hash, remembered while there are few."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[token] = xxhash.xxh64_intdigest(token) & 0xFFFF
-        return h
+def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    return F.xxhash64(doc_id, text)
 
 
-_SHORT = _Short()
+def sketches(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n documents the least shingle hash of each bin, cut to 16 bits; 0 where a bin is empty."""
+    size = np.bincount(owner, minlength=n)
+    width = np.minimum(size, WIDTH)
+    end = np.cumsum(size)
+    at = np.arange(len(tokens))
+    at = at[at <= (end - width)[owner]]  # where a shingle begins
+    whose = owner[at]
+    h = np.zeros(len(at), dtype=np.uint64)
+    for j in range(WIDTH):
+        here = np.minimum(at + j, len(tokens) - 1)
+        h = np.where(j < width[whose], h * _ODD + tokens[here], h)
+    h = mix64(h)
+    low = np.full(n * BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(low, whose * BINS + (h >> np.uint64(59)).astype(np.int64), h)
+    out = (low & np.uint64(0xFFFF)).astype("<u2") | np.uint16(1)
+    out[low == np.iinfo(np.uint64).max] = 0
+    return out.reshape(n, BINS)
 
 
-def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
-    return F.xxhash64(doc_id, text)
+def _binary(data: np.ndarray, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    mask = np.packbits(valid, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(mask.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def _parsed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each distinct line of each document, and one (line null) with the sketch of each document."""
+    n = b.num_rows
+    texts = [lower_ascii(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+    buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
+    first, end = token_bounds(buf)
+    tokens = run_hashes(buf, first, end)
+    breaks = np.flatnonzero(buf == 10)
+    line_no = np.searchsorted(breaks, first) - 1  # among the lines of all texts
+    lines_of = np.fromiter((t.count(b"\n") + 1 for t in texts), dtype=np.int64, count=n)
+    line_end = np.cumsum(lines_of)
+    owner = np.searchsorted(line_end, line_no, side="right")
+    marks = sketches(tokens, owner, n)
+    digits = np.zeros(len(buf) + 1, dtype=np.int64)
+    np.cumsum((buf >= 48) & (buf <= 57), out=digits[1:])
+    fields = np.where(digits[end] > digits[first], _FIELD, tokens)
+    # Lines that have tokens.
+    a = np.flatnonzero(np.diff(line_no, prepend=-1))
+    z = np.append(a[1:], len(line_no)) if len(a) else a
+    line = run_hashes(fields, a, z)
+    doc, at = owner[a], line_no[a] - (line_end - lines_of)[owner[a]]
+    # Equal lines of a document are one row with all their places.
+    order = np.lexsort((at, line, doc))
+    head = np.flatnonzero(np.concatenate(([True], (line[order][1:] != line[order][:-1]) | (doc[order][1:] != doc[order][:-1])))) if len(order) else order
+    places = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+    pick_ = order[head]
+    a, z, line, doc = a[pick_], z[pick_], line[pick_], doc[pick_]
+    size = z - a
+    deep = size > LEAD
+    leaf = size.astype(np.uint64)
+    for j in range(LEAD):
+        leaf = mix64(leaf * _ODD + fields[np.minimum(a + j, max(len(fields) - 1, 0))]) if len(a) else leaf
+    kept = np.where(deep, size, 0)
+    spot = np.repeat(a - (np.cumsum(kept) - kept), kept) + np.arange(kept.sum())
+    sig = (fields[spot] & np.uint64(0xFFFF)).astype("<u2")
+    sid = mix64(marks.view("<u8").reshape(n, -1) @ np.arange(1, BINS // 4 + 1, dtype=np.uint64) * _ODD) if n else np.zeros(0, np.uint64)
+    sid = sid.view(np.int64)
+    some = len(a)
+    who = pa.array(np.concatenate((doc, np.arange(n))))
+    valid = np.concatenate((deep, np.ones(n, dtype=bool)))
+    data = np.concatenate((sig, marks.reshape(-1)))
+    sizes = np.concatenate((kept * 2, np.full(n, BINS * 2)))
+    none = pa.nulls(n, pa.int64())
+    cols = [
+        b.column(0).take(who), b.column(1).take(who), pa.array(sid).take(who), pa.concat_arrays([pa.array(line.view(np.int64)), none]),
+        pa.concat_arrays([pa.array(leaf.view(np.int64), mask=~deep) if some else pa.array([], pa.int64()), none]), pa.concat_arrays([places, pa.nulls(n, places.type)]), _binary(data, sizes, valid),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["rk", "doc_id", "sid", "line", "leaf", "at", "tokens"])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """rk, doc_id, line (hash), leaf (hash; null where the leaf is the line), at (places), tokens (16 bits each)."""
+    """rk, doc_id, sid (hash of the sketch), line (hash), leaf (hash; null where the leaf is the line), at (places), tokens (16
+    bits each). A row without line holds a document's sketch as its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Encoder.release()
-        digest, names = xxhash.xxh64_intdigest, ["rk", "doc_id", "line", "leaf", "at", "tokens"]
-        for b in sub_batches(batches):
-            cols: list[list] = [[] for _ in names]
-            for rk, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen: dict[int, tuple[list[int], list[bytes]]] = {}
-                for i, raw in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-                    tokens = lower_ascii(raw).split()
-                    if _DIGIT(raw):
-                        tokens = [b"<*>" if _DIGIT(t) else t for t in tokens]
-                    if tokens:
-                        seen.setdefault(_signed(digest(b" ".join(tokens))), ([], tokens))[0].append(i)
-                for h, (at, tokens) in seen.items():
-                    leaf = sig = None
-                    if len(tokens) > LEAD:
-                        leaf = _signed(digest(b" ".join((str(len(tokens)).encode(), *tokens[:LEAD])), 1))
-                        sig = np.fromiter(map(_SHORT.__getitem__, tokens), dtype="<u2", count=len(tokens)).tobytes()
-                    for c, v in zip(cols, (rk, doc, h, leaf, at, sig), strict=True):
-                        c.append(v)
-            types = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    return docs.mapInArrow(run, "rk long, doc_id long, line long, leaf long, at array<int>, tokens binary")
+        release()
+        for b in sub_batches(batches, 1 << 20):
+            yield _parsed(b)
+
+    return docs.mapInArrow(run, "rk long, doc_id long, sid long, line long, leaf long, at array<int>, tokens binary")
+
+
+class Leaf:
+    """The templates of one leaf, found by the blocks of their founders' tokens."""
+
+    def __init__(self, size: int, similar: float) -> None:
+        self.least = similar * size
+        differ = int(size - self.least + 1e-9)
+        places = size - LEAD
+        self.cuts = np.unique(np.linspace(LEAD, size, differ + 2).astype(np.int64)) if differ < places else None
+        self.index: dict[tuple[int, bytes], list[int]] = defaultdict(list)
+        self.founders: list[int] = []
+        self.matrix = np.zeros((8, size), dtype=np.int32)
+
+    def blocks(self, tokens: np.ndarray) -> list[tuple[int, bytes]]:
+        data = tokens.astype("<u2").tobytes()
+        return [(k, data[2 * i : 2 * j]) for k, (i, j) in enumerate(zip(self.cuts.tolist(), self.cuts[1:].tolist(), strict=False))]
+
+    def put(self, line: int, tokens: np.ndarray) -> int:
+        """The founder of the line's template; the line itself where it founds one."""
+        n = len(self.founders)
+        keys = self.blocks(tokens) if self.cuts is not None else []
+        near = np.array(sorted({k for key in keys for k in self.index.get(key, ())}), dtype=np.int64) if keys else np.arange(n)
+        if len(near):
+            same = (self.matrix[near] == tokens).sum(axis=1)
+            best = int(np.argmax(same))
+            if same[best] >= self.least - 1e-9:
+                k = int(near[best])
+                self.matrix[k][self.matrix[k] != tokens] = -1
+                return self.founders[k]
+        if n == len(self.matrix):
+            self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
+        self.matrix[n] = tokens
+        for key in keys:
+            self.index[key].append(n)
+        self.founders.append(line)
+        return line
 
 
 def _parse(similar: float):
     """Over lines sorted by (leaf, line): (line, template) where the template is another line's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, previous, founders, size = None, None, [], 0
-        matrix = np.zeros((0, 0), dtype=np.int32)
+        now, previous, leaf = None, None, None
         for b in batches:
             lines, templates = [], []
-            for now, line, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, line, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.frombuffer(sig, dtype="<u2").astype(np.int32)
-                if now != leaf or len(tokens) != matrix.shape[1]:
-                    leaf, founders, size, matrix = now, [], 0, np.zeros((8, len(tokens)), dtype=np.int32)
-                elif line == previous:
-                    continue
-                previous = line
-                if size:
-                    same = (matrix[:size] == tokens).sum(axis=1)
-                    k = int(np.argmax(same))
-                    if same[k] >= similar * len(tokens):
-                        matrix[k][matrix[k] != tokens] = -1
+                if leaf is None or key != now or len(tokens) != leaf.matrix.shape[1]:
+                    now, previous, leaf = key, None, Leaf(len(tokens), similar)
+                if line != previous:
+                    previous, founder = line, leaf.put(line, tokens)
+                    if founder != line:
                         lines.append(line)
-                        templates.append(founders[k])
-                        continue
-                if size == len(matrix):
-                    matrix = np.concatenate((matrix, np.zeros_like(matrix)))
-                matrix[size] = tokens
-                founders.append(line)
-                size += 1
+                        templates.append(founder)
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(templates, pa.int64())], names=["line", "template"])
 
     return run
 
 
+def unlike(marks: np.ndarray, most: int) -> list[int]:
+    """The rows taken when each is taken that is no near copy of those taken before, up to most."""
+    taken: list[int] = []
+    left = np.arange(len(marks))
+    while len(left) and len(taken) < most:
+        k = int(left[0])
+        taken.append(k)
+        rest = marks[left]
+        either = ((rest != 0) | (marks[k] != 0)).sum(axis=1)
+        left = left[((rest == marks[k]) & (rest != 0)).sum(axis=1) < COPY * np.maximum(either, 1)]
+    return taken
+
+
+def _unlike(most: int):
+    """Over rows (template, slice, sid, mark) sorted by the first three: the rows that ``unlike`` takes of each (template, slice)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {"key": None, "sid": [], "mark": np.zeros((0, BINS), "<u2")}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            template, part, sid = (b.column(i).to_numpy() for i in range(3))
+            marks = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype="<u2").reshape(-1, BINS)
+            head = np.flatnonzero(np.concatenate(([True], (template[1:] != template[:-1]) | (part[1:] != part[:-1]))))
+            out: list[tuple[int, int, int, bytes]] = []
+            for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(template)], strict=True):
+                key = (int(template[lo]), int(part[lo]))
+                if key != held["key"]:
+                    out += [(*held["key"], s, m.tobytes()) for s, m in zip(held["sid"], held["mark"], strict=True)] if held["key"] else []
+                    held = {"key": key, "sid": [], "mark": np.zeros((0, BINS), "<u2")}
+                if len(held["sid"]) < most:
+                    # What was taken comes first, so it is taken again.
+                    sids, all_ = [*held["sid"], *sid[lo:hi].tolist()], np.concatenate((held["mark"], marks[lo:hi]))
+                    taken = unlike(all_, most) if len(all_) > 1 else [0]
+                    held["sid"], held["mark"] = [sids[k] for k in taken], all_[taken]
+            if out:
+                yield batch(out)
+        if held["key"]:
+            yield batch([(*held["key"], s, m.tobytes()) for s, m in zip(held["sid"], held["mark"], strict=True)])
+
+    def batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["template", "slice", "sid", "mark"])
+
+    return run
+
+
 def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rk, at: the places of lines to drop, a row for each document (by row_key of id and text) that loses any."""
     spark = ship(df.sparkSession)
-    docs = pick(df, id_col, text_col).select(row_key().alias("rk"), "doc_id", "text")
-    found = settle(occurrences(docs))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = settle(occurrences(pick(df, id_col, text_col).select(row_key().alias("rk"), "doc_id", "text")))
+    marks = found.filter("line is null").select("sid", F.col("tokens").alias("mark"))
+    found = found.filter("line is not null")
     lines = settle(found.groupBy("line", "leaf").agg(F.count("*").alias("n")))
     busy = lines.filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1").select("leaf")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One occurrence of each line of a leaf that holds several lines.
-    one = found.filter("leaf is not null").groupBy("line", "leaf").agg(F.min("rk").alias("rk")).join(busy, "leaf", "left_semi")
-    sigs = found.filter("leaf is not null").select("line", "rk", "tokens").join(one, ["line", "rk"])
+    sigs = found.filter("leaf is not null").join(busy, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
     ordered = sigs.select("leaf", "line", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "line")
-    moved = ordered.mapInArrow(_parse(similar), "line long, template long")
-    moved = settle(moved.join(lines.groupBy("line").agg(F.sum("n").alias("n")), "line"))
-    slim = found.select("rk", "doc_id", "line", "at")
-    known = settle(skew_join(slim, moved, "line", "n", "left").withColumn("template", F.coalesce("template", "line")))
+    moved = settle(ordered.mapInArrow(_parse(similar), "line long, template long"))
+    # Lines of templates that so many rows hold.
+    named = lines.groupBy("line").agg(F.sum("n").alias("n")).join(moved, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    often = named.groupBy("template").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select("template")
+    wanted = settle(named.join(often, "template").select("line", "template", "n"))
+    known = settle(skew_join(found.select("rk", "doc_id", "sid", "line", "at"), wanted, "line", "n"))
 
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rk")
-    per_doc = known.groupBy("template", "rk").agg(F.min(place).alias("first"))
-    often = settle(per_doc.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template", "n"))
-    per_doc = settle(skew_join(known, often, "template", "n").groupBy("template", "rk").agg(F.min(place).alias("first")))
-    copies = classes(docs, settle(per_doc.select("rk").distinct())).select("rk", F.col("root").alias("around")).dropDuplicates(["rk"])
-    per_doc = per_doc.join(copies, "rk", "left").withColumn("around", F.coalesce("around", "rk"))
-    per_around = per_doc.groupBy("template", "around").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    stats = per_around.groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"), F.min("first").alias("first"))
-    drop = settle(stats.filter(F.col("n_around") >= min_docs).select("template", F.col("first.rk").alias("first_rk"), F.col("n_docs").alias("n")))
-    hit = skew_join(known, drop, "template", "n").filter("rk <> first_rk")
-    # A repeated row has its places twice.
-    return hit.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    per = settle(known.groupBy("template", "sid").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    several = per.groupBy("template").agg(F.count("*").alias("m"), F.min("first").alias("first"), F.sum("n").alias("n")).filter(F.col("m") >= min_docs)
+    several = settle(several.select("template", F.col("first.rk").alias("first_rk"), "n", "m"))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("m") / SLICE))
+    rows = skew_join(per.select("template", "sid"), several.select("template", "m", slices.alias("slices")), "template", "m")
+    rows = rows.select("template", F.expr("pmod(sid, slices)").alias("slice"), "sid").join(marks.groupBy("sid").agg(F.min("mark").alias("mark")), "sid")
+    schema = "template long, slice long, sid long, mark binary"
+    taken = rows.select("template", "slice", "sid", "mark").repartition(n, "template", "slice").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
+    taken = taken.select("template", F.lit(0).cast("long").alias("slice"), "sid", "mark").repartition(n, "template").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
+    recur = taken.groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template")
+    drop = settle(several.join(recur, "template").select("template", "first_rk", "n"))
+    hit = skew_join(known.select("rk", "template", "at"), drop, "template", "n").filter("rk <> first_rk")
+    # Equal rows have the same places: a set holds them once.
+    return hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at"))
+
+
+def rebuilt(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (df's columns as they are), text (without the dropped lines), n_lines (not blank) and n_dropped."""
+    gone = recurring(df, min_docs=min_docs, similar=similar, id_col=id_col, text_col=text_col)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    was = F.col("row")[text_col]
+    text = F.coalesce(was.cast("string"), F.lit(""))
+    met = rows.withColumn("rk", row_key(F.col("row")[id_col].cast("long"), text)).join(gone, "rk", "left").withColumn("lines", F.split(text, "\n"))
+    left = F.array_join(F.expr("transform(array_except(sequence(0, size(lines) - 1), at), i -> lines[i])"), "\n")
+    counted = F.size(F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    return met.select("row", F.when(F.col("at").isNull(), was).otherwise(left).alias("text"), counted.alias("n_lines"), F.coalesce(F.when(F.col("at").isNotNull(), F.size("at")), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with its text rebuilt without the dropped lines, and two more columns: n_lines (not blank) and n_dropped."""
-    gone = recurring(df, min_docs=min_docs, similar=similar, id_col=id_col, text_col=text_col)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = df.withColumn("__rk", row_key(F.col(f"`{id_col}`").cast("long"), text))
-    met = keyed.join(gone.select(F.col("rk").alias("__rk"), F.col("at").alias("__at")), "__rk", "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__at", i)), "\n")
-    counted = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    met = met.withColumn("n_lines", counted.cast("long")).withColumn("n_dropped", F.coalesce(F.size("__at"), F.lit(0)).cast("long"))
-    met = met.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
-    return met.withColumn(text_col, F.when(F.col("__at").isNull(), F.col(f"`{text_col}`")).otherwise(left)).drop("__rk", "__at")
+    out = rebuilt(df, min_docs=min_docs, similar=similar, id_col=id_col, text_col=text_col)
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        return next(c for c in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if c.lower() not in taken)
+
+    kept = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
+    return out.select(*kept, F.col("n_lines").alias(free("n_lines")), F.col("n_dropped").alias(free("n_dropped")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import Encoder, pick, settle, ship, sub_batches
+from loomwork.llm.textkit import pick, release, settle, ship, sub_batches
 
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "wide": range(128, 256), "mark": b"#*$%&|<>", "bar": b"|", "bang": b"!?", "stop": b".", "comma": b",;:", "other": b"\"'()-/=@[]^_`{}~+\\", "control": [*range(9), *range(14, 32), 127]}
 _SETS = np.zeros((len(_CLASSES), 256))
@@ -49,12 +49,12 @@ def feature_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Encoder.release()
+        release()
         for b in sub_batches(batches):
             rows = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["doc_id", "rk", "x"])
 
-    return pick(df, id_col, text_col).mapInArrow(run, "doc_id long, x array<double>")
+    return pick(df, id_col, text_col).withColumn("rk", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, rk long, x array<double>")
 
 
 class Ranker:
@@ -108,6 +108,12 @@ def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = 200_000, ridge: float
 
 def score(df: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, held_fold: int = 0, max_rows: int = 20_000, max_pairs: int = 200_000, quantile: float = 0.002, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of held-out ids are never read into the fit."""
+    out = score_rows(df, labels, label=label, folds=folds, held_fold=held_fold, max_rows=max_rows, max_pairs=max_pairs, quantile=quantile, cut=cut, id_col=id_col, text_col=text_col)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def score_rows(df: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, held_fold: int = 0, max_rows: int = 20_000, max_pairs: int = 200_000, quantile: float = 0.002, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score``, with rk, a hash of id and text by which rows are known."""
     held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == held_fold, F.lit(False))
     x = settle(feature_table(df, id_col=id_col, text_col=text_col))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).dropna().filter(~held("doc_id"))
@@ -124,9 +130,9 @@ def score(df: DataFrame, labels: DataFrame, *, label: str = "quality", folds: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                m = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                m = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
                 s = np.full(b.num_rows, 0.5) if ranker is None else ranker.score(m)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "rk", "score", "predicted"])
 
-    out = x.mapInArrow(run, "doc_id long, score double, predicted int")
-    return out.select("doc_id", held("doc_id").alias("held_out"), "score", "predicted")
+    out = x.mapInArrow(run, "doc_id long, rk long, score double, predicted int")
+    return out.select("doc_id", held("doc_id").alias("held_out"), "score", "predicted", "rk")

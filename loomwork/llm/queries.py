@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import context_mix, decontam, ext_hash, license_dice, line_templates, packing, quality_bt, simhash_tiles, sstable, weak_rules
+from loomwork.llm import context_mix, decontam, ext_hash, license_dice, line_templates, packing, pipeline, quality_bt, simhash_tiles, sstable, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +57,7 @@ def op10_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     ops = (op1_quality_bradley_terry, op2_quality_rules, op3_context_mixing, op4_decontamination, op5_license_scan, op6_sum_of_squares_packing, op7_line_templates, op8_simhash_tiles, op9_extendible_sharding, op10_sstable_tokens)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 #: op4: exact containment over all documents and items. Items of fewer than five words are left to the tests.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components, skew_join, with_roots
-from loomwork.llm.textkit import Encoder, ascii_words, pick, settle, ship, sub_batches
+from loomwork.llm.textkit import ascii_words, pick, release, settle, ship, sub_batches
 
 TILE = 1024
 
@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, *, width: int = 3, seed: int = 42, id_col: str =
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Encoder.release()
+        release()
         for b in sub_batches(batches):
             fps = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.session import settle, shared_dir  # noqa: F401  (the operators take them from here)
+
 WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -39,24 +41,6 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jvm_dir.get() if jvm_dir.isDefined() else None
-        if folder is None:
-            folder = f"/tmp/loomwork-checkpoints-{os.getpid()}"
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage: the rows are computed once, into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, as doc_id and text; whatever else the table holds stays out."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -97,6 +81,12 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def release() -> None:
+    """Workers are reused: one that begins other work gives back what it remembered."""
+    Encoder.release()
+    _HASHES.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
@@ -119,6 +109,35 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, m in enumerate((_ODD, _ODD_INVERSE)):
+            p = np.full(n + (1 << 18), m, dtype=np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[first:last] for each pair, read off running sums: a polynomial of the values, mixed."""
+    power, inverse = power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=total[1:])
+    return mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+
+
+def token_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each word in bytes that begin and end with a blank."""
+    blank = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+
+
 # ---------------------------------------------------------------------------------------------------
 # Byte-level BPE through the tokenizers library. Its pieces never cross the bounds that the vocabulary's
 # pattern sets, so ids of a piece may be remembered: that saves most of the library's work on running text.
