@@ -1,72 +1,5 @@
-"""A corpus from raw documents to packed sequences, in five stages of the operators in loomwork.llm.
+"""The pipeline of loomwork.llm, under the name that the driver looks for."""
 
-Each stage takes what the one before kept, as Parquet written and read again. All but the last return the columns of
-documents, whatever these are.
-"""
+from loomwork.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomwork.llm import decontam, line_templates, near_copies, packing, quality_bt
-from loomwork.llm.components import skew_join
-from loomwork.llm.textkit import pick, settle, shared_dir
-
-#: SQL cannot express the learned, clustered and packed stages; tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    scores = quality_bt.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.filter("predicted = 0"))
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document of which nothing else is left goes with them."""
-    out = line_templates.dedup(docs)
-    out = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the least id stays."""
-    classes = near_copies.classes(pick(docs).select(line_templates.row_key().alias("rk"), "doc_id", "text"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    return _without(docs, skew_join(classes, settle(least), "root", "n").filter("doc_id <> least"))
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("line_dedup", line_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
