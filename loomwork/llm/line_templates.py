@@ -252,11 +252,10 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     found = settle(occurrences(pick(df, id_col, text_col).select(row_key().alias("rk"), "doc_id", "text")))
     marks = found.filter("line is null").select("sid", F.col("tokens").alias("mark"))
     found = found.filter("line is not null")
-    lines = settle(found.groupBy("line", "leaf").agg(F.count("*").alias("n")))
+    # One occurrence of each line: copies are gone before lines meet by leaf.
+    lines = settle(found.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("tokens").alias("tokens")))
     busy = lines.filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1").select("leaf")
-    # One occurrence of each line of a leaf that holds several lines.
-    sigs = found.filter("leaf is not null").join(busy, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-    ordered = sigs.select("leaf", "line", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "line")
+    ordered = lines.join(busy, "leaf", "left_semi").select("leaf", "line", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "line")
     moved = settle(ordered.mapInArrow(_parse(similar), "line long, template long"))
     # Lines of templates that so many rows hold.
     named = lines.groupBy("line").agg(F.sum("n").alias("n")).join(moved, "line", "left").withColumn("template", F.coalesce("template", "line"))

@@ -5,8 +5,9 @@ A shard is one file, written once and never changed:
     blocks   each: entries, then nothing; an entry is varint(shared), varint(unshared), key tail,
              varint(value length), value. Keys share a prefix with the key before them in the block; a
              block's first key is whole, so a block can be read alone. Values are little-endian unsigned
-             32-bit ids. A block is zlib-compressed as a whole.
-    index    one entry a block: its first key, offset, stored size, entries
+             32-bit ids. A block is compressed by zstd
+             as a whole, after the varint of its plain size.
+    index    one entry a block: its first key, offset, stored size, entries, crc32 of the stored block
     bloom    bits for all keys of the shard
     footer   fixed size: offsets and sizes of index and bloom, entries, ids, hash count, crc32 of index and
              bloom, magic
@@ -89,7 +90,7 @@ class ShardWriter:
         self.sink, self.block_bytes, self.bits_per_key = sink, block_bytes, bits_per_key
         self.codec = pa.Codec("zstd", compression_level=1)
         self.at = self.entries = self.ids = 0
-        self.index: list[tuple[bytes, int, int, int]] = []
+        self.index: list[tuple[bytes, int, int, int, int]] = []
         self.hashes: list[int] = []
         self._begin()
 
@@ -118,13 +119,13 @@ class ShardWriter:
             plain = self.buf.getvalue()
             data = _varint(len(plain)) + self.codec.compress(plain, asbytes=True)
             self.sink.write(data)
-            self.index.append((self.first, self.at, len(data), self.n))
+            self.index.append((self.first, self.at, len(data), self.n, zlib.crc32(data)))
             self.at += len(data)
             self._begin()
 
     def close(self) -> None:
         self.flush()
-        index = b"".join(_varint(len(k)) + k + _varint(o) + _varint(s) + _varint(n) for k, o, s, n in self.index)
+        index = b"".join(_varint(len(k)) + k + _varint(o) + _varint(s) + _varint(n) + _varint(crc) for k, o, s, n, crc in self.index)
         bits = max(64, self.entries * self.bits_per_key) + 7 & ~7
         k = max(1, round(0.69 * self.bits_per_key))
         marks = np.zeros(bits, dtype=bool)
@@ -150,7 +151,8 @@ class Shard:
         index, self.bloom = self._part(i_at, i_len), self._part(b_at, b_len)
         if zlib.crc32(self.bloom, zlib.crc32(index)) != crc:
             raise ValueError(f"damaged shard: {uri}")
-        self.blocks: list[tuple[bytes, int, int, int]] = []
+        self.uri = uri
+        self.blocks: list[tuple[bytes, int, int, int, int]] = []
         at = 0
         while at < len(index):
             n, at = _read_varint(index, at)
@@ -158,7 +160,8 @@ class Shard:
             o, at = _read_varint(index, at)
             s, at = _read_varint(index, at)
             m, at = _read_varint(index, at)
-            self.blocks.append((key, o, s, m))
+            crc, at = _read_varint(index, at)
+            self.blocks.append((key, o, s, m, crc))
         self.firsts = [b[0] for b in self.blocks]
 
     def _part(self, at: int, n: int) -> bytes:
@@ -166,8 +169,10 @@ class Shard:
         return self.file.read(n)
 
     def block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
-        _, o, s, n = self.blocks[i]
+        _, o, s, n, crc = self.blocks[i]
         stored, key = self._part(o, s), b""
+        if zlib.crc32(stored) != crc:
+            raise ValueError(f"damaged block {i}: {self.uri}")
         size, at = _read_varint(stored, 0)
         data, at = pa.Codec("zstd").decompress(stored[at:], decompressed_size=size, asbytes=True), 0
         for _ in range(n):
@@ -199,6 +204,16 @@ class Shard:
         return found
 
 
+def _publish(system: pafs.FileSystem, own: str, final: str) -> None:
+    """Gives a whole file its name. Where a repeated task finds the name taken, and the file system keeps it, the bytes are the same."""
+    try:
+        system.move(own, final)
+    except OSError:
+        if system.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+        system.delete_file(own)
+
+
 def write(df: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, block_bytes: int = 64 << 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and gives their manifest: shard, path, n_docs, n_ids; shards without documents have no row.
 
@@ -228,7 +243,7 @@ def write(df: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: i
         if writer is not None:
             writer.close()
             sink.close()
-            system.move(own, final)
+            _publish(system, own, final)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/shard-{part:06d}.sst"]), pa.array([writer.entries], pa.int64()), pa.array([writer.ids], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
     rows = pick(df, id_col, text_col).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -19,6 +19,21 @@ def test_encoder_is_the_librarys(text):
     assert np.frombuffer(Encoder.of(default_tokenizer()).encode([text])[0], "<u4").tolist() == encoded(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="asStvelrmd'  \n\t\r17!-éß×÷Ÿ", max_size=30), max_size=4))
+def test_pieces_of_plain_texts_are_the_librarys(texts):
+    enc = Encoder.of(default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts, most_bytes=20)] == [encoded(t) for t in texts]
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    enc = Encoder(default_tokenizer())
+    monkeypatch.setattr(enc, "most", 40)
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + k % 26)} it's {i}" for i in range(k % 7, 30)) for k in range(60)]
+    for k in range(0, 60, 5):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts[k : k + 5])] == [encoded(t) for t in texts[k : k + 5]]
+
+
 def test_pieces_tile_documents_and_sequences(docs, corpus):
     rows = packing.pack(docs, window=64).collect()
     by_doc, by_seq = {}, {}
@@ -103,6 +118,11 @@ def test_lookup_by_binary_search(tmp_path):
         w2.add(sstable.key_of(2), b"")
         w2.add(sstable.key_of(1), b"")
     data = bytearray(open(path, "rb").read())
+    data[s.blocks[2][1] + 4] ^= 1
+    (tmp_path / "d").write_bytes(data)
+    with pytest.raises(ValueError, match="damaged block 2"):
+        list(sstable.Shard(str(tmp_path / "d")).scan())
+    data = bytearray(open(path, "rb").read())
     data[-sstable.FOOTER.size - 3] ^= 1
     (tmp_path / "c").write_bytes(data)
     with pytest.raises(ValueError, match="damaged"):
