@@ -182,7 +182,7 @@ def pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[ends - 1] = True
     cut[ends[buf[ends - 1] == 32]] = False
     # Contractions: an apostrophe that begins a piece, and the letters after it.
-    at = np.flatnonzero((buf[:-3] == 39) & cut[:-4] & (kind[1:-2] == _LETTER))
+    at = np.flatnonzero((buf[:-2] == 39) & cut[:-3] & (kind[1:-1] == _LETTER))
     x, y = buf[at + 1], buf[at + 2]
     one = (x == 115) | (x == 116) | (x == 109) | (x == 100)
     two = ((x == 108) & (y == 108)) | (((x == 118) | (x == 114)) & (y == 101))
