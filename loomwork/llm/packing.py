@@ -4,8 +4,8 @@ Each document (its ids and one end id) arrives once, in the order of its partiti
 off at once; what is left, shorter than a window, goes where the sum over fill levels of the squared number
 of open windows at that level becomes least: into an open window of level h, which moves one count from
 N[h] to N[h+s], or into a new one, which raises N[s]; a window that becomes full leaves the array. Equal
-choices take the fullest window. When the partition ends, the windows still open are emptied into one
-stream that is cut at window bounds, and its tail at powers of two, which need no padding. A partition needs
+choices take the fullest window. When the partition ends, pieces of the emptiest open windows are cut to fill the
+fullest ones; all other pieces stay where they are. The last window is cut at powers of two, which need no padding. A partition needs
 no other partition: nothing is shuffled, and a lost task repeats alone with the same result.
 
 Nulls: a null text is an empty text, one piece with the end id alone. A null doc_id stays null. Repeated
@@ -33,7 +33,7 @@ class SquarePacker:
         self.window, self.next, self.emit = window, first_id, emit
         self.count = np.zeros(window + 1, dtype=np.int64)  # open windows by fill; 0 and window stay 0
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
-        self.levels = np.arange(window, dtype=np.int64)
+        self.moved = 0  # ids that did not stay where the sum of squares had put them
 
     def close(self, pieces: list[tuple]) -> None:
         self.emit(self.next, pieces)
@@ -71,9 +71,35 @@ class SquarePacker:
             self.count[best + s] += 1
 
     def finish(self) -> None:
-        """Empties the open windows: their pieces form a stream that fills windows to the last id."""
-        stream = [p for level in reversed(self.open) for pieces in level for p in pieces]
+        """Fills the fullest open windows to the last id with pieces of the emptiest ones, which alone give up their place.
+
+        What is left of the last window is cut at powers of two, which need no padding.
+        """
+        windows = [pieces for level in reversed(self.open) for pieces in level]
+        self.open = [[] for _ in range(self.window)]
+        self.count[:] = 0
+        at, last = 0, len(windows) - 1
+        while at < last:
+            pieces, used = windows[at], sum(len(p[2]) for p in windows[at])
+            while used < self.window and at < last:
+                doc, start, ids, n, _ = windows[last].pop()
+                take = min(self.window - used, len(ids))
+                pieces.append((doc, start, ids[:take], n, used))
+                used, self.moved = used + take, self.moved + take
+                if take < len(ids):
+                    windows[last].append((doc, start + take, ids[take:], n, 0))
+                elif not windows[last]:
+                    last -= 1
+            if used < self.window:  # the donors ran out
+                break
+            self.close(pieces)
+            at += 1
+        if at <= last:
+            self._cut(windows[at])
+
+    def _cut(self, stream: list[tuple]) -> None:
         left = sum(len(p[2]) for p in stream)
+        self.moved += left
         fill: list[tuple] = []
         size, used = self._next_size(left), 0
         for doc, start, ids, n, _ in stream:
@@ -85,8 +111,6 @@ class SquarePacker:
                 if used == size:
                     self.close(fill)
                     fill, size, used = [], self._next_size(left), 0
-        self.open = [[] for _ in range(self.window)]
-        self.count[:] = 0
 
     def _next_size(self, left: int) -> int:
         return self.window if left >= self.window else 1 << max(0, left.bit_length() - 1)

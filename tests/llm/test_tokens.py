@@ -78,6 +78,27 @@ def test_packer_takes_the_least_sum_of_squares():
         assert int((packer.count**2).sum()) == min(map(total, options))
 
 
+@pytest.mark.parametrize(("docs_", "most"), [(8192, 0.01), (1000, 0.06), (300, 0.2)])
+def test_most_ids_stay_where_the_method_puts_them(docs_, most):
+    """Also in small partitions: of ids that are not part of a whole window, those moved at the end are few."""
+    r, windows = np.random.default_rng(docs_), []
+    packer = packing.SquarePacker(2048, 0, lambda k, pieces: windows.append(pieces))
+    sizes = np.maximum(1, r.lognormal(5.8, 1.0, docs_)).astype(int)
+    for k, n in enumerate(sizes):
+        packer.add(k, np.arange(n))
+    packer.finish()
+    assert packer.moved <= most * sizes.sum()
+    seen = {}
+    for pieces in windows:
+        assert [p[4] for p in pieces] == [0, *np.cumsum([len(p[2]) for p in pieces])[:-1]]
+        used = sum(len(p[2]) for p in pieces)
+        assert used == 2048 or (used & (used - 1) == 0 and used < 2048)
+        for doc, start, ids, n, _ in pieces:
+            assert n == sizes[doc] and ids[0] == start
+            seen.setdefault(doc, []).extend(ids.tolist())
+    assert all(sorted(seen[k]) == list(range(n)) for k, n in enumerate(sizes))
+
+
 def test_empty_tables(nothing):
     assert packing.pack(nothing).count() == 0
     assert sstable.round_trip(nothing).count() == 0
