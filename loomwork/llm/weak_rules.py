@@ -1,9 +1,13 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains) from counts of the whole text. Expectation-maximisation
-over the vote patterns finds each rule's accuracy and the share of good documents; a document's posterior
-probability of being good replaces an all-must-pass filter. Vote patterns are counted first, so an iteration
-reads at most 3**8 rows, whatever the corpus.
+over the vote patterns finds how often each rule votes each way on good and on bad documents, and the share of good
+documents; a document's posterior probability of being good replaces an all-must-pass filter. Nothing but Laplace smoothing holds the
+estimates. Which class is the good one is set by the start alone: the more rules vote bad, the likelier a pattern begins as bad.
+A defect shows in several rules (symbols lengthen words, repetition lowers the number of distinct words), so that no single
+defect becomes a class of its own, and one mild symptom can be outvoted.
+
+Vote patterns are counted first: the driver sees at most 3**12 rows of 13 numbers, whatever the corpus, and iterates over these.
 
 Counts (null text: none): words are runs outside space and the controls 9 to 13. A word repeats where it lies in
 a window of three words that the text has twice or more; windows compare by a 64-bit hash of their words.
@@ -16,13 +20,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.textkit import pick, settle
 
 _BLANK = r"\x20\x09-\x0D"
-_WIDE = 1 << 20
 
 
 def counts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,32 +40,26 @@ def counts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit("[!?]")).cast("long").alias("n_bangs"),
+        F.regexp_count("text", F.lit("[.!?]")).cast("long").alias("n_marks"),
         F.coalesce(F.expr(rf"text rlike '[.!?…\"”»][{_BLANK}]*\\z'"), F.lit(False)).alias("ends"),
     )
     t = t.select(
-        "doc_id", "word_chars", "n_symbols", "n_upper", "n_bangs", "ends",
+        "doc_id", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_marks", "ends",
         F.size("w").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.size(F.filter("w", lambda x: F.char_length(x) == 1)).cast("long").alias("n_single"),
+        F.expr("if(size(w) < 2, 0L, cast(size(filter(sequence(0, size(w) - 2), i -> w[i] = w[i + 1])) as bigint))").alias("n_stutter"),
         F.expr("if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))").alias("h"),
     )
-    # Windows in the order of their hashes, with their places: the place is in the low 20 bits, or, in a
-    # text of over a million words, beside the hash. Equal neighbours mark both places.
+    # Windows in the order of their hashes, with their places; equal neighbours mark both places.
     t = t.withColumn("some", F.size(F.array_distinct("h")) < F.size("h"))
-    t = t.withColumn("order", F.expr(f"""
-        case when not some then cast(array() as array<int>)
-             when size(h) <= {_WIDE} then transform(sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, 20), 20) | cast(i as bigint))), p -> cast(p & {_WIDE - 1} as int))
-             else transform(sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i))), p -> p.i) end"""))
+    t = t.withColumn("order", F.expr("if(some, transform(sort_array(transform(h, (x, i) -> named_struct('x', x, 'i', i))), p -> p.i), cast(array() as array<int>))"))
     t = t.withColumn("marked", F.expr("""
         if(size(order) = 0, order, sort_array(filter(transform(sequence(0, size(order) - 1), k ->
             if((k > 0 and h[order[k]] = h[order[greatest(k, 1) - 1]]) or (k < size(order) - 1 and h[order[k]] = h[order[least(k + 1, size(order) - 1)]]), order[k], -1)), p -> p >= 0)))"""))
     # Windows reach three words; of two that begin closer, the later one adds only the distance.
     covered = "if(size(marked) = 0, 0L, aggregate(marked, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n))"
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_bangs", "ends")
-
-
-#: Rules for one defect are written to fire on at most one good document in 1000, and each finds its own kind of
-#: bad document, from a tenth to a half of them. Estimation keeps within that: else the commonest defect would
-#: become the class of bad documents and the other defects a habit of good ones.
-DEFECTS = ("word_length", "symbols", "lines", "repeats", "capitals", "bangs")
+    rest = ("n_lines", "n_upper", "n_bangs", "n_marks", "n_distinct", "n_single", "n_stutter", "ends")
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).cast("long").alias("n_repeat_words"), *rest)
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -69,57 +67,73 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    per = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
-    lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    """Votes by name. A text without words gets what its zero counts give."""
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    per = lambda c: F.col(c) / n
+    repeated_lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    # Distinct words grow more slowly than the text.
+    variety = F.col("n_distinct") / F.pow(n.cast("double"), F.lit(0.8))
     return {
         "length": _vote(F.col("n_words") >= 100, F.col("n_words") < 50),
-        "word_length": _vote(per("word_chars").between(3, 10), (per("word_chars") < 2) | (per("word_chars") > 15)),
-        "symbols": _vote(per("n_symbols") <= 0.01, per("n_symbols") > 0.1),
-        "lines": _vote(F.col("n_dup_lines") == 0, lines > 0.3),
-        "repeats": _vote(per("n_repeat_words") < 0.1, per("n_repeat_words") > 0.3),
-        "capitals": _vote(F.col("n_upper") < 0.15 * F.col("word_chars"), F.col("n_upper") > 0.4 * F.col("word_chars")),
-        "bangs": _vote(per("n_bangs") < 0.05, per("n_bangs") > 0.3),
-        "ending": _vote(F.col("ends"), F.col("n_words") == 0),
+        "word_length": _vote(per("word_chars").between(4.2, 6.5), (per("word_chars") < 3.5) | (per("word_chars") > 7)),
+        "symbols": _vote(per("n_symbols") <= 0.01, per("n_symbols") > 0.05),
+        "single": _vote(per("n_single") < 0.1, per("n_single") > 0.25),
+        "lines": _vote(F.col("n_dup_lines") == 0, repeated_lines > 0.2),
+        "repeats": _vote(per("n_repeat_words") < 0.05, per("n_repeat_words") > 0.25),
+        "capitals": _vote(F.col("n_upper") < 0.06 * F.col("word_chars"), F.col("n_upper") > 0.25 * F.col("word_chars")),
+        "bangs": _vote(per("n_bangs") < 0.05, per("n_bangs") > 0.25),
+        "ending": _vote(F.col("ends"), ~F.col("ends")),
+        "variety": _vote(variety > 1.7, variety < 1.2),
+        "stutter": _vote(per("n_stutter") < 0.03, per("n_stutter") > 0.1),
+        "marks": _vote(per("n_marks").between(0.02, 0.2), (per("n_marks") < 0.01) | (per("n_marks") > 0.3)),
     }
 
 
-def posterior(prior: float, accuracy: dict[str, tuple[float, float]]) -> Column:
-    """Probability of a good document, of the vote columns. accuracy: a rule's on good and on bad documents."""
+#: For each rule the chances that it votes -1, 0 and 1, on good documents and on bad ones.
+Rates = dict[str, tuple[tuple[float, float, float], tuple[float, float, float]]]
+
+
+def posterior(prior: float, rates: Rates) -> Column:
+    """Probability of a good document, of the vote columns."""
     odds = F.lit(math.log(prior / (1 - prior)))
-    for name, (good, bad) in accuracy.items():
-        v = F.col(f"vote_{name}")
-        odds = odds + F.when(v > 0, math.log(good / (1 - bad))).when(v < 0, math.log((1 - good) / bad)).otherwise(0.0)
+    for name, (good, bad) in rates.items():
+        v, gain = F.col(f"vote_{name}"), [math.log(g / b) for g, b in zip(good, bad, strict=True)]
+        odds = odds + F.when(v < 0, gain[0]).when(v > 0, gain[2]).otherwise(gain[1])
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def estimate(votes: DataFrame, names: list[str], *, rounds: int = 40, start: tuple[float, float] = (0.999, 0.25), prior: float = 0.8) -> tuple[float, dict[str, tuple[float, float]]]:
-    """The share of good documents and each rule's two accuracies where it votes, by expectation-maximisation.
+def maximise(votes: np.ndarray, counts: np.ndarray, *, rounds: int = 500, close: float = 1e-7) -> tuple[float, np.ndarray]:
+    """The share of good documents, and rates[class, rule, vote + 1] with class 0 the good one, of patterns met counts times.
 
-    A rule that finds one defect says little by not finding it, so its accuracy on bad documents is its own.
+    Every rate is (expected votes + 1) / (expected documents + 3), the share (expected good ones + 1) / (documents + 2).
     """
-    patterns = settle(votes.groupBy(*[f"vote_{n}" for n in names]).agg(F.count("*").alias("n")).coalesce(1))
-    accuracy = dict.fromkeys(names, start)
+    bad = (votes < 0).sum(axis=1)
+    good = np.choose(np.minimum(bad, 2), (0.95, 0.6, 0.1))
+    cast = np.stack([votes == o for o in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
     for _ in range(rounds):
-        p = patterns.withColumn("good", F.col("n") * posterior(prior, accuracy)).withColumn("bad", F.col("n") - F.col("good"))
-        sums = [F.sum(F.when(F.col(f"vote_{n}").isin(*v), F.col(y))).alias(f"{n}_{y}_{k}") for n in names for y, right in (("good", 1), ("bad", -1)) for k, v in (("right", [right]), ("voted", [1, -1]))]
-        row = p.agg(F.sum("n").alias("all"), F.sum("good").alias("good"), *sums).first()
-        if not row["all"]:
-            break
-        rate = lambda n, y, r=row: min(0.9995, max(0.01, ((r[f"{n}_{y}_right"] or 0.0) + 0.1) / ((r[f"{n}_{y}_voted"] or 0.0) + 0.2)))
-        new = {n: (max(0.999, rate(n, "good")), min(0.5, max(0.1, rate(n, "bad")))) if n in DEFECTS else (max(0.5, rate(n, "good")), max(0.05, rate(n, "bad"))) for n in names}
-        new_prior = min(0.9, max(0.5, row["good"] / row["all"]))
-        moved = max(abs(new_prior - prior), *(abs(x - y) for n in names for x, y in zip(new[n], accuracy[n], strict=True)))
-        accuracy, prior = new, new_prior
-        if moved < 1e-5:
+        share = ((good * counts).sum() + 1) / (counts.sum() + 2)
+        rates = np.stack([(np.einsum("p,pro->ro", c * counts, cast) + 1) / ((c * counts).sum() + 3) for c in (good, 1 - good)])
+        odds = math.log(share / (1 - share)) + np.einsum("pro,ro->p", cast, np.log(rates[0] / rates[1]))
+        now = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        moved, good = np.abs(now - good).max(initial=0.0), now
+        if moved < close:
             break
-    return prior, accuracy
+    return share, rates
+
+
+def estimate(votes: DataFrame, names: list[str]) -> tuple[float, Rates]:
+    """The share of good documents and the rates of each rule, by expectation-maximisation over the distinct patterns."""
+    columns = [f"vote_{n}" for n in names]
+    rows = sorted(tuple(r) for r in votes.groupBy(*columns).agg(F.count("*").alias("n")).collect())  # at most 3 ** rules
+    table = np.array(rows, dtype=np.int64).reshape(len(rows), len(names) + 1)
+    share, rates = maximise(table[:, :-1], table[:, -1].astype(float))
+    return float(share), {n: (tuple(rates[0, k].tolist()), tuple(rates[1, k].tolist())) for k, n in enumerate(names)}
 
 
 def judge(df: DataFrame, *, keep_from: float = 0.5, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base_failed, kept and posterior_quality (the posterior, rounded to 6 places) of every row."""
     names = list(rules())
-    c = settle(counts(df, id_col=id_col, text_col=text_col))
-    votes = c.withColumns({f"vote_{n}": v for n, v in rules().items()})
-    prior, accuracy = estimate(votes, names)
-    out = votes.withColumn("posterior_quality", F.round(posterior(prior, accuracy), 6)).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    votes = settle(counts(df, id_col=id_col, text_col=text_col)).withColumns({f"vote_{n}": v for n, v in rules().items()})
+    out = votes.withColumn("posterior_quality", F.round(posterior(*estimate(votes, names)), 6))
+    out = out.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior_quality") >= keep_from)).alias("kept"), "posterior_quality")
