@@ -182,23 +182,50 @@ def test_model_is_a_distribution_and_learns():
 # --- licences -------------------------------------------------------------------------------------
 
 
-def test_licences_against_brute_force(docs, corpus, nothing, spark):
-    extra = [(2000, "intro\nReleased under the MIT license\nend"), (2001, "licensed UNDER the apache license version 2.0!"), (2002, "Released under\nthe MIT License."), (2003, "All rights are reserved by nobody"), (2004, "All rights reserved.")]
+def slow_matches(text, notices, least=0.8):
+    """Every window of every template, with sets of its own."""
+    w, found = re.findall(r"[^\W_]+", (text or "").lower()), []
+    for name, notice in notices:
+        t = re.findall(r"[^\W_]+", notice.lower())
+        g, before = set(zip(t, t[1:], strict=False)), None
+        for s in range(len(w) - 1):
+            window = w[s : s + len(t)]
+            have = set(zip(window, window[1:], strict=False))
+            dice = 2 * len(g & have) / (len(g) + len(have))
+            if window[:2] and tuple(window[:2]) in g and dice >= least:
+                if before is None or s - before > len(t) - 1:
+                    found.append((name, s, len(window), dice))
+                elif dice > found[-1][3]:
+                    found[-1] = (name, s, len(window), dice)
+                before = s
+    found.sort(key=lambda m: (-m[3], -m[2], m[0], m[1]))
+    return [m for i, m in enumerate(found) if not any(o[1] < m[1] + m[2] and m[1] < o[1] + o[2] for o in found[:i])]
+
+
+def test_licences_wrapped_embedded_and_edited(docs, corpus, nothing, spark):
+    r = random.Random(12)
+    filler = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    extra, want = [], {}
+    for k, (name, text) in enumerate(license_dice.NOTICES):
+        edited = text.split()
+        for at in range(15, len(edited), 25):
+            edited[at] = "changed"
+        for j, t in enumerate((f"{filler(40)} {text} {filler(30)}", wrap(text, 7, " * "), f"{filler(3)}\n{' '.join(edited).upper()}\n{filler(50)}")):
+            extra.append((2000 + 10 * k + j, t))
+            want[2000 + 10 * k + j] = name
+    extra += [(5000, "Copyright 2020 X. Released under\nthe MIT License. See LICENSE."), (5001, "All rights are reserved by nobody"), (5002, ""), (5003, "License"), (5004, "All rights reserved. " + filler(40) + " All rights reserved.")]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    want = []
-    for i, t in [*corpus, *extra]:
-        lines = (t or "").split("\n")
-        for k, u in [*enumerate(lines), *([(-1, t)] if len(lines) > 1 else [])]:
-            g = license_dice.bigrams(u)
-            best = None
-            for name, notice in license_dice.NOTICES:
-                b = license_dice.bigrams(notice)
-                if g and (dice := 2 * len(g & b) / (len(g) + len(b))) >= 0.8:
-                    best = min(best or (0, ""), (-dice, name))
-            if best:
-                want.append((i, k, best[1], -best[0]))
     got = license_dice.scan(df).collect()
-    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 5
+    have = {}
+    for x in got:
+        have.setdefault(x.doc_id, []).append(x.license)
+    assert {i: have.get(i) for i in want} == {i: [n] for i, n in want.items()}
+    assert have[5000] == ["MIT"] and 5001 not in have and have[5004] == ["all-rights-reserved"] * 2 and set(have) == {*want, 5000, 5004}
+    few = [*corpus, *[x for x in extra if x[0] % 10 == 2 or x[0] >= 5000]]
+    keys = {i for i, _ in few}
+    slow = sorted((i, s, n, name, dice) for i, t in few for name, s, n, dice in slow_matches(t, license_dice.NOTICES))
+    assert sorted(tuple(x) for x in got if x.doc_id in keys) == slow
     assert license_dice.scan(nothing).count() == 0
 
 
