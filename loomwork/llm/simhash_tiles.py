@@ -7,7 +7,7 @@ Two fingerprints within ``radius`` bits agree in at least one of radius + 1 bloc
 counts differ by at most radius. Tiles are therefore keyed by (block, block value, population count //
 (radius + 1)); a fingerprint is a member of its own tile and a visitor of the tile below. Inside a tile, numpy
 compares pieces of 1024 by exclusive-or and bit count and skips pairs of pieces whose population counts differ
-beyond the radius. A task keeps a union-find of what it has linked and emits a spanning forest, never all
+beyond the radius. A tile of many fingerprints is split into pairs of pieces, each a task's. A task keeps a union-find of what it has linked and emits a spanning forest, never all
 pairs of a group. Components settle the rest.
 
 Nulls: a null text is an empty one; empty texts have fingerprint zero and link like any other. A null doc_id
@@ -28,6 +28,8 @@ from loomwork.llm.components import components, skew_join, with_roots
 from loomwork.llm.textkit import ascii_words, pick, release, settle, ship, sub_batches
 
 TILE = 1024
+#: Fingerprints in one tile beyond which it is split.
+MOST = 50_000
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
@@ -114,7 +116,26 @@ def _short_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, longest: int,
     return (np.concatenate(ii) if ii else empty), (np.concatenate(jj) if jj else empty)
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def _split(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key, fp, own), with tiles of over ``most`` fingerprints dealt to tasks of their own.
+
+    Such a tile is cut into pieces by a hash; a task takes two pieces (or one), under a key made of the tile's and theirs. So all
+    pairs meet, and no task holds more than about two pieces. Sizes are counted in the cluster; large tiles are few, as
+    a fingerprint is in a fixed number of tiles.
+    """
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    large = settle(large.select("key", F.ceil(F.col("n") / most).cast("int").alias("pieces")))
+    if not large.head(1):
+        return rows
+    met = rows.join(F.broadcast(large), "key", "left")  # at most tiles / most rows
+    mine = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    dealt = met.filter("pieces is not null").select("key", "fp", "own", mine.alias("i"), other.alias("j"))
+    dealt = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "own")
+    return met.filter("pieces is null").select("key", "fp", "own").unionByName(dealt)
+
+
+def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     """(a, b): spanning forests of the links among distinct fingerprints (column fp)."""
     parts = radius + 1
     cuts = [64 * k // parts for k in range(parts + 1)]
@@ -123,7 +144,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     keys = F.array(*[F.struct(F.xxhash64(F.lit(k), v, group - back).alias("key"), F.lit(back == 0).alias("own")) for k, v in enumerate(blocks) for back in (0, 1)])
     spark = ship(fps.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.select("fp", F.explode(keys).alias("t")).select(F.col("t.key").alias("key"), "fp", F.col("t.own").alias("own")).repartition(n, "key").sortWithinPartitions("key", "fp")
+    rows = fps.select("fp", F.explode(keys).alias("t")).select(F.col("t.key").alias("key"), "fp", F.col("t.own").alias("own"))
+    rows = _split(rows, most).repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

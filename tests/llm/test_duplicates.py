@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -46,7 +47,8 @@ def test_near_duplicates_against_all_pairs(docs, corpus):
     assert got == sorted(slow_classes(corpus, 2), key=key)
 
 
-def test_links_of_clustered_fingerprints(spark):
+@pytest.mark.parametrize("most", [simhash_tiles.MOST, 90])
+def test_links_of_clustered_fingerprints(spark, most):
     """Dense clusters, so that tiles hold long runs and chains of links."""
     r = random.Random(2)
     fps = set()
@@ -67,7 +69,7 @@ def test_links_of_clustered_fingerprints(spark):
             break
         label = new
     df = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long")
-    roots = {r.node: r.root for r in components.with_roots(components.components(simhash_tiles.links(df))).collect()}
+    roots = {r.node: r.root for r in components.with_roots(components.components(simhash_tiles.links(df, most=most))).collect()}
     got = collections.defaultdict(set)
     for x in a.view(np.int64).tolist():
         got[roots.get(x, x)].add(x)
