@@ -41,7 +41,7 @@ BINS = 32
 COPY = 0.8
 WIDTH = 5
 #: Documents of a template in one slice, about.
-SLICE = 500_000
+SLICE = 2000
 _FIELD = np.uint64(0x2A2A2A2A)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

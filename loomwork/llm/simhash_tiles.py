@@ -116,8 +116,8 @@ def _short_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, longest: int,
     return (np.concatenate(ii) if ii else empty), (np.concatenate(jj) if jj else empty)
 
 
-def _split(rows: DataFrame, most: int) -> DataFrame:
-    """rows (key, fp, own), with tiles of over ``most`` fingerprints dealt to tasks of their own.
+def split(rows: DataFrame, most: int) -> DataFrame:
+    """rows (key, fp and others), with tiles of over ``most`` fingerprints dealt to tasks of their own.
 
     Such a tile is cut into pieces by a hash; a task takes two pieces (or one), under a key made of the tile's and theirs. So all
     pairs meet, and no task holds more than about two pieces. Sizes are counted in the cluster; large tiles are few, as
@@ -130,9 +130,10 @@ def _split(rows: DataFrame, most: int) -> DataFrame:
     met = rows.join(F.broadcast(large), "key", "left")  # at most tiles / most rows
     mine = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    dealt = met.filter("pieces is not null").select("key", "fp", "own", mine.alias("i"), other.alias("j"))
-    dealt = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "own")
-    return met.filter("pieces is null").select("key", "fp", "own").unionByName(dealt)
+    rest = [c for c in rows.columns if c != "key"]
+    dealt = met.filter("pieces is not null").select("key", *rest, mine.alias("i"), other.alias("j"))
+    dealt = dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *rest)
+    return met.filter("pieces is null").select("key", *rest).unionByName(dealt)
 
 
 def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
@@ -145,7 +146,7 @@ def links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     spark = ship(fps.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = fps.select("fp", F.explode(keys).alias("t")).select(F.col("t.key").alias("key"), "fp", F.col("t.own").alias("own"))
-    rows = _split(rows, most).repartition(n, "key").sortWithinPartitions("key", "fp")
+    rows = split(rows, most).repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
