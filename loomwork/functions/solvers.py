@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import partial
 
 from loomwork.functions.grammar import WORD_LIST
 
@@ -325,25 +326,31 @@ def solve_cryptarithm(examples: Pairs, question: str) -> Found:
     return forward(question), ""
 
 
-def solve_symbolic(examples: Pairs, question: str) -> Found:
-    """Numeric questions try the equation solver first, others the cryptarithm; a result without a rule gives way to the next."""
+def solve_symbolic(examples: Pairs, question: str, *, at_once: bool = False) -> Found:
+    """Numeric questions try the equation solver first, others the cryptarithm; a result without a rule gives way to the next,
+    or, at once, to none (the second and third version)."""
     order = (solve_equation, solve_cryptarithm) if re.fullmatch(r"\d+\D\d+", question) else (solve_cryptarithm, solve_equation)
     for f in order:
         found = f(examples, question)
-        if found and found[1]:
-            return found
+        if found and (found[1] or at_once):
+            return found if found[1] else None
     return None
 
 
 SOLVERS = {"bit_manipulation": solve_bits, "numeral": solve_numeral, "cipher": solve_cipher, "symbolic_transform": solve_symbolic}
 
 
-def solve(task: str, examples: Pairs, question: str) -> tuple[str, str, str]:
+#: Registries by version: the solvers are the same, the symbolic dispatcher of later versions returns at once.
+VERSIONS = {1: SOLVERS, 2: SOLVERS | {"symbolic_transform": partial(solve_symbolic, at_once=True)}}
+VERSIONS[3] = VERSIONS[2]
+
+
+def solve(task: str, examples: Pairs, question: str, version: int = 1) -> tuple[str, str, str]:
     """(answer, rule, error); error is empty where there is an answer."""
-    if task not in SOLVERS:
+    if task not in VERSIONS[version]:
         return "", "", "missing_reasoner"
     try:
-        found = SOLVERS[task](examples, question)
+        found = VERSIONS[version][task](examples, question)
     except (ValueError, KeyError, IndexError, ZeroDivisionError) as e:
         return "", "", f"{type(e).__name__}"
     return (found[0], found[1], "") if found else ("", "", "no_rule")

@@ -139,3 +139,41 @@ def render(messages: Column | str = "messages", *, generation: bool = False, no_
     if generation:
         text = F.concat(text, F.lit("<|im_start|>assistant\n" + ("<think>\n\n</think>\n\n" if no_think else "")))
     return text
+
+
+def render_base(messages: Column | str = "messages") -> Column:
+    """The chat in the base form: thoughts stay only after the last user message, and the last answer always shows a block for them."""
+    m = F.col(messages) if isinstance(messages, str) else messages
+    newlines = lambda c, side: F.regexp_replace(c, r"\A\n+" if side == "left" else r"\n+\z", "")
+    asked = F.array_max(F.transform(m, lambda x, i: F.when(x["role"] == "user", i).otherwise(-1)))
+
+    def said(x: Column, i: Column) -> Column:
+        head = F.concat(F.lit("<|im_start|>"), x["role"], F.lit("\n"))
+        text = x["content"]
+        parted = F.contains(text, F.lit("</think>"))
+        thought = F.when(parted, newlines(F.substring_index(newlines(F.substring_index(text, "</think>", 1), "right"), "<think>", -1), "left")).otherwise("")
+        answer = F.when(parted, newlines(F.substring_index(text, "</think>", -1), "left")).otherwise(text)
+        shown = (i > asked) & ((i == F.size(m) - 1) | (thought != ""))
+        block = F.concat(F.lit("<think>\n"), newlines(newlines(thought, "left"), "right"), F.lit("\n</think>\n\n"), newlines(answer, "left"))
+        return F.concat(head, F.when(x["role"] != "assistant", text).when(shown, block).otherwise(answer), F.lit("<|im_end|>\n"))
+
+    return F.array_join(F.transform(m, said), "")
+
+
+def stop_ids(vocabulary: dict[str, int], end: str = "<|im_end|>", eos: str | None = "<|endoftext|>", unknown: int | None = None) -> dict[str, int]:
+    """Ids that end a generation, of a tokenizer's vocabulary; a missing one is an error."""
+    if vocabulary.get(end) is None or vocabulary[end] == unknown:
+        raise ValueError(f"tokenizer does not define {end}")
+    if eos is None or vocabulary.get(eos) is None:
+        raise ValueError("tokenizer does not define an end of text")
+    return {"im_end": int(vocabulary[end]), "endoftext": int(vocabulary[eos])}
+
+
+def training_form(native: str, base: str, training: str, patched: str | None = None) -> str:
+    """The training template: a patched one, or the own one where the native template is the base; it must mark generations."""
+    chosen = patched if patched is not None else training if native.strip() == base.strip() else None
+    if chosen is None:
+        raise ValueError("the chat template cannot be trained on, and there is no patch for it")
+    if "{% generation" not in chosen and "{%- generation" not in chosen:
+        raise ValueError("training chat template has no generation markers")
+    return chosen

@@ -36,3 +36,8 @@ def assemble(candidates: DataFrame, quotas: dict[str, dict[str, int]]) -> DataFr
 
 def stats(mixture: DataFrame) -> DataFrame:
     return mixture.groupBy("split", "category").agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_prompts"), F.round(F.avg(F.char_length("user")), 6).alias("mean_chars"))
+
+
+def think_stats(rows: DataFrame) -> DataFrame:
+    """Rows of each category (category, thinking, user): with and without a thought, and mean characters asked."""
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if("thinking").alias("n_thinking"), F.count_if(~F.col("thinking")).alias("n_plain"), F.round(F.avg(F.char_length("user")), 6).alias("mean_chars"))

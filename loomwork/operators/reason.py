@@ -48,7 +48,7 @@ def physics(df: DataFrame) -> DataFrame:
     return df.withColumn("solved", F.when(F.col("error").isNull(), F.col("gold"))).withColumn("rule", F.when(F.col("error").isNull(), F.when(gravity, "g = 2*d/t^2").otherwise("output/input")))
 
 
-def symbolic(df: DataFrame) -> DataFrame:
+def symbolic(df: DataFrame, version: int = 1) -> DataFrame:
     """Adds values (none), coefficient, predicted (null), solved, rule and error from the Python solvers, in Arrow batches.
 
     Rows pass through with all their columns: nothing is joined back.
@@ -60,7 +60,7 @@ def symbolic(df: DataFrame) -> DataFrame:
 
         for b in batches:
             tasks, examples, questions = (b.column(c).to_pylist() for c in ("task_type", "examples", "question"))
-            out = [solve(t, [(e["input_value"], e["output_value"]) for e in ex or []], q or "") for t, ex, q in zip(tasks, examples, questions, strict=True)]
+            out = [solve(t, [(e["input_value"], e["output_value"]) for e in ex or []], q or "", version) for t, ex, q in zip(tasks, examples, questions, strict=True)]
             cols = [[a if not e else None for a, _, e in out], [r if not e else None for _, r, e in out], [e or None for _, _, e in out]]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.string()) for c in cols]], names=[*b.schema.names, *new])
 
@@ -68,10 +68,10 @@ def symbolic(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema).withColumns({"values": F.array().cast("array<double>"), "coefficient": F.lit(None).cast("double"), "predicted": F.lit(None).cast("double")})
 
 
-def reason(df: DataFrame) -> DataFrame:
+def reason(df: DataFrame, version: int = 1) -> DataFrame:
     """df has task_type, examples, question and gold. Adds solved, rule, values, coefficient, predicted, error, ok."""
     a = physics(df.filter(F.col("task_type").isin(*PHYSICS)))
-    b = symbolic(df.filter(~F.col("task_type").isin(*PHYSICS)))
+    b = symbolic(df.filter(~F.col("task_type").isin(*PHYSICS)), version)
     return a.unionByName(b, allowMissingColumns=True).withColumn("ok", F.coalesce(F.col("solved") == F.col("gold"), F.lit(False)))
 
 

@@ -76,7 +76,16 @@ def record_errors_mixture(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("sample_type", F.coalesce(error, F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query()
+# The lenient rule: the first of each tag, and a thought that is not blank.
+_LENIENT = f"""WITH {V.THINKING}, a AS (SELECT *, strpos(assistant, '<think>') AS a, strpos(assistant, '</think>') AS z FROM thinking),
+    p AS (SELECT *, coalesce(a > 0 AND z > a AND trim(substr(assistant, a + 7, greatest(0, z - a - 7)), E' \\n') <> '', false) AS parsed, trim(substr(assistant, z + 8), E' \\n') AS final, trim(substr(assistant, a + 7, greatest(0, z - a - 7)), E' \\n') AS reasoning, task_type = 'bit_manipulation' AS bits FROM a),
+    e AS (SELECT *, CASE WHEN NOT parsed THEN 'no_think_structure' WHEN final = '' THEN 'empty_final' WHEN final <> answer THEN 'final_mismatch' WHEN {TOKENS.format('reasoning')} > 306 THEN 'reasoning_too_long'
+        WHEN {TOKENS.format('question')} + {TOKENS.format('assistant')} > 640 THEN 'total_too_long' WHEN contains(final, chr(10)) AND len(regexp_extract_all(final, '[\\p{{L}}\\p{{N}}_]+')) > 40 THEN 'final_explains' WHEN bits AND NOT regexp_full_match(final, '[01]{{8}}') THEN 'not_8_bits' ELSE 'ok' END AS thinking_error,
+        CASE WHEN contains(assistant, '<think>') OR contains(assistant, '</think>') THEN 'think_tags' WHEN bits AND NOT regexp_full_match(trim(assistant), '[01]{{8}}') THEN 'not_8_bits' ELSE 'ok' END AS plain_error FROM p)
+    SELECT CASE WHEN wants_think THEN 'thinking' ELSE 'no_think' END AS kind, CASE WHEN wants_think THEN thinking_error ELSE plain_error END AS error, count(*) AS n FROM e GROUP BY ALL"""
+
+
+@query(_LENIENT)
 def record_errors_thinking(spark: SparkSession, d: str) -> DataFrame:
     t = V.thinking(spark, d)
     error = Rec.thinking_error(F.col("question"), F.col("assistant"), thinking=F.col("wants_think"), final_answer=F.col("answer"), subtype=F.when(F.col("task_type") == "bit_manipulation", "binary_operation_thinking"))
@@ -84,7 +93,8 @@ def record_errors_thinking(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(F.when(F.col("wants_think"), "thinking").otherwise("no_think").alias("kind"), F.coalesce(F.when(F.col("wants_think"), error).otherwise(plain), F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {V.PROBLEMS} SELECT pid, prompt || chr(10) || chr(10) || 'Return only the final answer. Do not explain.' AS answer_only, prompt || chr(10) || chr(10) || 'Think briefly in <think>...</think>, then output only the final answer.' AS cot, prompt || chr(10) || chr(10) || 'Answer:' AS evaluation,
+    '<think>' || chr(10) || 'r' || chr(10) || '</think>' || chr(10) || chr(10) || answer AS completion FROM problems""")
 def prompts_built(spark: SparkSession, d: str) -> DataFrame:
     """Both prompt forms and the evaluation prompt of each problem."""
     p = V.problems(spark, d)

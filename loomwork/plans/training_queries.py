@@ -131,11 +131,12 @@ def effective_quotas(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(q.items()), "category string, quota int")
 
 
-@query(r"""WITH t AS (SELECT doc_id, left(text, 300) AS q, text AS r, lang AS a FROM documents), n AS (SELECT *, greatest(1, floor(length(q) / 3.5)) AS nq, greatest(1, floor(length(r) / 3.5)) AS nr FROM t)
-    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(list_distinct(string_split(trim(q, E' \t\n\r'), ''))) < 8 OR len(list_distinct(string_split(trim(r, E' \t\n\r'), ''))) < 8 THEN 'dirty_text' WHEN regexp_matches(r, '<[a-zA-Z/][^>]*>') THEN 'html_in_reasoning' WHEN nr < 40 OR nr > 300 THEN 'reasoning_tokens_out_of_range' WHEN nq + nr + 1 > 330 THEN 'total_too_long' ELSE 'pass' END AS reason FROM n) GROUP BY 1""")
+@query(r"""WITH t AS (SELECT doc_id, 'Describe document ' || doc_id || ' of source ' || coalesce(source, '') || '.' AS q, text AS r, lang AS a FROM documents), n AS (SELECT *, greatest(1, floor(length(q) / 3.5)) AS nq, greatest(1, floor(length(r) / 3.5)) AS nr FROM t)
+    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN len(list_distinct(string_split(trim(q, E' \t\n\r'), ''))) < 8 OR len(list_distinct(string_split(trim(r, E' \t\n\r'), ''))) < 8 THEN 'dirty_text' WHEN regexp_matches(r, '<[a-zA-Z/][^>]*>') THEN 'html_in_reasoning' WHEN nr < 40 OR nr > 300 THEN 'reasoning_tokens_out_of_range' WHEN nq + nr + 1 > 310 THEN 'total_too_long' ELSE 'pass' END AS reason FROM n) GROUP BY 1""")
 def external_filter(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    why = external_reject_reason(F.substring("text", 1, 300), F.col("text"), F.col("lang"), most_total=330)
+    question = F.concat(F.lit("Describe document "), "doc_id", F.lit(" of source "), F.coalesce("source", F.lit("")), F.lit("."))
+    why = external_reject_reason(question, F.col("text"), F.col("lang"), most_total=310)
     return t.groupBy(F.coalesce(why, F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -77,6 +77,48 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schema, ("messages",), allow_empty=False)
 
 
+VALIDATOR = "struct<type:string,value:string,pattern:string,json_value:string,count:int,values:array<string>,max_words:int,max_lines:int>"
+# The kinds of validators.
+VALIDATORS = ("exact", "regex", "json", "line_count", "contains")
+
+
+def read_instruction_eval(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """id, category, messages, validator, split of an evaluation set: every field there, known roles with texts, messages of two
+    fields, a known validator, and ids that occur once; else ValueError with the counts of what is wrong."""
+    lines = _ordered(spark.read.text(path)).filter(F.char_length(strip("value")) > 0)
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "category", "messages", "validator", "_bad")])
+    raw = lines.select("_ord", "value", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    each = F.from_json("r.messages", "array<map<string,string>>")
+    rows = raw.select("_ord", "r.id", "r.category", F.from_json("r.messages", MESSAGE).alias("messages"), F.from_json("r.validator", VALIDATOR).alias("validator"), each.alias("__each"), (F.col("r").isNull() | F.col("r._bad").isNotNull()).alias("__bad"))
+    odd = F.exists("__each", lambda m: (F.size(m) != 2) | ~F.map_contains_key(m, "role") | ~F.map_contains_key(m, "content"))
+    error = (
+        F.when(F.col("__bad"), "invalid_json").when(F.coalesce("id", F.lit("")) == "", "invalid_id").when(F.coalesce("category", F.lit("")) == "", "invalid_category").when(F.coalesce(F.size("messages"), F.lit(0)) < 1, "no_messages")
+        .when(F.coalesce(odd, F.lit(True)), "invalid_message").when(F.exists("messages", lambda m: m["role"].isNull() | ~m["role"].isin("system", "user", "assistant")), "unsupported_role")
+        .when(F.exists("messages", lambda m: m["content"].isNull()), "content_not_text").when(F.coalesce(~F.col("validator.type").isin(*VALIDATORS), F.lit(True)), "unsupported_validator")
+    )
+    checked = rows.withColumn("error", error)
+    bad = {r[0]: r[1] for r in checked.filter("error is not null").groupBy("error").count().collect()}
+    if twice := checked.groupBy("id").count().filter("count > 1").count():
+        bad["duplicate_id"] = twice
+    if bad:
+        raise ValueError("invalid records: " + ", ".join(f"{k} x {n}" for k, n in sorted(bad.items())))
+    if not checked.head(1):
+        raise ValueError(f"no evaluation records in {path}")
+    return checked.select("id", "category", "messages", "validator", "_ord").withColumn("split", F.lit(split))
+
+
+def read_problem_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The first line of each *.jsonl file of a folder, by file name."""
+    lines = spark.read.text(f"{folder}/*.jsonl").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    return first.select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct words of a list, a word a line, blanks cut off."""
+    return spark.read.text(path).select(strip("value").alias("word")).filter("word <> ''").distinct()
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType, required: tuple[str, ...]) -> DataFrame:
     """Several splits as one table with a split column."""
     from functools import reduce

@@ -30,6 +30,27 @@ def write_evaluation(predictions: DataFrame, folder: str, *, protected: bool = F
         write_jsonl(predictions.filter(~F.col(correct)), f"{folder}/error_cases", columns, columns[0])
 
 
+def raw_copy(spark, source: str, folder: str) -> str:
+    """The files of source below folder/raw, byte for byte, by Hadoop's file system; one that is there stays."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    origin = jvm.org.apache.hadoop.fs.Path(source)
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/raw", origin.getName())
+    if not target.getFileSystem(conf).exists(target):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(origin.getFileSystem(conf), origin, target.getFileSystem(conf), target, False, conf)
+    return target.toString()
+
+
+def write_debug_traces(solved: DataFrame, folder: str, columns: tuple[str, ...] = ("pid", "task_type", "rule", "error")) -> None:
+    """What the solvers said, beside the training rows and never among them."""
+    write_jsonl(solved, f"{folder}/debug/raw_traces", columns, columns[0])
+
+
+def write_smoke(train: DataFrame, dev: DataFrame, folder: str, columns: tuple[str, ...]) -> None:
+    """A sampled training set, and the dev rows as its validation."""
+    write_jsonl(train, f"{folder}/train", columns)
+    write_jsonl(dev, f"{folder}/validation", columns)
+
+
 def require(df: DataFrame, error: str, report: str) -> DataFrame:
     """df, where no row has an error; else the counts are written to the report first and ValueError follows."""
     bad = {r[0]: r[1] for r in df.filter(F.col(error).isNotNull()).groupBy(error).count().collect()}
