@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.functions.session import settle, shared_dir  # noqa: F401  (the operators take them from here)
+from loomwork.functions.session import settle, shared_dir, tidy  # noqa: F401  (the operators take them from here)
 
 WORD = r"[^\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
