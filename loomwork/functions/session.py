@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner take away shuffles and checkpoints that nothing refers to any more: it learns of them when the driver's
+    memory is collected, which may be long after a round is over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes the rows once and cuts lineage, in the shared folder."""
     shared_dir(df.sparkSession)
