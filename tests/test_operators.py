@@ -237,3 +237,44 @@ def test_equations_and_cryptarithms():
     assert solve_cryptarithm([("ab|cd", "cdab")], "wx|yz") == ("yzwx", "reverse concatenation")
     assert solve_cryptarithm([("ab|cd", "cdab")], "wx+yz") == ("wxyz", "")
     assert solve("gravity", [], "1") == ("", "", "missing_reasoner") and solve("numeral", [], "x")[2] == "no_rule"
+
+
+def test_stop_ids_and_training_form():
+    assert C.stop_ids({"<|im_end|>": 5, "<|endoftext|>": 3}) == {"im_end": 5, "endoftext": 3}
+    for vocabulary, more in (({"<|endoftext|>": 3}, {}), ({"<|im_end|>": 0, "<|endoftext|>": 3}, {"unknown": 0}), ({"<|im_end|>": 5}, {})):
+        with pytest.raises(ValueError, match="does not define"):
+            C.stop_ids(vocabulary, **more)
+    assert C.training_form(" base ", "base", "x {% generation %}") == "x {% generation %}"
+    assert C.training_form("other", "base", "x", patched="{%- generation %}") == "{%- generation %}"
+    for args in (("other", "base", "x"), ("base", "base", "x")):
+        with pytest.raises(ValueError):
+            C.training_form(*args)
+
+
+def test_base_form_keeps_the_last_thought_only(spark):
+    rows = [([("user", "a"), ("assistant", "<think>\nold\n</think>\n\nb"), ("user", "c"), ("assistant", "<think>\nnew\n</think>\n\nd")],)]
+    text = spark.createDataFrame(rows, f"messages {MSG}").select(C.render_base()).first()[0]
+    assert text == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n<|im_start|>assistant\n<think>\nnew\n</think>\n\nd<|im_end|>\n"
+
+
+def test_later_versions_return_at_once():
+    examples = [("ab|cd", "abdc")]
+    assert [solve("symbolic_transform", [("12|34", "1234")], "56|78", v)[::2] for v in (1, 2, 3)] == [("5678", "")] * 3
+    assert solve("symbolic_transform", examples, "wx|yz", 1)[2] == solve("symbolic_transform", examples, "wx|yz", 3)[2] == "no_rule"
+
+
+def test_positions_and_run_modes(spark):
+    from loomwork.operators import regression as Rg
+    from loomwork.operators import replay as Rp
+
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(5)], "_ord long, x string").repartition(3)
+    b = spark.createDataFrame([(10 * i, f"b{i}") for i in range(5)], "_ord long, x string")
+    assert sorted((r.x, r.right_x) for r in Rp.positional_join(a, b).collect()) == [(f"a{i}", f"b{i}") for i in range(5)]
+    with pytest.raises(ValueError, match="5 rows on the left, 4"):
+        Rp.positional_join(a, b.filter("_ord > 0"))
+    assert Rg.run_limits("overfit", {"overfit_examples": 3}) == {"example_limit": 3, "max_steps": 40, "num_train_epochs": None}
+    assert Rg.run_limits("formal", {"num_train_epochs": 2})["num_train_epochs"] == 2
+    with pytest.raises(ValueError, match="unsupported"):
+        Rg.run_limits("other", {})
+    text = Rg.console(a.withColumn("g", F.col("_ord") % 2), "g", "x", samples=1)
+    assert text.startswith("0: 3\n    a") and "\n1: 2\n    a" in text and text.count("\n") == 4
