@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import settle
+from loomwork.llm.textkit import settle, tidy
 
 HOT_SHARE = 1000
+#: Links in a partition, where there are fewer than the session's partitions would hold; so many partitions at least.
+LINKS, LEAST = 50_000, 8
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
@@ -30,11 +32,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, root) of every node that has a link; root is the least node of its component.
 
     Alternates large-star and small-star steps until the edges stop changing; each round is settled in the
-    shared folder. Hubs are met by ``skew_join``, so no task holds a hub's links together.
+    shared folder. Hubs are met by ``skew_join``, so no task holds a hub's links together. Rounds take no more partitions
+    than their links need, and what they leave on disk goes with them.
     """
     e = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    state = None
+    state, parts = None, max(LEAST, e.count() // LINKS)
     for _ in range(rounds):
+        e = e.coalesce(parts)
         both = settle(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u")))
         large = settle(skew_join(both.filter("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
@@ -44,7 +48,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, parts = now, max(LEAST, now[0] // LINKS)
+        tidy(e.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
