@@ -343,7 +343,7 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
         paths, tables, key, c = shared.value
         model = Model(paths, tables, weights, rate, refine)  # a task's own: idle workers should hold no tables
         logs = np.where(c > 0, np.log10((c + 0.1) / bottom), 0.0)
-        names = ["rk", "h", "tf", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
+        names, inner = ["rk", "h", "doc"], ["doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
         for b in sub_batches(batches, 1 << 19):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -356,22 +356,23 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
             known = (key.take(at) == tokens) & (c.take(at) > 0)
             sums = np.bincount(owner, np.where(known, logs.take(at), 0.0), minlength=len(ids))
             hot = np.bincount(owner, known, minlength=len(ids)).astype(np.int64)
-            cols = [rk, rk ^ 0x5DEECE66D, np.zeros(len(ids), dtype=np.int64), b.column(0), n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])]
-            types = [pa.int64()] * 6 + [pa.float64(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
-            # Tokens that are not hot meet their counts in the cluster, a row each.
+            types = [pa.int64()] * 3 + [pa.float64(), pa.float64(), pa.int64()]
+            cols = [pa.array(x, t) for x, t in zip((n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])), types[1:], strict=True)]
+            doc = pa.StructArray.from_arrays([b.column(0), *cols], names=inner)
+            yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(rk ^ 0x5DEECE66D), doc], names=names)
+            # Tokens that are not hot meet their counts in the cluster, a narrow row each.
             cold = np.flatnonzero(~known)
             if len(cold):
-                none = [pa.nulls(len(cold), t) for t in types[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.array(np.ones(len(cold), dtype=np.int64)), *none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.nulls(len(cold), doc.type)], names=names)
 
-    rows = docs.mapInArrow(run, "rk long, h long, tf long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long")
+    rows = docs.mapInArrow(run, "rk long, h long, doc struct<doc_id: long, n_tokens: long, known: long, base: double, score: double, n_bytes: long>")
     met = rows.join(counts, "h", "left")
     term = F.when(F.col("c").isNull(), F.lit(floor)).otherwise(F.log10((F.col("c") + 0.1) / F.lit(bottom)))
+    is_cold = F.col("doc").isNull()
     # Equal rows share rk: they are counted, their sums divided, and each gets its row again.
     by = met.groupBy("rk").agg(
-        F.count("n_tokens").alias("m"), F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("hot"), F.max("base").alias("hot_base"), F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("cold"), F.sum(F.col("tf") * term).alias("cold_base"),
+        F.count("doc").alias("m"), *[F.max(f"doc.{c}").alias(to) for c, to in (("doc_id", "doc_id"), ("n_tokens", "n_tokens"), ("known", "hot"), ("base", "hot_base"), ("score", "score"), ("n_bytes", "n_bytes"))],
+        F.count(F.when(is_cold, F.col("c"))).alias("cold"), F.coalesce(F.sum(F.when(is_cold, term)), F.lit(0.0)).alias("cold_base"),
     )
     return by.select(
         "doc_id", held.alias("held_out"), "n_tokens", (F.col("hot") + (F.col("cold") / F.col("m")).cast("long")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
