@@ -5,15 +5,20 @@ on its own. A byte is a path of binary decisions in a Huffman tree over the trai
 bytes cost few decisions. Three predictors give each decision a probability, from how training text went on
 after a hashed context: the last two bytes, the last four bytes, and the word so far. Their log odds enter a
 logistic mixer whose weights are chosen by a gate (the depth in the tree, and whether training knew the word so far) and learn online inside each
-document; an adaptive map, again per document, then refines the mixed probability. The score sums the
-log10 probabilities of all decisions; bits_per_byte is the total in bits over the bytes coded.
+document; an adaptive map, again per document, then refines the mixed probability.
+
+The tables of contexts are bounded; the words are not. Every word of the training texts is kept with its count, and a
+word with the separator after it has a probability twice: from its bits, and from the word's share of all tokens times the
+separator's share of all separators. ``share`` of the latter and the rest of the former make a proper mixture, also where
+no word comes. So what a text is scored by grows with the training texts. The score sums the log10 probabilities of all
+words and lone separators; bits_per_byte is the total in bits over the bytes coded.
 
 Learning in a document goes by blocks: decisions of a block use what the blocks before it taught, and
 blocks grow from 256 to 4096 bytes, so that numpy codes many documents side by side.
 
 The tables hold counts of all training texts. Context tables have a fixed size, a parameter (2**16,
 2**17 and 2**18 contexts of 256 nodes, one byte each: 112 MB in a worker), so what is broadcast has a proven bound. Token
-counts (for base_score) have no bound and stay in the cluster: tokens with at least a 262144th of all
+counts (for both scores) have no bound and stay in the cluster: tokens with at least a 262144th of all
 occurrences are at most 262144 and broadcast; all others meet their counts in a shuffle join.
 
 Nulls: a null text is an empty text, whose score is that of the end alone; a null doc_id is never held out.
@@ -46,8 +51,12 @@ START = ((0.2, 0.9, 0.0), (0.15, 0.55, 0.4))
 BUCKETS = 24
 HOT = 1 << 18
 SLOTS = 1 << 20
+#: Weight of whole words against bits.
+SHARE = 0.1
 BLOCKS = (256, 256, 512, 1024, 2048)
 LAST_BLOCK = 4096
+#: Bytes scored at a time within a block.
+SLICE = 1 << 15
 _END_HASH = xxhash.xxh64_intdigest(b"\x00end")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,7 +204,7 @@ class Model:
         self.length = np.array([len(p) for p in paths], dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         flat = [x for p in paths for x in p]
-        self.node = np.array([n for n, _ in flat], dtype=np.uint32)
+        self.node = np.array([n for n, _ in flat], dtype=np.int64)
         self.bit = np.array([b for _, b in flat], dtype=np.float32)
         self.gate = np.array([2 * min(d, GATES // 2 - 1) for p in paths for d in range(len(p))], dtype=np.int64)
         self.tables = []
@@ -208,10 +217,29 @@ class Model:
         self.weights, self.rate, self.refine = weights, rate, refine
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
+        """Of whole texts, by the bits alone."""
+        unit_doc, _, _, nats = self.unit_nats(texts)
+        return np.bincount(unit_doc, nats, minlength=len(texts)) / math.log(10)
+
+    def unit_nats(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unit in the order of the texts: its document, whether it holds a word, the byte that ends it, and its log probability.
+
+        A unit ends with a separator or a text's end: a word and the byte after it, or such a byte alone.
+        """
         coded, sizes, ctx = contexts(texts)
+        ends = (coded == 32) | (coded >= 9) & (coded <= 13)
+        ends[np.cumsum(sizes) - 1] = True
+        last = np.flatnonzero(ends)
+        unit = np.cumsum(ends) - ends
+        word = np.diff(last, prepend=-1) > 1
+        owner = np.searchsorted(np.cumsum(sizes), last, side="right")
+        return owner, word, coded[last], self._bits(coded, sizes, ctx, unit, len(last))
+
+    def _bits(self, coded: np.ndarray, sizes: np.ndarray, ctx: list[np.ndarray], unit: np.ndarray, n_units: int) -> np.ndarray:
+        at = [c.astype(np.int64) << 8 for c in ctx]
         first = np.cumsum(sizes) - sizes
-        n = len(texts)
-        nats = np.zeros(n)
+        n = len(sizes)
+        nats = np.zeros(n_units)
         w = np.tile(np.array(self.weights, dtype=np.float32).T, (1, n * GATES // 2))
         centre = (np.arange(BUCKETS, dtype=np.float32) - (BUCKETS - 1) / 2) * np.float32(0.75)
         curve = np.tile(1 / (1 + np.exp(-centre)), n).astype(np.float32)
@@ -221,36 +249,52 @@ class Model:
             size = BLOCKS[r] if r < len(BLOCKS) else LAST_BLOCK
             take = np.minimum(sizes[left] - done, size)
             pos = np.repeat(first[left] + done - (np.cumsum(take) - take), take) + np.arange(take.sum())
-            doc = np.repeat(left, take)
-            self._block(coded, ctx, pos, doc, w, curve, nats, n)
+            self._block(coded, at, unit, pos, np.repeat(left, take), w, curve, nats, n)
             done, r = done + size, r + 1
             left = left[sizes[left] > done]
-        return nats / math.log(10)
+        return nats
+
+    def _block(self, coded: np.ndarray, ctx: list[np.ndarray], unit: np.ndarray, pos: np.ndarray, doc: np.ndarray, w: np.ndarray, curve: np.ndarray, nats: np.ndarray, n: int) -> None:
+        """Scores a block with what the blocks before it taught, a slice that fits the caches at a time, then learns from it."""
+        scaled = w * np.float32(1 / SCALE)
+        counts = np.zeros(2 * len(curve), dtype=np.int64)
+        slope = np.zeros(w.shape)
+        for i in range(0, len(pos), SLICE):
+            self._slice(coded, ctx, unit, pos[i : i + SLICE], doc[i : i + SLICE], scaled, curve, nats, counts, slope)
+        both = counts.reshape(-1, 2)
+        hits = both.sum(axis=1)
+        curve += ((both[:, 1] - hits * curve) / (hits + self.refine)).astype(np.float32)
+        np.clip(curve, 1e-4, 1 - 1e-4, out=curve)
+        seen = np.repeat(hits.reshape(n, BUCKETS).sum(axis=1) / GATES, GATES)
+        w += (self.rate / SCALE / np.maximum(np.sqrt(seen), 1) * slope).astype(np.float32)
+        np.clip(w, -0.5, 2.0, out=w)
 
-    def _block(self, coded: np.ndarray, ctx: list[np.ndarray], pos: np.ndarray, doc: np.ndarray, w: np.ndarray, curve: np.ndarray, nats: np.ndarray, n: int) -> None:
+    def _slice(self, coded: np.ndarray, ctx: list[np.ndarray], unit: np.ndarray, pos: np.ndarray, doc: np.ndarray, scaled: np.ndarray, curve: np.ndarray, nats: np.ndarray, counts: np.ndarray, slope: np.ndarray) -> None:
+        # Indices are all within bounds: mode="clip" only spares numpy a check and a copy.
         b = coded.take(pos)
         length = self.length.take(b)
         ends = np.cumsum(length)
-        begins = ends - length
         which = np.repeat(np.arange(len(pos)), length)
-        flat = (self.start.take(b) - begins).take(which)
-        flat += np.arange(ends[-1])
-        node, bit = self.node.take(flat), self.bit.take(flat)
-        owner = doc.take(which)
+        begins = ends - length
+        flat = (self.start.take(b) - begins).take(which, mode="clip")
+        flat += np.arange(len(flat))
+        node, bit = self.node.take(flat, mode="clip"), self.bit.take(flat, mode="clip")
         odds = []
-        for k, table in enumerate(self.tables):
-            at = (ctx[k].take(pos) << np.uint32(8)).take(which)
-            at |= node
-            s = table.take(at).astype(np.float32)
-            s *= np.float32(1 / SCALE)
-            odds.append(s)
+        for c, table in zip(ctx, self.tables, strict=True):
+            at = c.take(pos).take(which, mode="clip")
+            at += node
+            odds.append(table.take(at, mode="clip"))
+        low = int(doc[0])  # documents of a slice follow each other
+        owner = (doc - low).take(which, mode="clip")
         gate = owner * GATES
-        gate += self.gate.take(flat)
+        gate += self.gate.take(flat, mode="clip")
         gate += odds[-1] != 0
-        mixed = w[0].take(gate)
+        n = int(doc[-1]) - low + 1
+        here = slice(low * GATES, (low + n) * GATES)
+        mixed = scaled[0, here].take(gate, mode="clip")
         mixed *= odds[0]
         for k in range(1, len(odds)):
-            part = w[k].take(gate)
+            part = scaled[k, here].take(gate, mode="clip")
             part *= odds[k]
             mixed += part
         np.clip(mixed, -9, 9, out=mixed)
@@ -259,33 +303,26 @@ class Model:
         np.reciprocal(p, out=p)
         mixed *= np.float32(1 / 0.75)
         mixed += np.float32(BUCKETS / 2)  # truncation below rounds to the nearest centre
-        place = mixed.astype(np.int64)
-        np.clip(place, 0, BUCKETS - 1, out=place)
+        np.minimum(mixed, np.float32(BUCKETS - 0.5), out=mixed)
         owner *= BUCKETS
-        place += owner
-        q = curve.take(place)
+        owner += mixed.astype(np.int32)
+        q = curve[low * BUCKETS : (low + n) * BUCKETS].take(owner, mode="clip")
         q *= np.float32(0.25)
         q += p * np.float32(0.75)
         q += bit
         q -= 1  # of the bit that came, but for the sign
         np.abs(q, out=q)
         np.log(q, out=q)
-        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        nats[doc[first]] += np.add.reduceat(q, begins[first], dtype=np.float64)
-        # What this block teaches the next one.
-        place *= 2
-        place += bit > 0
-        counts = np.bincount(place, minlength=2 * len(curve)).reshape(-1, 2)
-        hits = counts.sum(axis=1)
-        curve += ((counts[:, 1] - hits * curve) / (hits + self.refine)).astype(np.float32)
-        np.clip(curve, 1e-4, 1 - 1e-4, out=curve)
-        seen = np.repeat(hits.reshape(n, BUCKETS).sum(axis=1) / GATES, GATES)
-        step = (self.rate / np.maximum(np.sqrt(seen), 1)).astype(np.float32)
+        u = unit.take(pos)
+        new = np.flatnonzero(np.diff(u, prepend=-1))  # a unit lies in one run of a slice
+        nats[u[new]] += np.add.reduceat(q, begins[new], dtype=np.float64)
+        # What this slice teaches the next block.
+        owner *= 2
+        owner += bit > 0
+        counts[2 * low * BUCKETS : 2 * (low + n) * BUCKETS] += np.bincount(owner, minlength=2 * n * BUCKETS)
         np.subtract(bit, p, out=p)
         for k, s in enumerate(odds):
-            s *= p
-            w[k] += step * np.bincount(gate, s, minlength=n * GATES).astype(np.float32)
-            np.clip(w[k], -0.5, 2.0, out=w[k])
+            slope[k, here] += np.bincount(gate, s * p, minlength=n * GATES)
 
 
 def _token_counts(train: DataFrame) -> DataFrame:
@@ -309,7 +346,7 @@ def _token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple = START, rate: float = 0.01, refine: float = 30.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple = START, rate: float = 0.01, refine: float = 30.0, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
     Rows whose crc32 of the id's text, modulo folds, is held_fold are never learned from.
@@ -336,6 +373,9 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
     children, paths = huffman(histogram)
     tables = {(k, p): bytes(t) for k, p, t in _merge(parts, children).collect()}
     shared = spark.sparkContext.broadcast((paths, tables, slot_key, slot_c))
+    blanks = np.zeros(256)
+    blanks[[0, *range(9, 14), 32]] = histogram[[0, *range(9, 14), 32]] + 1.0
+    blanks /= blanks.sum()
     floor = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
     bottom = total + 0.1 * (distinct + 1)
 
@@ -343,38 +383,52 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
         paths, tables, key, c = shared.value
         model = Model(paths, tables, weights, rate, refine)  # a task's own: idle workers should hold no tables
         logs = np.where(c > 0, np.log10((c + 0.1) / bottom), 0.0)
-        names = ["rk", "h", "tf", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
+        with np.errstate(divide="ignore"):
+            whole = np.log(c / max(1, total))
+            after = np.log(blanks) + math.log(share)
+        names = ["rk", "h", "lead", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
         for b in sub_batches(batches, 1 << 19):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
             low = [lower_ascii(t) for t in data]
-            scores = model.log10(low)
+            unit_doc, word, mark, nats = model.unit_nats(low)
+            nats += math.log1p(-share)
             rk = np.array([xxhash.xxh64_intdigest(t, xxhash.xxh32_intdigest(str(doc))) for doc, t in zip(ids, data, strict=True)], dtype=np.uint64).view(np.int64)
             tokens, n_tokens = token_hashes(low)
             owner = np.repeat(np.arange(len(ids)), n_tokens)
             at = (tokens % np.uint64(SLOTS)).astype(np.int64)
             known = (key.take(at) == tokens) & (c.take(at) > 0)
+            # Words, in order, are the units with one; texts' ends lie between them. A word's lead is what its count has to make up for.
+            is_word = np.ones(len(tokens), dtype=bool)
+            is_word[np.cumsum(n_tokens) - 1] = False
+            lead = np.full(len(tokens), -np.inf)
+            lead[is_word] = after[mark[word]] - nats[word]
+            gain = np.logaddexp(0.0, lead + whole.take(at))
+            scores = (np.bincount(unit_doc, nats, minlength=len(ids)) + np.bincount(owner, np.where(known, gain, 0.0), minlength=len(ids))) / math.log(10)
             sums = np.bincount(owner, np.where(known, logs.take(at), 0.0), minlength=len(ids))
             hot = np.bincount(owner, known, minlength=len(ids)).astype(np.int64)
-            cols = [rk, rk ^ 0x5DEECE66D, np.zeros(len(ids), dtype=np.int64), b.column(0), n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])]
-            types = [pa.int64()] * 6 + [pa.float64(), pa.float64(), pa.int64()]
+            cols = [rk, rk ^ 0x5DEECE66D, pa.nulls(len(ids), pa.float32()), b.column(0), n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])]
+            types = [pa.int64(), pa.int64(), pa.float32(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
             # Tokens that are not hot meet their counts in the cluster, a row each.
             cold = np.flatnonzero(~known)
             if len(cold):
                 none = [pa.nulls(len(cold), t) for t in types[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.array(np.ones(len(cold), dtype=np.int64)), *none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.array(lead[cold].astype(np.float32)), *none], names=names)
 
-    rows = docs.mapInArrow(run, "rk long, h long, tf long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long")
+    rows = docs.mapInArrow(run, "rk long, h long, lead float, doc_id long, n_tokens long, known long, base double, score double, n_bytes long")
     met = rows.join(counts, "h", "left")
     term = F.when(F.col("c").isNull(), F.lit(floor)).otherwise(F.log10((F.col("c") + 0.1) / F.lit(bottom)))
+    met_c, far = F.when(F.col("lead").isNotNull(), F.col("c")), F.col("lead") + F.log(F.col("c") / total)
+    gain = F.when(far > 30, far).otherwise(F.log1p(F.exp(far)))  # beyond 30 the one does not count
     # Equal rows share rk: they are counted, their sums divided, and each gets its row again.
     by = met.groupBy("rk").agg(
         F.count("n_tokens").alias("m"), F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("hot"), F.max("base").alias("hot_base"), F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("cold"), F.sum(F.col("tf") * term).alias("cold_base"),
+        F.count(met_c).alias("cold"), F.coalesce(F.sum(F.when(F.col("lead").isNotNull(), term)), F.lit(0.0)).alias("cold_base"), F.coalesce(F.sum(F.when(met_c.isNotNull(), gain)), F.lit(0.0)).alias("gain"),
     )
+    score = F.col("score") + F.col("gain") / F.col("m") / math.log(10)
     return by.select(
         "doc_id", held.alias("held_out"), "n_tokens", (F.col("hot") + (F.col("cold") / F.col("m")).cast("long")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.col("cold_base") / F.col("m")).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("hot_base") + F.col("cold_base") / F.col("m")).alias("base_score"), score.alias("score"), (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
         F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"),
     ).drop("copy")

@@ -155,9 +155,8 @@ def test_base_scores_against_python(spark, docs, corpus, nothing):
     assert context_mix.score(nothing).count() == 0
 
 
-def test_model_is_a_distribution_and_learns():
-    """Probabilities of all one-byte texts sum to at most one; text like the training text costs less."""
-    train = [b"the cat sat on the mat and the dog sat on the log "] * 50
+def slow_model(train):
+    """The model of these texts, by whole tables of counts."""
     coded, _, ctx = context_mix.contexts(train)
     children, paths = context_mix.huffman(np.bincount(coded, minlength=256))
     tables = []
@@ -171,6 +170,38 @@ def test_model_is_a_distribution_and_learns():
         tables.append(t.reshape(-1))
     m = context_mix.Model(paths, {}, context_mix.START, 0.01, 30.0)
     m.tables = tables
+    return m, np.bincount(coded, minlength=256)
+
+
+def test_scores_against_python(docs, corpus):
+    """Words and lone separators one by one: their bits from a model of whole tables, their shares from a Counter."""
+    fold = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    low = [(i, (t or "").encode().translate(fold)) for i, t in corpus]
+    train = [t for i, t in low if not held(i)]
+    m, seen = slow_model(train)
+    c, n = Counter(w for t in train for w in t.split()), sum(len(t.split()) + 1 for t in train)
+    blank = {b: seen[b] + 1 for b in b"\0\t\n\v\f\r "}
+    want = []
+    for i, t in low:
+        units = re.findall(rb"([^\t\n\v\f\r ]*)([\t\n\v\f\r ]|\Z)", t)
+        units = units[:-1] if t and units[-1] == (b"", b"") and units[-2][1] == b"" else units
+        nats = m.unit_nats([t])[3]
+        assert len(nats) == len(units)
+        total = 0.0
+        for (w, end), x in zip(units, nats, strict=True):
+            whole = 0.1 * c[w] / n * blank[(end or b"\0")[0]] / sum(blank.values()) if w else 0.0
+            total += np.logaddexp(math.log(whole) if whole else -np.inf, math.log(0.9) + x) / math.log(10)
+        want.append((i is None, i or 0, total))
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.score) for x in context_mix.score(docs).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], rel=2e-4)
+
+
+def test_model_is_a_distribution_and_learns():
+    """Probabilities of all one-byte texts sum to at most one; text like the training text costs less."""
+    train = [b"the cat sat on the mat and the dog sat on the log "] * 50
+    m, _ = slow_model(train)
     total = sum(10 ** m.log10([bytes([b])])[0] for b in range(1, 256)) + 10 ** m.log10([b""])[0]
     assert 0 < total <= 1.0001
     seen, odd = m.log10([b"the dog sat on the mat "])[0], m.log10([b"qxz jkv wpf hgy qqx vvb"])[0]
