@@ -230,13 +230,12 @@ class Model:
         ends = (coded == 32) | (coded >= 9) & (coded <= 13)
         ends[np.cumsum(sizes) - 1] = True
         last = np.flatnonzero(ends)
-        unit = np.cumsum(ends) - ends
+        unit = np.cumsum(ends, dtype=np.int32) - ends  # a batch has under 2**31 bytes
         word = np.diff(last, prepend=-1) > 1
         owner = np.searchsorted(np.cumsum(sizes), last, side="right")
         return owner, word, coded[last], self._bits(coded, sizes, ctx, unit, len(last))
 
     def _bits(self, coded: np.ndarray, sizes: np.ndarray, ctx: list[np.ndarray], unit: np.ndarray, n_units: int) -> np.ndarray:
-        at = [c.astype(np.int64) << 8 for c in ctx]
         first = np.cumsum(sizes) - sizes
         n = len(sizes)
         nats = np.zeros(n_units)
@@ -249,7 +248,7 @@ class Model:
             size = BLOCKS[r] if r < len(BLOCKS) else LAST_BLOCK
             take = np.minimum(sizes[left] - done, size)
             pos = np.repeat(first[left] + done - (np.cumsum(take) - take), take) + np.arange(take.sum())
-            self._block(coded, at, unit, pos, np.repeat(left, take), w, curve, nats, n)
+            self._block(coded, ctx, unit, pos, np.repeat(left, take), w, curve, nats, n)
             done, r = done + size, r + 1
             left = left[sizes[left] > done]
         return nats
@@ -281,7 +280,7 @@ class Model:
         node, bit = self.node.take(flat, mode="clip"), self.bit.take(flat, mode="clip")
         odds = []
         for c, table in zip(ctx, self.tables, strict=True):
-            at = c.take(pos).take(which, mode="clip")
+            at = (c.take(pos).astype(np.int64) << 8).take(which, mode="clip")
             at += node
             odds.append(table.take(at, mode="clip"))
         low = int(doc[0])  # documents of a slice follow each other
