@@ -7,8 +7,9 @@ strengths (halfway to the high quantile of the others, where the two classes lie
 curve through ``cut`` (0.3) at that strength, its slope fitted to the labels, so ``score >= cut`` says the same as
 ``strength >= threshold``.
 
-Only weights are learned on a bounded sample: at most ``max_rows`` labelled rows (those with low hashes of
-their id) and ``max_pairs`` pairs. Features and scores cover every document and its whole text.
+Weights, the scales of features and the curve's slope are learned on a bounded sample: at most ``max_rows`` labelled
+rows (those with low hashes of their id) and ``max_pairs`` pairs. The quantiles are taken over all labelled rows;
+features and scores cover every document and its whole text.
 
 Nulls: a null text is an empty text and gets a score; a null doc_id meets no label. An id with several labels
 counts once, with the larger share (a tie is 1). Without rows of both labels every score is 0.5. Repeated rows
@@ -68,6 +69,10 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.strength(x) - self.cut_at) + self.base, -40, 40)))
 
 
+def between(at: float, other: float) -> float:
+    return (at + other) / 2 if other < at else at
+
+
 def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = 200_000, ridge: float = 1e-3, quantile: float = 0.002, cut: float = 0.3) -> Ranker | None:
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
@@ -91,8 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = 200_000, ridge: float
             break
     s = z @ w
     # The cut is a low quantile of the preferred strengths; where it lies clear of the others' high quantile, halfway.
-    at, other = float(np.quantile(s[good], quantile)), float(np.quantile(s[bad], 1 - quantile))
-    at = (at + other) / 2 if other < at else at
+    at = between(float(np.quantile(s[good], quantile)), float(np.quantile(s[bad], 1 - quantile)))
     a, b = 1.0, 0.0
     centre, width = s.mean(), max(s.std(), 1e-6)
     t = (s - centre) / width
@@ -106,6 +110,18 @@ def fit(x: np.ndarray, y: np.ndarray, *, max_pairs: int = 200_000, ridge: float
     return Ranker(mean, scale, w, at, max(a, 1e-3) / width, cut)
 
 
+def _quantiles(labelled: DataFrame, ranker: Ranker, quantile: float) -> tuple[float, float]:
+    """The low quantile of preferred strengths and the high one of the others, over all labelled rows (ranks within a millionth)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ranker.strength(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)))], names=["y", "s"])
+
+    s = labelled.select("y", "x").mapInArrow(run, "y int, s double")
+    return tuple(s.agg(F.percentile_approx(F.when(F.col("y") == 1, F.col("s")), quantile, 1_000_000), F.percentile_approx(F.when(F.col("y") == 0, F.col("s")), 1 - quantile, 1_000_000)).first())
+
+
 def score(df: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, held_fold: int = 0, max_rows: int = 20_000, max_pairs: int = 200_000, quantile: float = 0.002, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of held-out ids are never read into the fit."""
     out = score_rows(df, labels, label=label, folds=folds, held_fold=held_fold, max_rows=max_rows, max_pairs=max_pairs, quantile=quantile, cut=cut, id_col=id_col, text_col=text_col)
@@ -127,6 +143,10 @@ def score_rows(df: DataFrame, labels: DataFrame, *, label: str = "quality", fold
     rows = sorted(rows, key=lambda r: r[2:])[:max_rows]
     ranker = fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), max_pairs=max_pairs, quantile=quantile, cut=cut) if rows else None
 
+    if ranker is not None:
+        at, other = _quantiles(labelled, ranker, quantile)
+        ranker.cut_at = between(at, other)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
