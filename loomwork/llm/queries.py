@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import context_mix, decontam, ext_hash, license_dice, line_templates, packing, pipeline, quality_bt, simhash_tiles, sstable, weak_rules
+from loomwork.llm import context_mix, decontam, ext_hash, license_dice, line_templates, packing, pipeline, quality_bt, simhash_tiles, sstable, token_alignment, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,12 @@ def op10_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(token_alignment.align(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    ops = (op1_quality_bradley_terry, op2_quality_rules, op3_context_mixing, op4_decontamination, op5_license_scan, op6_sum_of_squares_packing, op7_line_templates, op8_simhash_tiles, op9_extendible_sharding, op10_sstable_tokens)
+    ops = (op1_quality_bradley_terry, op2_quality_rules, op3_context_mixing, op4_decontamination, op5_license_scan, op6_sum_of_squares_packing, op7_line_templates, op8_simhash_tiles, op9_extendible_sharding, op10_sstable_tokens, op13_token_alignment)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
