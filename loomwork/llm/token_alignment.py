@@ -115,6 +115,11 @@ class Aligner:
 
     # ---- what is new
 
+    def _encode_b(self, chunks: list[bytes]) -> list[list[int]]:
+        """B puts a space before what is not empty; a single space after a text's last word is a piece of its own."""
+        blank = [self.b.piece_to_id("▁")]
+        return [ids if c != b" " else blank for c, ids in zip(chunks, self.b.encode([c.decode()[1:] for c in chunks], num_threads=1), strict=True)]
+
     def _ids(self, data: bytes, ends: np.ndarray, joins: np.ndarray, encode, width: np.ndarray, content: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks, which lie in data up to ends, and how many each has: -1 where their bytes are others.
 
@@ -151,7 +156,7 @@ class Aligner:
         ends, n = np.cumsum(lens), len(chunks)
         joins = _cut_after(np.frombuffer(data, dtype=np.uint8))[ends - 1] & (lens < 1000)
         ids_a, k_a = self._ids(data, ends, joins, lambda xs: [e.ids for e in self.a.encode_batch_fast([x.decode() for x in xs], add_special_tokens=False)], self.width_a, self.bytes_a)
-        ids_b, k_b = self._ids(data, ends, joins, lambda xs: self.b.encode([x.decode()[1:] for x in xs], num_threads=1), self.width_b, self.bytes_b)
+        ids_b, k_b = self._ids(data, ends, joins, self._encode_b, self.width_b, self.bytes_b)
         good = (k_a >= 0) & (k_b >= 0)
         ids_a, ids_b = ids_a[np.repeat(good[k_a >= 0], k_a[k_a >= 0])], ids_b[np.repeat(good[k_b >= 0], k_b[k_b >= 0])]
         sums = np.zeros((n, 4), dtype=np.int64)
