@@ -74,7 +74,7 @@ class Aligner:
 
     _kept: dict[tuple[str, str], Aligner] = {}
     #: Chunks remembered in a worker, some 200 bytes each, and links, 16 each; the memory starts anew beyond that.
-    most, most_links = 1_000_000, 6_000_000
+    most, most_links = 450_000, 2_500_000
     slots = 1 << 21
     #: Links of a group beyond which equal pairs are put together before they are written out.
     large = 4096
