@@ -73,9 +73,9 @@ class Aligner:
     """Chunks by their 64-bit hashes, in a table of open addresses; what belongs to a chunk lies in flat arrays."""
 
     _kept: dict[tuple[str, str], Aligner] = {}
-    #: Chunks remembered in a worker, some 200 bytes each, and links, 16 each; the memory starts anew beyond that.
-    most, most_links = 450_000, 2_500_000
-    slots = 1 << 21
+    #: Chunks remembered in a worker, some 200 bytes each; beyond that only those of the fuller half are kept that were used most.
+    most = 400_000
+    slots = 1 << 20
     #: Links of a group beyond which equal pairs are put together before they are written out.
     large = 4096
     _find, _insert = Encoder._find, Encoder._insert
@@ -96,6 +96,7 @@ class Aligner:
             self.bytes_a[i] = bytes(byte[c] for c in token)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.width_a, self.width_b = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (self.bytes_a, self.bytes_b))
+        self.shrunk = 0
         self._begin()
 
     @classmethod
@@ -106,12 +107,47 @@ class Aligner:
 
     def _begin(self) -> None:
         self.keys, self.entry = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.int32)
+        n = 1 << 16
         #: n_a, n_b, n_groups, n_links of each chunk; n_a is -1 where the bytes differ.
-        self.sums = np.zeros((1 << 16, 4), dtype=np.int64)
-        self.at, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+        self.sums = np.zeros((n, 4), dtype=np.int64)
+        self.hash, self.uses, self.at, self.size = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
         self.pair, self.times = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
         self.words: list[str] = []
-        self.used, self.age = 0, getattr(self, "age", 0) + 1
+        self.used = 0
+
+    def _make_room(self, coming: int) -> None:
+        """Forgets rare chunks where there are too many, and widens the table where those that come need it. Entries change."""
+        n = len(self.words)
+        keep = np.arange(n)
+        if n + coming > self.most:
+            keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[: max(0, min(self.most // 2, self.most - coming))])
+            keep = keep[self.uses[keep] > 1]
+            self.shrunk += 1
+        while 2 * (len(keep) + coming) > self.slots:
+            self.slots *= 2
+        places, size = self.links(keep)
+        words, hashes, sums, uses = [self.words[i] for i in keep.tolist()], self.hash[keep], self.sums[keep], self.uses[keep] // 2
+        pair, times = self.pair[places], self.times[places]
+        self._begin()
+        self._store(hashes, words, sums, size, pair, times)
+        self.uses[: len(keep)] = uses
+
+    def _store(self, hashes: np.ndarray, words: list[str], sums: np.ndarray, size: np.ndarray, pair: np.ndarray, times: np.ndarray) -> None:
+        known, n = len(self.words), len(words)
+
+        def grown(v: np.ndarray, n: int) -> np.ndarray:
+            while n > len(v):
+                v = np.concatenate((v, np.zeros_like(v)))
+            return v
+
+        self.hash, self.uses, self.at, self.size, self.sums = (grown(v, known + n) for v in (self.hash, self.uses, self.at, self.size, self.sums))
+        self.pair, self.times = grown(self.pair, self.used + len(pair)), grown(self.times, self.used + len(pair))
+        entries = np.arange(known, known + n)
+        self.hash[entries], self.at[entries], self.size[entries], self.sums[entries] = hashes, self.used + np.cumsum(size) - size, size, sums
+        self.pair[self.used : self.used + len(pair)], self.times[self.used : self.used + len(pair)] = pair, times
+        self.words += words
+        self.used += len(pair)
+        self._insert(hashes, entries.astype(np.int32))
 
     # ---- what is new
 
@@ -191,17 +227,9 @@ class Aligner:
             z = np.searchsorted(owner, np.arange(len(rows) + 1)).tolist()
             for i, p, q in zip(rows.tolist(), z, z[1:], strict=False):
                 words[i] = parts[p] if q == p + 1 else ";".join(parts[p:q])
-            while self.used + len(pair) > len(self.pair):
-                self.pair, self.times = np.concatenate((self.pair, np.zeros_like(self.pair))), np.concatenate((self.times, np.zeros_like(self.times)))
-            self.pair[self.used : self.used + len(pair)], self.times[self.used : self.used + len(pair)] = pair, times
-        known = len(self.words)
-        while known + n > len(self.at):
-            self.at, self.size, self.sums = (np.concatenate((v, np.zeros_like(v))) for v in (self.at, self.size, self.sums))
-        entries = np.arange(known, known + n)
-        self.at[entries], self.size[entries], self.sums[entries] = self.used + np.cumsum(size) - size, size, sums
-        self.words += words
-        self.used += int(size.sum())
-        self._insert(hashes, entries.astype(np.int32))
+        else:
+            pair = times = np.zeros(0, dtype=np.int64)
+        self._store(hashes, words, sums, size, pair, times)
 
     # ---- texts
 
@@ -219,17 +247,23 @@ class Aligner:
         new = np.flatnonzero(entry < 0)
         if len(new):
             known, at = np.unique(h[new], return_index=True)
-            if len(self.words) + len(known) > self.most or self.used > self.most_links:
-                self._begin()
-                new, (known, at) = np.arange(len(h)), np.unique(h, return_index=True)
-                while 2 * len(known) > self.slots:  # one very long text
-                    self.slots *= 2
-                    self._begin()
+            if len(self.words) + len(known) > min(self.most, self.slots // 2):
+                self._make_room(len(known))
+                entry = self._find(h)
+                new = np.flatnonzero(entry < 0)
+                known, at = np.unique(h[new], return_index=True)
+                if 2 * (len(self.words) + len(known)) > self.slots:  # one very long text, of which much was forgotten
+                    self._make_room(len(known))
+                    entry = self._find(h)
+                    new = np.flatnonzero(entry < 0)
+                    known, at = np.unique(h[new], return_index=True)
             spot = new[at]
             todo = [data[p:q] for p, q in zip(bounds[spot].tolist(), bounds[spot + 1].tolist(), strict=True)]
             for k in range(0, len(todo), 50_000):
                 self._learn(known[k : k + 50_000], todo[k : k + 50_000])
             entry[new] = self._find(h[new])
+        times = np.bincount(entry, minlength=len(self.words))
+        self.uses[: len(self.words)] += times.astype(np.int32)
         return entry, np.searchsorted(bounds, begins)
 
     def links(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +307,7 @@ def _pairs(paths: tuple[str, str]):
         aligner = Aligner.of(*paths)
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         held: dict[int, int] = {}
-        for batch in sub_batches(batches, 4 << 20):
+        for batch in sub_batches(batches, 2 << 20):
             texts = _encoded(batch.column(1))
             entries, starts = aligner.chunks(texts)
             z, fresh = starts.tolist(), {}
@@ -356,7 +390,7 @@ def _figures(paths: tuple[str, str]):
                     pairs, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
                     order = np.argsort(pairs)
                     pairs, counts, waiting = pairs[order], counts[order], []
-                for sub in sub_batches(iter([part]), 4 << 20):
+                for sub in sub_batches(iter([part]), 2 << 20):
                     yield texts_of(sub)
 
     return run

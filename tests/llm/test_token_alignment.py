@@ -121,7 +121,7 @@ def test_chunks_join_to_the_librarys_groups(libraries, texts):
 
 
 def test_large_groups_and_forgetting(monkeypatch, libraries):
-    """Groups written out by distinct pairs, and a worker that begins anew, give the same."""
+    """Groups written out by distinct pairs, and a worker that forgets, give the same."""
     al = ta.Aligner(ta.default_tokenizer(), ta.default_pieces())
     monkeypatch.setattr(al, "large", 2)
     monkeypatch.setattr(al, "most", 50)
@@ -135,4 +135,4 @@ def test_large_groups_and_forgetting(monkeypatch, libraries):
             for pair, n in zip(al.pair[at].tolist(), al.times[at].tolist(), strict=True):
                 got[pair >> 32, pair & 0xFFFFFFFF] += n
             assert got == Counter((a, b) for x, y in groups_of(libraries, t) for a in x for b in y)
-    assert al.age > 5
+    assert al.shrunk > 5
