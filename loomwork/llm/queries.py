@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import context_mix, decontam, ext_hash, license_dice, line_templates, packing, periodic_runs, pipeline, quality_bt, simhash_tiles, sstable, token_alignment, weak_rules
+from loomwork.llm import context_mix, decontam, ext_hash, license_dice, line_templates, packing, periodic_runs, pipeline, quality_bt, simhash_tiles, site_tree, sstable, token_alignment, weak_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,12 +59,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.with_planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.digest(site_tree.extract(table(spark, sf_dir, "pages")))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digest(token_alignment.align(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_quality_bradley_terry, op2_quality_rules, op3_context_mixing, op4_decontamination, op5_license_scan, op6_sum_of_squares_packing, op7_line_templates, op8_simhash_tiles, op9_extendible_sharding, op10_sstable_tokens, op11_periodic_runs, op13_token_alignment)
+    ops = (op1_quality_bradley_terry, op2_quality_rules, op3_context_mixing, op4_decontamination, op5_license_scan, op6_sum_of_squares_packing, op7_line_templates, op8_simhash_tiles, op9_extendible_sharding, op10_sstable_tokens, op11_periodic_runs, op12_site_style_tree, op13_token_alignment)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
