@@ -38,6 +38,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -348,6 +349,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, as compressed bytes: pages are most of what is shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in sub_batches(batches, 4 << 20):
+        pressed = [None if t is None else press.compress(t.encode()) for t in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pressed, pa.binary())], names=b.schema.names)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, url, html) -> (bucket, page, features) of the pages that have a host; equal pages of a batch once a bucket."""
     for b in sub_batches(batches, 4 << 20):
@@ -402,7 +411,7 @@ _OUT = "page_id long, url string, text string, n_blocks long, n_removed long"
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (bucket, is_page, page_id, url, html, element, presentation, styles, content, noisy) in order of the first two."""
-    now, figures, noisy = None, {}, set()
+    now, figures, noisy, unpress = None, {}, set(), zstandard.ZstdDecompressor()
     for whole in batches:
         flag, bucket = whole.column(1).to_numpy(zero_copy_only=False), whole.column(0).to_numpy()
         bounds = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (flag[1:] != flag[:-1])) + 1).tolist(), len(bucket)]
@@ -421,7 +430,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in sub_batches(iter([part]), 4 << 20):
                 texts, sizes, removed = [], [], []
                 for url, html in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    page = Page(html or "")
+                    page = Page(unpress.decompress(html).decode() if html else "")
                     host = host_of(url)
                     blocks, n = main_text(page, page.keys(host), figures if host else {}, noisy)
                     texts.append("\n".join(blocks))
@@ -443,9 +452,10 @@ def extract(df: DataFrame, *, bucket_bytes: int = 32 << 20, id_col: str = "page_
     blank = F.lit(None)
     needed = rows.select("bucket", F.explode(F.transform("features", lambda f: f["element"])).alias("element")).distinct()
     known = needed.join(tree(rows), "element").select(
-        "bucket", F.lit(False).alias("is_page"), blank.cast("long").alias("page_id"), blank.cast("string").alias("url"), blank.cast("string").alias("html"), "element", "presentation", "styles", "content", "noisy"
+        "bucket", F.lit(False).alias("is_page"), blank.cast("long").alias("page_id"), blank.cast("string").alias("url"), blank.cast("binary").alias("html"), "element", "presentation", "styles", "content", "noisy"
     )
-    told = pages.select(
+    pressed = pages.select("bucket", "page_id", "url", "html").mapInArrow(_pressed, "bucket long, page_id long, url string, html binary")
+    told = pressed.select(
         "bucket", F.lit(True).alias("is_page"), "page_id", "url", "html", blank.cast("long").alias("element"), blank.cast("double").alias("presentation"), blank.cast("long").alias("styles"), blank.cast("double").alias("content"), blank.cast("array<long>").alias("noisy")
     )
     return known.unionByName(told).repartition(parts, "bucket").sortWithinPartitions("bucket", "is_page").mapInArrow(_extracted, _OUT)
