@@ -1,316 +1,26 @@
-"""Row solvers in plain Python: a problem's examples and question in, an answer and the rule behind it out.
+"""The solvers that work on batches of problems in Python: bit strings and symbols. Numerals and ciphers are columns (``word_cipher``), physics too.
 
-``solve`` is what the Arrow operator calls; each solver takes (examples, question) and returns (answer, rule), or None
-where the examples show no rule.
+Each takes (examples, question) pairs and gives (answer, rule) for each, or None where the examples show no rule.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from functools import partial
+from collections.abc import Callable
 
-from loomwork.functions.grammar import WORD_LIST
+from loomwork.functions import bit_rules, equations
 
 Pairs = list[tuple[str, str]]
 Found = tuple[str, str] | None
-BITS = 8
-
-# --- bits -----------------------------------------------------------------------------------------
-# Families in the order in which they win ties, and the order in which runs are compared.
-FAMILIES = ("Identity", "NOT", "Constant", "AND", "OR", "XOR", "AND-NOT", "OR-NOT", "XOR-NOT")
-_TRUTH = {"AND": lambda a, b: a & b, "OR": lambda a, b: a | b, "XOR": lambda a, b: a ^ b}
-
-
-class _Rule(tuple):
-    """(family, operand, operand): a bit of the output as a function of bits of the input."""
-
-    def apply(self, bits: str) -> str:
-        family, p, q = self
-        if family == "Constant":
-            return str(p)
-        if family == "default":
-            return "1"
-        a = int(bits[p])
-        if family in ("Identity", "NOT"):
-            return str(a ^ (family == "NOT"))
-        b = int(bits[q]) ^ family.endswith("-NOT")
-        return str(_TRUTH[family.removesuffix("-NOT")](a, b))
-
-    def shifted(self, by: int) -> _Rule:
-        family, p, q = self
-        if family == "Constant":
-            return self
-        return _Rule((family, (p + by) % BITS, None if q is None else (q + by) % BITS))
-
-    def text(self) -> str:
-        family, p, q = self
-        name = {"Identity": "I", "Constant": "C"}.get(family, family)
-        return "default 1" if family == "default" else f"{name}{p}" + ("" if q is None else str(q))
-
-
-def _operand_pairs(family: str) -> Iterable[tuple[int, int]]:
-    if family.endswith("-NOT"):
-        yield from ((a, (a + d) % BITS) for d in range(1, BITS) for a in range(BITS))
-    else:
-        for d in range(1, BITS // 2 + 1):
-            for a in range(BITS // 2 if 2 * d == BITS else BITS):
-                yield a, (a + d) % BITS
-                yield (a + d) % BITS, a
-
-
-def _fits(inputs: list[str], outputs: list[str]) -> dict[str, list[list[_Rule]]]:
-    """For each family and output bit, the rules that all examples obey, in the order in which they are tried."""
-    cols = [[v[i] for v in outputs] for i in range(BITS)]
-    out: dict[str, list[list[_Rule]]] = {f: [[] for _ in range(BITS)] for f in FAMILIES}
-    for f in FAMILIES:
-        if f == "Constant":
-            rules = [_Rule((f, v, None)) for v in (0, 1)]
-        elif f in ("Identity", "NOT"):
-            rules = [_Rule((f, p, None)) for p in range(BITS)]
-        else:
-            rules = [_Rule((f, a, b)) for a, b in _operand_pairs(f)]
-        for r in rules:
-            made = [r.apply(v) for v in inputs]
-            for bit in range(BITS):
-                if made == cols[bit]:
-                    out[f][bit].append(r)
-    return out
-
-
-def _longest_run(per_bit: list[list[_Rule]], from_left: bool) -> list[_Rule]:
-    """The longest chain whose operands move by one with each bit, from the first bit or up to the last one."""
-    best: list[_Rule] = []
-    for start in per_bit[0 if from_left else BITS - 1]:
-        chain = [start]
-        while len(chain) < BITS:
-            k = len(chain)
-            wanted = start.shifted(k if from_left else -k)
-            if wanted not in per_bit[k if from_left else BITS - 1 - k]:
-                break
-            chain.append(wanted)
-        if len(chain) > len(best):
-            best = chain
-    return best if from_left else best[::-1]
-
-
-def _extrapolate(run: list[_Rule], first_bit: int, bit: int, side: str) -> tuple[int | None, int | None] | None:
-    """Operands that the run would have at a bit it does not reach; a single operand stands left or right by its side."""
-    if not run or run[0][0] == "Constant":
-        return None
-    _, p, q = run[0].shifted(bit - first_bit)
-    if q is not None:
-        return p, q
-    return (p, None) if side == "left" else (None, p)
+_NUMERIC = re.compile(r"\d+\D\d+")
 
 
 def solve_bits(examples: Pairs, question: str) -> Found:
-    def clean(v: str) -> str:
-        return "".join(c for c in v if c in "01")
-
-    inputs, outputs, asked = [clean(a) for a, _ in examples], [clean(b) for _, b in examples], clean(question)
-    if not examples or any(len(v) != BITS for v in (*inputs, *outputs, asked)):
-        return None
-    fits = _fits(inputs, outputs)
-    # Runs compete in the order of the families; the first of the longest wins.
-    left = max((_longest_run(fits[f], True) for f in FAMILIES), key=len)
-    right = max((_longest_run(fits[f], False) for f in FAMILIES), key=len)
-    right_first = len(right) > len(left)
-    if len(left) + len(right) > BITS:
-        if right_first:
-            left = left[: BITS - len(right)]
-        else:
-            right = right[len(left) + len(right) - BITS :] if len(left) < BITS else []
-    at = BITS - len(right)
-    best: list[_Rule | None] = [*left, *[None] * (BITS - len(left) - len(right)), *right]
-    gaps: dict[int, tuple[int | None, int | None]] = {}
-    for bit in range(len(left), at):
-        sides = [("left", left, 0), ("right", right, at)]
-        wish: tuple[int | None, int | None] | None = None
-        for side, run, first in reversed(sides) if right_first else sides:
-            more = _extrapolate(run, first, bit, side)
-            if wish is None:
-                wish = more
-            elif more is not None and run[0][0] in ("Identity", "NOT"):
-                wish = tuple(w if w is not None else m for w, m in zip(wish, more, strict=True))  # type: ignore[assignment]
-        if wish is not None:
-            gaps[bit] = wish
-
-    def choices(family: str, bit: int) -> list[_Rule]:
-        p, q = gaps[bit]
-        rules = fits[family][bit]
-        if family == "Constant":
-            return rules
-        if family in ("Identity", "NOT"):
-            return [r for r in rules if r[1] in (p, q)]
-        for a, b in dict.fromkeys([(p, q), (q, p) if None not in (p, q) else (p, q)]):
-            if hit := [r for r in rules if (a is None or r[1] == a) and (b is None or r[2] == b)]:
-                return hit[:1]
-        return []
-
-    whole = next((f for f in FAMILIES if gaps and all(choices(f, bit) for bit in gaps)), None)
-    for bit in gaps:
-        options = choices(whole, bit) if whole else [r for f in FAMILIES for r in choices(f, bit)]
-        best[bit] = options[0] if options else None
-    if all(r is None for r in best):
-        return None
-    vector = [r or _Rule(("default", None, None)) for r in best]
-    return "".join(r.apply(asked) for r in vector), ", ".join(f"b{i}:{r.text()}" for i, r in enumerate(vector))
-
-
-# --- numerals -------------------------------------------------------------------------------------
-# The symbols of Roman numerals.
-_SYMBOLS = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
-
-
-def roman(n: int) -> list[tuple[int, int, str]]:
-    """Steps (remaining before, value taken, symbol)."""
-    out = []
-    for value, symbol in _SYMBOLS:
-        while n >= value:
-            out.append((n, value, symbol))
-            n -= value
-    return out
-
-
-def solve_numeral(examples: Pairs, question: str) -> Found:
-    if not re.fullmatch(r"\d+", question):
-        return None
-    steps = roman(int(question))
-    shown = [f"Converting {question}", *(f"{n} >= {v} -> {s}, rem {n - v}" for n, v, s in steps)]
-    return "".join(s for _, _, s in steps), " | ".join(shown[:6]) + (" | ..." if len(shown) > 6 else "")
-
-
-# --- ciphers --------------------------------------------------------------------------------------
-
-
-def _shape(word: str) -> tuple[int, ...]:
-    return tuple(word.index(c) for c in word)
-
-
-def solve_cipher(examples: Pairs, question: str, words: tuple[str, ...] = WORD_LIST) -> Found:
-    """Letters from aligned example words, the first mapping of a letter winning; words that hold unknown letters are
-    matched to the word list one after the other, each match adding its letters for the next."""
-    known: dict[str, str] = {}
-    for secret, plain in examples:
-        a, b = secret.split(), plain.split()
-        if len(a) == len(b):
-            for x, y in zip(a, b, strict=True):
-                if len(x) == len(y):
-                    for s, p in zip(x, y, strict=True):
-                        known.setdefault(s, p)
-    asked = question.split()
-    out = ["".join(known.get(c, "?") for c in w) for w in asked]
-    for k in [k for k, w in enumerate(asked) if any(c not in known for c in w)]:
-        secret, taken = asked[k], set(known.values())
-        fits = [w for w in sorted(words) if _shape(w) == _shape(secret) and all(known[s] == p if s in known else p not in taken for s, p in zip(secret, w, strict=True))]
-        if not fits:
-            return None
-        out[k] = fits[0]
-        known.update(zip(secret, fits[0], strict=True))
-    used = dict.fromkeys(c for w in asked for c in w if known[c] != c)
-    shown = [f"{c}→{known[c]}" for c in used]
-    return " ".join(out), ", ".join(shown[:10]) + (" (remaining consistent)" if len(shown) > 10 else "")
-
-
-# --- equations ------------------------------------------------------------------------------------
-
-
-def _operations(x: str, y: str, rare: bool) -> dict[str, str]:
-    """Results by name of operation, common ones or rare ones, in the order in which they are tried."""
-    a, b = int(x), int(y)
-    if not rare:
-        return {
-            "concatenation": x + y, "reverse concatenation": y + x, "addition": str(a + b), "absolute difference": str(abs(a - b)), "negated absolute difference": str(-abs(a - b)),
-            "subtraction (a-b)": str(a - b), "reverse subtraction (b-a)": str(b - a), "multiplication": str(a * b),
-        }
-    out = {"multiply+1": a * b + 1, "multiply-1": a * b - 1, "add+1": a + b + 1, "add-1": a + b - 1, "sub+1": a - b + 1, "sub-1": a - b - 1}
-    if a and b:
-        out["max mod min"] = max(a, b) % min(a, b)
-    if b:
-        out |= {"integer division (a/b)": a // b, "modulo (a mod b)": a % b}
-    if a:
-        out |= {"reverse division (b/a)": b // a, "reverse modulo (b mod a)": b % a}
-    text = {k: str(v) for k, v in out.items()}
-    if len(x) == len(y) == 2:
-        (p, q), (r, s) = map(int, x), map(int, y)
-        det = p * s - q * r
-        text |= {
-            "digit absolute diff": f"{abs(p - r)}{abs(q - s)}", "digit add mod10": f"{(p + r) % 10}{(q + s) % 10}", "digit sub mod10": f"{(p - r) % 10}{(q - s) % 10}",
-            "cross multiply": str(p * r + q * s), "cross multiply rev": str(p * s + q * r), "digit multiply": f"{p * r}{q * s}", "digit multiply rev": f"{p * s}{q * r}",
-            "digit sum diff": str(p + q - r - s), "digit sum sum": str(p + q + r + s), "digit product diff": str(p * q - r * s), "digit product sum": str(p * q + r * s),
-            "determinant": str(det), "abs determinant": str(abs(det)),
-        }
-    return text
-
-
-def _flip(s: str) -> str:
-    return "-" + s[:0:-1] if s.startswith("-") else s[::-1]
-
-
-def _sign_format(op: str, outs: list[str]) -> tuple[str, str]:
-    """Where an operator's results carry a sign: (none, suffix or prefix, the sign's character)."""
-    long = [o for o in outs if len(o) > 1]
-    if op != "-" and any(o.endswith("-") for o in long):
-        return "suffix", "-"
-    if op != "-" and any(o.startswith("-") for o in long):
-        return "prefix", "-"
-    if any(o.endswith(op) for o in long):
-        return "suffix", op
-    if any(o.startswith(op) for o in long):
-        return "prefix", op
-    return "none", ""
-
-
-def _as_number(out: str, where: str, sign: str) -> str:
-    if len(out) > 1 and where == "suffix" and out.endswith(sign):
-        return "-" + out[: -len(sign)]
-    if len(out) > 1 and where == "prefix" and out.startswith(sign):
-        return "-" + out[len(sign) :]
-    return out
+    return bit_rules.solve_batch([(examples, question)])[0]
 
 
 def solve_equation(examples: Pairs, question: str) -> Found:
-    """The first operation, common before rare, that all examples of the question's operator obey under one of four ways
-    of reading digits backwards. An operator without examples takes the absolute difference, written with the sign format
-    of the operator that has the most examples; the rule then still names that operator's operation."""
-    by_op: dict[str, list[tuple[str, str, str]]] = {}
-    for given, out in examples:
-        if m := re.fullmatch(r"(\d+)(\D)(\d+)", given):
-            by_op.setdefault(m[2], []).append((m[1], m[3], out))
-    asked = re.fullmatch(r"(\d+)(\D)(\d+)", question)
-    if not asked or not by_op:
-        return None
-    x, op, y = asked[1], asked[2], asked[3]
-    source = op if op in by_op else max(by_op, key=lambda o: len(by_op[o]))
-    group = by_op[source]
-    where, sign = _sign_format(source, [o for _, _, o in group])
-    wanted = [(a, b, _as_number(o, where, sign)) for a, b, o in group]
-
-    def result(name: str, rare: bool, back: bool, turned: bool, a: str, b: str) -> str | None:
-        a, b = (a[::-1], b[::-1]) if back else (a, b)
-        got = _operations(a, b, rare).get(name)
-        return _flip(got) if got is not None and turned else got
-
-    def search() -> tuple[str, bool, bool, bool] | None:
-        for rare in (False, True):
-            for back, turned in ((True, True), (False, False), (True, False), (False, True)):
-                a, b, _ = wanted[0]
-                for name in _operations(*((a[::-1], b[::-1]) if back else (a, b)), rare):
-                    if all(result(name, rare, back, turned, a, b) == o for a, b, o in wanted):
-                        return name, rare, back, turned
-        return None
-
-    found = search()
-    if found is None:
-        return None
-    rule = ", ".join([*(["reversed operands"] if found[2] else []), *(["reversed result"] if found[3] else []), found[0]])
-    answer = result(*found, x, y) if op == source else str(abs(int(x) - int(y)))
-    if answer is None:
-        return None
-    if where != "none" and answer.startswith("-"):
-        answer = answer[1:] + op if where == "suffix" else op + answer[1:]
-    return answer, rule
+    return equations.solve_batch([(examples, question)])[0]
 
 
 def solve_cryptarithm(examples: Pairs, question: str) -> Found:
@@ -326,31 +36,52 @@ def solve_cryptarithm(examples: Pairs, question: str) -> Found:
     return forward(question), ""
 
 
-def solve_symbolic(examples: Pairs, question: str, *, at_once: bool = False) -> Found:
-    """Numeric questions try the equation solver first, others the cryptarithm; a result without a rule gives way to the next,
+def solve_symbolic(problems: list[tuple[Pairs, str]], at_once: bool = False) -> list[Found]:
+    """Numeric questions try the equations first, others the cryptarithm; a result without a rule gives way to the next,
     or, at once, to none (the second and third version)."""
-    order = (solve_equation, solve_cryptarithm) if re.fullmatch(r"\d+\D\d+", question) else (solve_cryptarithm, solve_equation)
-    for f in order:
-        found = f(examples, question)
-        if found and (found[1] or at_once):
-            return found if found[1] else None
-    return None
+    by_equation = equations.solve_batch(problems)
+    out: list[Found] = []
+    for (examples, question), equation in zip(problems, by_equation, strict=True):
+        found = [equation, solve_cryptarithm(examples, question)]
+        if not _NUMERIC.fullmatch(question):
+            found.reverse()
+        shown = [f for f in found if f is not None]
+        if at_once:
+            shown = shown[:1]
+        out.append(next((f for f in shown if f[1]), None))
+    return out
+
 
+#: The first version's symbolic dispatcher tries both solvers; those of later versions return at once.
+_SOLVERS: dict[str, Callable[[list[tuple[Pairs, str]], int], list[Found]]] = {
+    "bit_manipulation": lambda problems, version: bit_rules.solve_batch(problems),
+    "symbolic_transform": lambda problems, version: solve_symbolic(problems, at_once=version > 1),
+}
 
-SOLVERS = {"bit_manipulation": solve_bits, "numeral": solve_numeral, "cipher": solve_cipher, "symbolic_transform": solve_symbolic}
 
+def solve_many(tasks: list[str], problems: list[tuple[Pairs, str]], version: int = 1) -> list[tuple[str, str, str]]:
+    """(answer, rule, error) of each problem; error is empty where there is an answer.
 
-#: Registries by version: the solvers are the same, the symbolic dispatcher of later versions returns at once.
-VERSIONS = {1: SOLVERS, 2: SOLVERS | {"symbolic_transform": partial(solve_symbolic, at_once=True)}}
-VERSIONS[3] = VERSIONS[2]
+    A batch that a solver fails on is solved row by row, so that the error is the row's own: its type and what it says.
+    """
+    out = [("", "", "missing_reasoner")] * len(tasks)
+    for task, solver in _SOLVERS.items():
+        places = [i for i, t in enumerate(tasks) if t == task]
+        try:
+            found = [f or "no_rule" for f in solver([problems[i] for i in places], version)]
+        except (ValueError, KeyError, IndexError, ArithmeticError):
+            found = [_alone(solver, problems[i], version) for i in places]
+        for i, f in zip(places, found, strict=True):
+            out[i] = ("", "", f) if isinstance(f, str) else (*f, "")
+    return out
 
 
-def solve(task: str, examples: Pairs, question: str, version: int = 1) -> tuple[str, str, str]:
-    """(answer, rule, error); error is empty where there is an answer."""
-    if task not in VERSIONS[version]:
-        return "", "", "missing_reasoner"
+def _alone(solver: Callable, problem: tuple[Pairs, str], version: int) -> tuple[str, str] | str:
     try:
-        found = VERSIONS[version][task](examples, question)
-    except (ValueError, KeyError, IndexError, ZeroDivisionError) as e:
-        return "", "", f"{type(e).__name__}"
-    return (found[0], found[1], "") if found else ("", "", "no_rule")
+        return solver([problem], version)[0] or "no_rule"
+    except (ValueError, KeyError, IndexError, ArithmeticError) as e:
+        return f"reasoner_error:{type(e).__name__}: {e}"
+
+
+def solve(task: str, examples: Pairs, question: str, version: int = 1) -> tuple[str, str, str]:
+    return solve_many([task], [(examples, question)], version)[0]

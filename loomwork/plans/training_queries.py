@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions import bit_rules as B
 from loomwork.functions.session import settle
 from loomwork.functions.text import prompt_hash
 from loomwork.operators import audit as A
@@ -182,6 +183,83 @@ def _traced(version: int):
 for _v in (1, 2, 3):
     QUERIES[f"trace_v{_v}"] = _traced(_v)
 
+# The traces of the five tasks whose steps SQL can name. Letters stand opposite each other in question and answer; symbols are cut from the answer.
+_STEPS = f"""WITH {V.PROBLEMS}, x AS (SELECT pid, task_type, question AS q, answer AS a, CASE task_type WHEN 'gravity' THEN regexp_extract_all(prompt, 't = ([0-9.]+)s, distance = ([0-9.]+) m', 1) ELSE regexp_extract_all(prompt, '([0-9.]+) m becomes ([0-9.]+)', 1) END AS xs,
+    CASE task_type WHEN 'gravity' THEN regexp_extract_all(prompt, 't = ([0-9.]+)s, distance = ([0-9.]+) m', 2) ELSE regexp_extract_all(prompt, '([0-9.]+) m becomes ([0-9.]+)', 2) END AS ys FROM problems WHERE task_type <> 'bit_manipulation'),
+v AS (SELECT *, [CASE task_type WHEN 'gravity' THEN 2 * ys[i]::DOUBLE / (xs[i]::DOUBLE * xs[i]::DOUBLE) ELSE ys[i]::DOUBLE / xs[i]::DOUBLE END for i in range(1, len(xs) + 1)] AS vs FROM x),
+c AS (SELECT *, median_of AS c, CASE task_type WHEN 'gravity' THEN 0.5 * median_of * q::DOUBLE * q::DOUBLE WHEN 'unit_conversion' THEN q::DOUBLE * median_of END AS predicted FROM (SELECT *, CASE WHEN len(vs) > 0 THEN (list_sort(vs)[(len(vs) + 1) // 2] + list_sort(vs)[len(vs) // 2 + 1]) / 2 END AS median_of FROM v)),
+n AS (SELECT *, printf('%.6g', c) AS coefficient, printf('%.2f', predicted) AS said, array_to_string([printf('%.4g', z) for z in list_sort(vs)], ', ') AS listed,
+    [substr(q, i, 1) || '→' || substr(a, i, 1) for i in range(1, length(q) + 1) IF task_type = 'cipher' AND substr(q, i, 1) <> ' ' AND strpos(q, substr(q, i, 1)) = i] AS letters,
+    CASE WHEN task_type = 'numeral' THEN regexp_extract_all(a, 'CM|CD|XC|XL|IX|IV|[MDCLXVI]') ELSE [] END AS symbols FROM c),
+r AS (SELECT *, [CASE s WHEN 'M' THEN 1000 WHEN 'CM' THEN 900 WHEN 'D' THEN 500 WHEN 'CD' THEN 400 WHEN 'C' THEN 100 WHEN 'XC' THEN 90 WHEN 'L' THEN 50 WHEN 'XL' THEN 40 WHEN 'X' THEN 10 WHEN 'IX' THEN 9 WHEN 'V' THEN 5 WHEN 'IV' THEN 4 ELSE 1 END for s in symbols] AS taken FROM n),
+k AS (SELECT *, [list_sum(taken[i:])::BIGINT for i in range(1, len(taken) + 1)] AS upto, array_to_string(letters[1:10], ', ') AS first_ten, len(letters) > 10 AS many FROM r),
+t AS (SELECT *, ['Converting ' || q] || [upto[i] || ' >= ' || taken[i] || ' -> ' || symbols[i] || ', rem ' || (upto[i] - taken[i]) for i in range(1, len(taken) + 1)] AS lines FROM k)"""
+_ENDS = "chr(10) || 'Query: ' || q || chr(10) || 'Result: ' || a"
+_RULE = "'reversed operands, reversed result, reverse concatenation'"
+_HALF = "chr(10) || 'For t=' || q || ': 0.5 * ' || coefficient || ' * ' || q || '^2 = ' || said || '.'"
+_FOR = "chr(10) || 'For ' || q || ': ' || q || ' * ' || coefficient || ' = ' || said || '.'"
+_GIVES = "'.' || chr(10) || 'Applied to ' || q || ' it gives ' || a || '.'"
+_QUOTED = "chr(10) || chr(39) || q || chr(39) || ' reads ' || chr(39) || a || chr(39) || '.'"
+_TRACES = {
+    1: {
+        "gravity": "'Gravity. From g = 2*d/t^2 the examples give g near ' || coefficient || '. Then d = 0.5*g*t^2.'", "unit_conversion": "'Units. The ratios output/input are near ' || coefficient || '. Multiply the query by it.'",
+        "numeral": f"'Numerals. Roman symbols are taken largest first.' || {_ENDS}", "cipher": f"'Cipher. The examples say what each letter stands for.' || {_ENDS}", "symbolic_transform": f"'Symbols. Rule: ' || {_RULE} || '.' || {_ENDS}",
+    },
+    2: {
+        "gravity": f"'Gravity. t=' || xs[1] || ', d=' || ys[1] || ' give g near ' || coefficient || '.' || {_HALF}", "unit_conversion": f"'Units. ' || ys[1] || '/' || xs[1] || ' and the others give the median ' || coefficient || '.' || {_FOR}",
+        "numeral": "'Numerals. ' || array_to_string([upto[i] || ' gives ' || symbols[i] for i in range(1, least(len(taken), 6) + 1)], ', ') || CASE WHEN len(taken) > 6 THEN ', ...' ELSE '' END || '.' || chr(10) || q || ' gives ' || a || '.'",
+        "cipher": f"'Cipher. Letters: ' || first_ten || CASE WHEN many THEN ', ...' ELSE '' END || '.' || {_QUOTED}", "symbolic_transform": f"'Symbols. Rule: ' || {_RULE} || '.' || chr(10) || q || ' gives ' || a || '.'",
+    },
+    3: {
+        "gravity": f"'Gravity. The values of g are ' || listed || '; the median is ' || coefficient || '.' || {_HALF}", "unit_conversion": f"'Units. The coefficients are ' || listed || '; the median is ' || coefficient || '.' || {_FOR}",
+        "numeral": f"'Numerals. Rule: ' || array_to_string(lines[1:6], ' | ') || CASE WHEN len(lines) > 6 THEN ' | ...' ELSE '' END || {_GIVES}",
+        "cipher": f"'Cipher. Rule: ' || first_ten || CASE WHEN many THEN ' (remaining consistent)' ELSE '' END || {_GIVES}", "symbolic_transform": f"'Symbols. Rule: ' || {_RULE} || {_GIVES}",
+    },
+}
+
+
+def _trace_texts(version: int):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = R.reason(_parsed(spark, d).filter("task_type <> 'bit_manipulation'"), version)
+        return rows.select("pid", "task_type", R.trace(version).alias("trace"))
+
+    return run
+
+
+for _v, _of in _TRACES.items():
+    QUERIES[f"trace_texts_v{_v}"] = _trace_texts(_v)
+    ORACLES[f"trace_texts_v{_v}"] = f"{_STEPS} SELECT pid, task_type, CASE task_type {' '.join(f'WHEN {chr(39)}{t}{chr(39)} THEN {text}' for t, text in _of.items())} END AS trace FROM t"
+
+
+@query(f"""{_STEPS}, s AS (SELECT pid, 'take' AS step, upto[i]::VARCHAR AS input, symbols[i] AS output, i AS place FROM t, unnest(generate_series(1, len(taken))) u(i) WHERE task_type = 'numeral'
+    UNION ALL SELECT pid, 'letter', substr(letters[i], 1, 1), substr(letters[i], 3, 1), i FROM t, unnest(generate_series(1, len(letters))) u(i) WHERE task_type = 'cipher'
+    UNION ALL SELECT pid, 'word', string_split(q, ' ')[i], string_split(a, ' ')[i], len(letters) + i FROM t, unnest(generate_series(1, len(string_split(q, ' ')))) u(i) WHERE task_type = 'cipher'
+    UNION ALL SELECT pid, 'operation', {_RULE}, a, 1 FROM t WHERE task_type = 'symbolic_transform')
+    SELECT pid, (place - 1)::INT AS place, step, input, output FROM s""")
+def solver_steps(spark: SparkSession, d: str) -> DataFrame:
+    """What the solvers of words and symbols did, a row a step."""
+    rows = R.reason(_parsed(spark, d).filter("task_type IN ('numeral', 'cipher', 'symbolic_transform')"))
+    # Outer: else the filter that Catalyst infers would work the steps out once more.
+    return rows.select("pid", F.posexplode_outer("steps").alias("place", "s")).select("pid", "place", "s.*").filter("step IS NOT NULL")
+
+
+def _bit_rules_sql() -> str:
+    of = {"Identity": "a", "NOT": "xor(a, ones)", "Constant": "CASE p WHEN 1 THEN ones ELSE 0 END", "AND": "a & b", "OR": "a | b", "XOR": "xor(a, b)", "AND-NOT": "a & xor(b, ones)", "OR-NOT": "a | xor(b, ones)", "XOR-NOT": "xor(a, xor(b, ones))"}
+    rules = ", ".join(f"('{f}', {p}, {'NULL' if q is None else q})" for f, p, q in B.RULES)
+    columns = "[list_sum([substr({0}[e], i, 1)::BIGINT << (e - 1) for e in range(1, len({0}) + 1)])::BIGINT for i in range(1, 9)]"
+    return f"""WITH {V.PROBLEMS}, x AS (SELECT pid, regexp_extract_all(prompt, '([01]{{8}}) -> ([01]{{8}})', 1) AS xs, regexp_extract_all(prompt, '([01]{{8}}) -> ([01]{{8}})', 2) AS ys FROM problems WHERE task_type = 'bit_manipulation'),
+    c AS (SELECT pid, {columns.format('xs')} AS given, {columns.format('ys')} AS wanted, (1::BIGINT << len(xs)) - 1 AS ones FROM x),
+    r AS (SELECT * FROM (VALUES {rules}) v(family, p, q)),
+    j AS (SELECT pid, family, p, q, wanted, ones, CASE WHEN family = 'Constant' THEN 0 ELSE given[p + 1] END AS a, CASE WHEN q IS NULL THEN 0 ELSE given[q + 1] END AS b FROM c CROSS JOIN r),
+    m AS (SELECT *, CASE family {' '.join(f"WHEN '{f}' THEN {e}" for f, e in of.items())} END AS made FROM j)
+    SELECT pid, (i - 1)::INT AS bit, family, p::INT AS p, coalesce(q, -1)::INT AS q FROM m, unnest(generate_series(1, 8)) u(i) WHERE made = wanted[i]"""
+
+
+@query(_bit_rules_sql())
+def bit_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Which rule gives which output bit in all examples; -1 is no second operand."""
+    return R.bit_fits(_parsed(spark, d).filter("task_type = 'bit_manipulation'")).withColumn("q", F.coalesce("q", F.lit(-1)))
+
 
 @query()
 def trace_quality(spark: SparkSession, d: str) -> DataFrame:

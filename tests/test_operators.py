@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.functions.solvers import roman, solve, solve_bits, solve_cipher, solve_cryptarithm, solve_equation, solve_numeral
+from loomwork.functions.solvers import solve, solve_bits, solve_cryptarithm, solve_equation
 from loomwork.operators import audit as A
 from loomwork.operators import chat as C
 from loomwork.operators import dedup as D
@@ -12,6 +12,7 @@ from loomwork.operators import profile as P
 from loomwork.operators import scoring as S
 from loomwork.operators import select as Q
 from loomwork.operators import split as Sp
+from tests import models as M
 
 MSG = "array<struct<role:string,content:string>>"
 
@@ -208,9 +209,9 @@ def test_bits_agree_with_every_example_they_fit():
 def test_numerals():
     values = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
     for n in range(1, 4000, 7):
-        s = solve_numeral([], str(n))[0]
+        s = M.solve_numeral([], str(n))[0]
         total = sum(-values[a] if values[a] < values.get(b, 0) else values[a] for a, b in zip(s, s[1:] + " ", strict=True))
-        assert total == n == sum(v for _, v, _ in roman(n))
+        assert total == n == sum(v for _, v, _ in M.roman(n))
 
 
 def test_cipher_and_unknown_letters():
@@ -219,9 +220,9 @@ def test_cipher_and_unknown_letters():
     shift = str.maketrans(string.ascii_lowercase, string.ascii_lowercase[3:] + string.ascii_lowercase[:3])
     enc = lambda s: s.translate(shift)
     ex = [(enc("the clever cat"), "the clever cat"), (enc("queen reads"), "queen reads")]
-    assert solve_cipher(ex, enc("the queen"))[0] == "the queen"
-    assert solve_cipher(ex, enc("the wizard"))[0] == "the wizard"  # w, i, z are guessed from the word list
-    assert solve_cipher(ex, enc("zzzz")) is None
+    assert M.solve_cipher(ex, enc("the queen"))[0] == "the queen"
+    assert M.solve_cipher(ex, enc("the wizard"))[0] == "the wizard"  # w, i, z are guessed from the word list
+    assert M.solve_cipher(ex, enc("zzzz")) is None
 
 
 def test_equations_and_cryptarithms():
@@ -236,7 +237,7 @@ def test_equations_and_cryptarithms():
     assert solve_cryptarithm([("ab|cd", "abcd")], "wx|yz") == ("wxyz", "concatenation")
     assert solve_cryptarithm([("ab|cd", "cdab")], "wx|yz") == ("yzwx", "reverse concatenation")
     assert solve_cryptarithm([("ab|cd", "cdab")], "wx+yz") == ("wxyz", "")
-    assert solve("gravity", [], "1") == ("", "", "missing_reasoner") and solve("numeral", [], "x")[2] == "no_rule"
+    assert solve("gravity", [], "1") == ("", "", "missing_reasoner") and solve("bit_manipulation", [], "x")[2] == "no_rule"
 
 
 def test_stop_ids_and_training_form():
