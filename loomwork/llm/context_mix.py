@@ -387,12 +387,12 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
             after = np.log(blanks) + math.log(share)
         names = ["rk", "h", "lead", "doc_id", "n_tokens", "known", "base", "score", "n_bytes"]
         for b in sub_batches(batches, 1 << 19):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts = b.column(0), b.column(1).to_pylist()
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
             low = [lower_ascii(t) for t in data]
             unit_doc, word, mark, nats = model.unit_nats(low)
             nats += math.log1p(-share)
-            rk = np.array([xxhash.xxh64_intdigest(t, xxhash.xxh32_intdigest(str(doc))) for doc, t in zip(ids, data, strict=True)], dtype=np.uint64).view(np.int64)
+            rk = np.array([xxhash.xxh64_intdigest(t) for t in data], dtype=np.uint64).view(np.int64)
             tokens, n_tokens = token_hashes(low)
             owner = np.repeat(np.arange(len(ids)), n_tokens)
             at = (tokens % np.uint64(SLOTS)).astype(np.int64)
@@ -406,23 +406,25 @@ def score(df: DataFrame, *, folds: int = 10, held_fold: int = 0, weights: tuple
             scores = (np.bincount(unit_doc, nats, minlength=len(ids)) + np.bincount(owner, np.where(known, gain, 0.0), minlength=len(ids))) / math.log(10)
             sums = np.bincount(owner, np.where(known, logs.take(at), 0.0), minlength=len(ids))
             hot = np.bincount(owner, known, minlength=len(ids)).astype(np.int64)
-            cols = [rk, rk ^ 0x5DEECE66D, pa.nulls(len(ids), pa.float32()), b.column(0), n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])]
+            # Rows of documents meet no count; they are spread, also where many have one text.
+            spread = mix64(rk.view(np.uint64) ^ (ids.fill_null(-1).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.arange(len(ids), dtype=np.uint64)).view(np.int64)
+            cols = [rk, spread, pa.nulls(len(ids), pa.float32()), ids, n_tokens, hot, sums, scores, np.array([len(t) + 1 for t in data])]
             types = [pa.int64(), pa.int64(), pa.float32(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
             # Tokens that are not hot meet their counts in the cluster, a row each.
             cold = np.flatnonzero(~known)
             if len(cold):
-                none = [pa.nulls(len(cold), t) for t in types[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.array(lead[cold].astype(np.float32)), *none], names=names)
+                none = [pa.nulls(len(cold), t) for t in types[4:]]
+                yield pa.RecordBatch.from_arrays([pa.array(rk[owner[cold]]), pa.array(tokens[cold].view(np.int64)), pa.array(lead[cold].astype(np.float32)), ids.take(pa.array(owner[cold])), *none], names=names)
 
     rows = docs.mapInArrow(run, "rk long, h long, lead float, doc_id long, n_tokens long, known long, base double, score double, n_bytes long")
     met = rows.join(counts, "h", "left")
     term = F.when(F.col("c").isNull(), F.lit(floor)).otherwise(F.log10((F.col("c") + 0.1) / F.lit(bottom)))
     met_c, far = F.when(F.col("lead").isNotNull(), F.col("c")), F.col("lead") + F.log(F.col("c") / total)
     gain = F.when(far > 30, far).otherwise(F.log1p(F.exp(far)))  # beyond 30 the one does not count
-    # Equal rows share rk: they are counted, their sums divided, and each gets its row again.
-    by = met.groupBy("rk").agg(
-        F.count("n_tokens").alias("m"), F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("hot"), F.max("base").alias("hot_base"), F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"),
+    # Rows of one id (or none) and one text are counted, their sums divided, and each gets its row again.
+    by = met.groupBy("doc_id", "rk").agg(
+        F.count("n_tokens").alias("m"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("hot"), F.max("base").alias("hot_base"), F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"),
         F.count(met_c).alias("cold"), F.coalesce(F.sum(F.when(F.col("lead").isNotNull(), term)), F.lit(0.0)).alias("cold_base"), F.coalesce(F.sum(F.when(met_c.isNotNull(), gain)), F.lit(0.0)).alias("gain"),
     )
     score = F.col("score") + F.col("gain") / F.col("m") / math.log(10)

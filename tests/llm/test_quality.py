@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import context_mix, ext_hash, license_dice, quality_bt, weak_rules
 
@@ -173,6 +174,16 @@ def slow_model(train):
     return m, np.bincount(coded, minlength=256)
 
 
+def test_equal_texts_of_many_ids_all_come_back(spark):
+    """Empty and short texts that very many rows share: 35566 and 149360 are alike in 32 bits of a hash."""
+    texts = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "the same two words in all").otherwise(F.lit(None).cast("string"))
+    df = spark.range(200_000).select(F.col("id").alias("doc_id"), texts.alias("text")).unionByName(spark.range(7).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")))
+    out = context_mix.score(df)
+    n, ids, least, most, nulls = out.agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    assert (n, ids, least, most, nulls) == (200_007, 200_000, 0, 199_999, 7)
+    assert out.groupBy("n_tokens", "n_known", "base_score").count().count() == 2
+
+
 def test_scores_against_python(docs, corpus):
     """Words and lone separators one by one: their bits from a model of whole tables, their shares from a Counter."""
     fold = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
