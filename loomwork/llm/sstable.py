@@ -16,8 +16,8 @@ A key is the signed 64-bit document id, big-endian with the sign bit turned, so
 null ids sort first under the key 0x00 alone. ``lookup`` asks the Bloom filter, binary-searches the sparse
 index, and reads one block (more only while equal keys go on).
 
-``write`` range-partitions by id, sorts each partition and writes it as one shard; shards are numbered in
-id order. A task writes under a name of its own attempt and renames at the end; a repeated task gives the
+``write`` range-partitions by id, within an id by a hash of the text and within a text by place, sorts each partition and writes it as one shard; shards are numbered in
+id order. So an id that a third of all rows share, or none, fills many shards; ``lookup`` asks each of them. A task writes under a name of its own attempt and renames at the end; a repeated task gives the
 same bytes under the same final name. Files lie in the shared folder, through pyarrow's file systems.
 """
 
@@ -217,7 +217,7 @@ def _publish(system: pafs.FileSystem, own: str, final: str) -> None:
 def write(df: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, block_bytes: int = 64 << 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and gives their manifest: shard, path, n_docs, n_ids; shards without documents have no row.
 
-    Equal ids keep together in one shard, in the order of their texts. The shuffle carries texts, not ids.
+    Rows of one id lie one after the other, over several shards where they are many, in the order of their texts' hashes. The shuffle carries texts, not ids.
     """
     spark, path = ship(df.sparkSession), tokenizer or default_tokenizer()
     if shards is None:
@@ -246,7 +246,10 @@ def write(df: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: i
             _publish(system, own, final)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/shard-{part:06d}.sst"]), pa.array([writer.entries], pa.int64()), pa.array([writer.ids], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
-    rows = pick(df, id_col, text_col).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one id and text are told apart by where they are read, so that they too can be cut.
+    order = (F.col("doc_id").asc_nulls_first(), "text_hash", "place")
+    rows = pick(df, id_col, text_col).withColumns({"text_hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
 
 

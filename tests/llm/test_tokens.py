@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,7 +107,9 @@ def test_empty_tables(nothing):
 
 def test_round_trip_through_shards(docs, corpus):
     rows = sorted(sstable.round_trip(docs, shards=4).collect(), key=lambda r: r.start)
-    want = sorted(((i, t or "") for i, t in corpus), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    # Within an id by the texts' hashes, as Spark's xxhash64 gives them.
+    hashed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    want = sorted(((i, t or "") for i, t in corpus), key=lambda x: (x[0] is not None, x[0] or 0, hashed(x[1])))
     at = 0
     for r, (i, t) in zip(rows, want, strict=True):
         ids = np.array([*encoded(t), 2], dtype="<u4")
@@ -114,6 +117,23 @@ def test_round_trip_through_shards(docs, corpus):
         at += len(ids)
 
 
+def test_an_id_of_most_rows_fills_many_shards(spark, tmp_path):
+    """Null ids with texts of their own, and one id whose rows are all equal."""
+    rows = [(None, f"text {i} of its own") for i in range(3000)] + [(7, "one text")] * 3000 + [(i, f"other {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = sstable.write(df, str(tmp_path / "shards"), shards=16)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 2 * 8000 / 16
+    got = sstable.read(spark, manifest).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    shards = [sstable.Shard(r.path) for r in manifest.collect()]
+    assert sum(len(s.lookup(None)) for s in shards) == 3000 and sum(len(s.lookup(7)) for s in shards) == 3001 and sum(len(s.lookup(5)) for s in shards) == 1
+
+
 def test_lookup_by_binary_search(tmp_path):
     path = str(tmp_path / "a.sst")
     keys = [None, -(2**63), -5, *range(0, 3000, 3), 2**63 - 1]
