@@ -10,7 +10,11 @@ make its lines recur, and are left to document-level dedup. Whether two document
 least hashes of five-word shingles of the whole text, of which a share of COPY agrees. Documents of equal sketches count once; the others
 are taken in the order of their sketch ids, and each that is no near copy of those taken before is taken, until there are
 ``min_docs``. That goes first by slices of a template's documents, then over what the slices took, so that no
-task holds all documents of a template. A recurring template stays in its first document (least doc_id) and is dropped
+task holds all documents of a template. Documents that share most of their text, but not all, are alike in these sketches and still may be strangers: a
+licence over two lines of content. So templates for which that fails are looked at once more without the shared lines. A document is told by the least of its own
+lines, of five words or more, which fewer than ``min_docs`` documents hold and which are no edited versions of shared lines (none of their MARKS least shingle hashes is one of a
+shared line's); a template that documents of ``min_docs`` different own lines hold recurs. Copies have no own lines, and near copies only edited ones; a line that one copy
+alone has makes it a document of its own. A recurring template stays in its first document (least doc_id) and is dropped
 from all others.
 
 Lines travel as hashes, templates as 16 bits a token; no key is collected whole: hot lines are pre-aggregated
@@ -42,6 +46,8 @@ COPY = 0.8
 WIDTH = 5
 #: Documents of a template in one slice, about.
 SLICE = 2000
+#: Least shingle hashes of a line that tell its edited versions.
+MARKS = 4
 _FIELD = np.uint64(0x2A2A2A2A)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -245,6 +251,41 @@ def _unlike(most: int):
     return run
 
 
+def line_marks(lines: DataFrame) -> DataFrame:
+    """(line, mark): the MARKS least hashes of five-word shingles of each (line, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sub_batches(batches, 1 << 20):
+            sizes = np.array([len(t) // 2 for t in b.column(1).to_pylist()], dtype=np.int64)
+            tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u2").astype(np.uint64)
+            end, owner = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(tokens))
+            at = at[at <= (end - np.minimum(sizes, WIDTH))[owner]]
+            whose, h = owner[at], np.zeros(len(at), dtype=np.uint64)
+            for j in range(WIDTH):
+                h = np.where(j < sizes[whose], h * _ODD + tokens[np.minimum(at + j, max(len(tokens) - 1, 0))], h)
+            h = mix64(h)
+            order = np.lexsort((h, whose))
+            whose, h = whose[order], h[order]
+            rank = np.arange(len(whose)) - np.searchsorted(whose, whose)
+            keep = rank < MARKS
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whose[keep])), pa.array(h[keep].view(np.int64))], names=["line", "mark"])
+
+    return lines.select("line", "tokens").mapInArrow(run, "line long, mark long")
+
+
+def _strangers(known: DataFrame, found: DataFrame, wanted: DataFrame, lines: DataFrame, doubtful: DataFrame, min_docs: int) -> DataFrame:
+    """Those of the doubtful templates (template, n) that documents of min_docs different own lines hold."""
+    held = settle(skew_join(known.select("rk", "template"), doubtful, "template", "n"))
+    docs = held.select("rk").distinct()
+    own = skew_join(found.filter("tokens IS NOT NULL").select("rk", "line", "tokens").join(docs, "rk", "left_semi"), wanted.select("line", "n", F.lit(True).alias("shared")), "line", "n", "left")
+    own = settle(own.filter("shared IS NULL").select("rk", "line", "tokens"))
+    shared = lines.filter("tokens IS NOT NULL").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.min("tokens").alias("tokens"))
+    edited = line_marks(own.groupBy("line").agg(F.min("tokens").alias("tokens"))).join(line_marks(shared).select("mark").distinct(), "mark", "left_semi").select("line").distinct()
+    told = own.join(edited, "line", "left_anti").groupBy("rk").agg(F.min("line").alias("own"))
+    return held.join(told, "rk").select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template")
+
+
 def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rk, at: the places of lines to drop, a row for each document (by row_key of id and text) that loses any."""
     spark = ship(df.sparkSession)
@@ -265,16 +306,19 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
 
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rk")
     per = settle(known.groupBy("template", "sid").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    several = per.groupBy("template").agg(F.count("*").alias("m"), F.min("first").alias("first"), F.sum("n").alias("n")).filter(F.col("m") >= min_docs)
-    several = settle(several.select("template", F.col("first.rk").alias("first_rk"), "n", "m"))
+    every = per.groupBy("template").agg(F.count("*").alias("m"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    every = settle(every.select("template", F.col("first.rk").alias("first_rk"), "n", "m"))
+    several = every.filter(F.col("m") >= min_docs)
     slices = F.greatest(F.lit(1), F.ceil(F.col("m") / SLICE))
     rows = skew_join(per.select("template", "sid"), several.select("template", "m", slices.alias("slices")), "template", "m")
     rows = rows.select("template", F.expr("pmod(sid, slices)").alias("slice"), "sid").join(marks.groupBy("sid").agg(F.min("mark").alias("mark")), "sid")
     schema = "template long, slice long, sid long, mark binary"
     taken = rows.select("template", "slice", "sid", "mark").repartition(n, "template", "slice").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
     taken = taken.select("template", F.lit(0).cast("long").alias("slice"), "sid", "mark").repartition(n, "template").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
-    recur = taken.groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template")
-    drop = settle(several.join(recur, "template").select("template", "first_rk", "n"))
+    recur = settle(taken.groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template"))
+    doubtful = settle(every.filter(F.col("n") >= min_docs).join(recur, "template", "left_anti").select("template", "n"))
+    recur = recur.unionByName(_strangers(known, found, wanted, lines, doubtful, min_docs))
+    drop = settle(every.join(recur, "template").select("template", "first_rk", "n"))
     hit = skew_join(known.select("rk", "template", "at"), drop, "template", "n").filter("rk <> first_rk")
     # Equal rows have the same places: a set holds them once.
     return hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at"))
