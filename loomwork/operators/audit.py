@@ -92,6 +92,26 @@ def report(audited: DataFrame, split: str) -> DataFrame:
     )
 
 
+def excluded(audited: DataFrame, split: str, key: str) -> DataFrame:
+    """A row for each conversation that is left out: split, its key and why (an error, or that it is too long)."""
+    why = F.coalesce("error", "exclusion_reason")
+    return audited.filter(~F.col("eligible")).select(F.col(split).alias("split"), F.col(key).alias("key"), why.alias("reason"))
+
+
+def reasons(audited: DataFrame, split: str) -> DataFrame:
+    """How often each reason stands behind an exclusion, by split."""
+    return audited.filter(~F.col("eligible")).groupBy(F.col(split).alias("split"), F.coalesce("error", "exclusion_reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def distributions(audited: DataFrame, split: str, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """n, min, mean, max and percentiles of the token counts of each split: original, in the sequence, supervised. One pass: the counts of a row become three rows."""
+    from loomwork.operators.profile import length_stats
+
+    counts = F.array(*[F.struct(F.lit(c).alias("count"), F.col(c).alias("tokens")) for c in ("original_tokens", "sequence_tokens", "supervised_tokens")])
+    long = audited.select(F.col(split).alias("split"), F.explode(counts).alias("c")).select("split", "c.count", "c.tokens")
+    return length_stats(long, "tokens", "split", "count", points=points)
+
+
 def batch_checks(audited: DataFrame, split: str, order: str, k: int = 4) -> DataFrame:
     """The first k eligible rows of each split, and whether all of them pass."""
     from loomwork.operators.split import take_per_group

@@ -15,6 +15,7 @@ from loomwork.operators import gates as Gt
 from loomwork.operators import generate as Gn
 from loomwork.operators import reason as R
 from loomwork.operators import select as Se
+from loomwork.operators import token_masks as Tm
 from loomwork.plans import views as V
 from loomwork.plans.core_queries import CHAT, HASH, chat
 from loomwork.plans.registry import ORACLES, QUERIES, query, table
@@ -86,6 +87,46 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
     return A.report(_audited(spark, d), "split")
 
 
+_WHY = "CASE WHEN original_supervised_tokens = 0 THEN 'no_supervised_tokens' ELSE 'sequence_exceeds_max_length' END"
+
+
+@query(_AUDITED + f" SELECT split, conv_id AS key, {_WHY} AS reason FROM k WHERE NOT eligible")
+def audit_excluded(spark: SparkSession, d: str) -> DataFrame:
+    return A.excluded(_audited(spark, d), "split", "conv_id")
+
+
+@query(_AUDITED + f" SELECT split, {_WHY} AS reason, count(*) AS n FROM k WHERE NOT eligible GROUP BY ALL")
+def audit_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return A.reasons(_audited(spark, d), "split")
+
+
+@query(_AUDITED + """, c AS (SELECT split, 'original_tokens' AS count, original_tokens AS t FROM k UNION ALL SELECT split, 'sequence_tokens', least(original_tokens, 120) FROM k UNION ALL SELECT split, 'supervised_tokens', supervised_tokens FROM k)
+    SELECT split, count, count(*) AS n, min(t)::DOUBLE AS min, round(avg(t), 6) AS mean, max(t)::DOUBLE AS max, """ + ", ".join(f"round(quantile_cont(t, {p}), 6)::DOUBLE AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM c GROUP BY ALL")
+def audit_distributions(spark: SparkSession, d: str) -> DataFrame:
+    return A.distributions(_audited(spark, d), "split")
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def token_masks(spark: SparkSession, d: str) -> DataFrame:
+    """The audit over a real tokenizer's tokens; a test holds masks against each character's token."""
+    rows = Tm.tokenized(chat(spark, d), _tokenizer())
+    return A.audit_arrays(rows, 512, end=F.col("end_id")).select("conv_id", "original_tokens", "original_supervised_tokens", "supervised_tokens", "original_spans", "truncated", "truncates_supervised_span", "end_supervised", "error", "eligible", "exclusion_reason")
+
+
+@query(f"""WITH {CHAT} SELECT conv_id, array_to_string([('<|im_start|>' || roles[i] || chr(10) || CASE WHEN roles[i] = 'assistant' THEN ltrim(texts[i], chr(10)) ELSE texts[i] END || '<|im_end|>' || chr(10)) for i in generate_series(1, n)], '') AS text,
+    len([i for i in generate_series(1, n) IF roles[i] = 'assistant']) AS n_spans, coalesce(list_sum([length(ltrim(texts[i], chr(10))) + 11 for i in generate_series(1, n) IF roles[i] = 'assistant']), 0)::BIGINT AS generated FROM conv""")
+def generated_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The training form with the characters that are generated."""
+    r = chat(spark, d).select("conv_id", Tm.rendered().alias("r"))
+    return r.select("conv_id", F.col("r.text").alias("text"), F.size("r.spans").cast("long").alias("n_spans"), F.aggregate("r.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("generated"))
+
+
 @query(_AUDITED + ", r AS (SELECT * FROM k WHERE eligible QUALIFY row_number() OVER (PARTITION BY split ORDER BY conv_id) <= 4) SELECT count(*) AS rows, bool_and(supervised_tokens > 0) AS mask_nonempty, true AS boundaries_present FROM r")
 def batch_checks(spark: SparkSession, d: str) -> DataFrame:
     return A.batch_checks(_audited(spark, d), "split", "conv_id")
