@@ -16,6 +16,7 @@ from loomwork.operators import generate as Gn
 from loomwork.operators import reason as R
 from loomwork.operators import select as Se
 from loomwork.operators import token_masks as Tm
+from loomwork.operators.split import shuffle_key
 from loomwork.plans import views as V
 from loomwork.plans.core_queries import CHAT, HASH, chat
 from loomwork.plans.registry import ORACLES, QUERIES, query, table
@@ -167,6 +168,31 @@ def quota_select_bounded(spark: SparkSession, d: str) -> DataFrame:
     return Se.quota_select(_pools(spark, d), _QUOTAS).select("_ord", "bucket")
 
 
+# The first names its parts' numbers: the second part has fewer rows than that, and the others take what it lacks.
+_PARTS = {"en": 150, "fr": 1_000_000, "de": 25}
+_ROOM = ", ".join(f"('{k}', {v})" for k, v in _PARTS.items())
+_DEALT = f"""WITH d AS (SELECT doc_id, lang, 'g' || (doc_id % 7) AS part FROM documents WHERE lang <> 'es' OR doc_id % 3 = 0), n AS (SELECT lang, part, count(*) AS n FROM d GROUP BY ALL), u AS (SELECT lang, sum(n)::BIGINT AS n, coalesce(any_value(q), 0)::BIGINT AS q FROM n LEFT JOIN (VALUES {_ROOM}) v(lang, q) USING (lang) GROUP BY 1),
+    a AS (SELECT lang, n, least(n, q) AS got, n - least(n, q) AS room, @total - sum(least(n, q)) OVER () AS short, sum(n - least(n, q)) OVER () AS rooms FROM u),
+    b AS (SELECT *, least(short, rooms)::BIGINT AS s FROM a), c AS (SELECT *, CASE WHEN rooms > 0 THEN (s * room // rooms)::BIGINT ELSE 0 END AS more, CASE WHEN rooms > 0 THEN (s * room % rooms)::BIGINT ELSE 0 END AS rest FROM b),
+    e AS (SELECT lang, n, got + more + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang) <= s - sum(more) OVER () THEN 1 ELSE 0 END AS q FROM c),
+    f AS (SELECT n.lang, part, n.n, (q * n.n // e.n)::BIGINT AS k, (q * n.n % e.n)::BIGINT AS rest, q FROM n JOIN e USING (lang)),
+    g AS (SELECT lang, part, n, k + CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY rest DESC, part) <= q - sum(k) OVER (PARTITION BY lang) THEN 1 ELSE 0 END AS quota FROM f),
+    r AS (SELECT doc_id, lang, part, row_number() OVER (PARTITION BY lang, part ORDER BY sha256('42:' || doc_id), doc_id) AS rank FROM d)"""
+
+
+def _apportioned(spark: SparkSession, d: str, total: int | dict[str, int]) -> DataFrame:
+    rows = table(spark, d, "documents").filter("lang <> 'es' OR doc_id % 3 = 0").select("doc_id", "lang", F.concat(F.lit("g"), (F.col("doc_id") % 7).cast("string")).alias("part"))
+    return Se.apportioned(rows, ("lang", "part"), total, shuffle_key(42, "doc_id"), "doc_id")
+
+
+# As much as there is, less 40, so that every part that has room gives and takes.
+@query(_DEALT.replace("@total", "(SELECT greatest(0, count(*) - 40) FROM d)") + " SELECT doc_id, lang, part FROM r JOIN g USING (lang, part) WHERE rank <= quota")
+def two_level_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of given numbers, one of which runs out, and parts of each by largest remainder."""
+    n = max(0, table(spark, d, "documents").filter("lang <> 'es' OR doc_id % 3 = 0").count() - 40)
+    return _apportioned(spark, d, _PARTS | {"fr": n - _PARTS["en"] - _PARTS["de"]})
+
+
 @query("SELECT * FROM (VALUES ('external', 12), ('programmatic', 58), ('replay', 20)) v(category, quota)")
 def effective_quotas(spark: SparkSession, d: str) -> DataFrame:
     q = Se.effective_quotas({"external": 40, "programmatic": 30, "replay": 20}, {"external": 12}, ("external",), "programmatic")

@@ -120,6 +120,58 @@ def test_quota_greedy_against_a_loop(spark):
         assert sorted((x.bucket, x._ord) for x in Q.quota_select(df.repartition(n), quotas).collect()) == sorted(want)
 
 
+def greedy(rows, quotas):
+    seen, out = set(), []
+    for b, q in quotas.items():
+        got = 0
+        for bucket, h, i in rows:
+            if bucket == b and (h is None or h not in seen) and got < max(1, q):
+                if h is not None:
+                    seen.add(h)
+                out.append((b, i))
+                got += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quota_rounds_on_random_pools(spark, seed):
+    """Pools whose buckets contest most hashes, so that one loss leads to the next."""
+    r = random.Random(seed)
+    buckets = "ABCDEF"[: r.randrange(2, 7)]
+    rows = [(r.choice(buckets), None if r.random() < 0.02 else f"h{int(r.triangular(0, 120, 0))}", i) for i in range(500)]
+    quotas = {b: r.choice([0, 1, 10, 25, 60]) for b in r.sample(buckets, len(buckets))}
+    picked, rounds = Q.quota_rounds(spark.createDataFrame(rows, "bucket string, hash string, _ord long").repartition(5), quotas)
+    assert sorted((x.bucket, x._ord) for x in picked.collect()) == greedy(rows, quotas)
+    assert 1 <= rounds <= 40
+    assert Q.quota_rounds(picked, {})[0].count() == 0
+
+
+def test_quota_rounds_of_a_chain(spark):
+    """Each round frees the next row only: the longest way there is, and no limit in a task."""
+    rows = [(b, f"h{k}", 1000 * i + k) for i, b in enumerate("AB") for k in range(60)]
+    picked, rounds = Q.quota_rounds(spark.createDataFrame(rows, "bucket string, hash string, _ord long"), {"A": 30, "B": 10})
+    assert sorted((x.bucket, x._ord) for x in picked.collect()) == greedy(rows, {"A": 30, "B": 10})
+    assert rounds <= 6
+
+
+def test_apportionment(spark):
+    sizes = {("a", "x"): 50, ("a", "y"): 7, ("a", None): 3, ("b", "x"): 5, ("c", "z"): 30}
+    rows = [(k[0], k[1], f"{k}{i}") for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, h string, id string").repartition(4)
+
+    def got(total):
+        out = {}
+        for x in Q.apportioned(df, ("g", "h"), total, Sp.shuffle_key(1, "id"), "id").collect():
+            out[x.g, x.h] = out.get((x.g, x.h), 0) + 1
+        return out
+
+    assert got(0) == {} and got(10_000) == sizes and got({}) == {}
+    assert got(19) == {("a", "x"): 10, ("a", "y"): 1, ("a", None): 1, ("b", "x"): 1, ("c", "z"): 6}
+    # b has five rows of twelve: the seven go to a and c by the room they have left.
+    assert got({"a": 6, "b": 12, "c": 2}) == {("a", "x"): 9, ("a", "y"): 1, ("a", None): 1, ("b", "x"): 5, ("c", "z"): 4}
+    assert got({"c": 1, "unknown": 2}) == {("c", "z"): 2, ("a", "x"): 1}
+
+
 def test_first_of_keeps_order(spark):
     df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "y"), ("b", 2, None)], "k string, _ord long, v string")
     assert sorted(map(tuple, D.first_of(df, "k").collect())) == [("a", 1, "y"), ("b", 2, None)]
