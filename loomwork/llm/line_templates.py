@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import skew_join
-from loomwork.llm.textkit import lower_ascii, mix64, pick, release, run_hashes, settle, ship, sub_batches, token_bounds
+from loomwork.llm.textkit import lower_ascii, mix64, pick, release, run_hashes, settle, ship, sub_batches, tidy, token_bounds
 
 LEAD = 4
 BINS = 32
@@ -276,12 +276,15 @@ def line_marks(lines: DataFrame) -> DataFrame:
 
 def _strangers(known: DataFrame, found: DataFrame, wanted: DataFrame, lines: DataFrame, doubtful: DataFrame, min_docs: int) -> DataFrame:
     """Those of the doubtful templates (template, n) that documents of min_docs different own lines hold."""
-    held = settle(skew_join(known.select("rk", "template"), doubtful, "template", "n"))
-    docs = held.select("rk").distinct()
-    own = skew_join(found.filter("tokens IS NOT NULL").select("rk", "line", "tokens").join(docs, "rk", "left_semi"), wanted.select("line", "n", F.lit(True).alias("shared")), "line", "n", "left")
-    own = settle(own.filter("shared IS NULL").select("rk", "line", "tokens"))
-    shared = lines.filter("tokens IS NOT NULL").join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.min("tokens").alias("tokens"))
-    edited = line_marks(own.groupBy("line").agg(F.min("tokens").alias("tokens"))).join(line_marks(shared).select("mark").distinct(), "mark", "left_semi").select("line").distinct()
+    held = skew_join(known.select("rk", "line", "template"), doubtful, "template", "n")
+    docs = settle(held.select("rk").distinct())
+    # Lines of five words or more that these documents have beside the shared ones.
+    shared = known.select("rk", "line").join(docs, "rk", "left_semi")
+    own = found.filter("tokens IS NOT NULL").select("rk", "line").join(docs, "rk", "left_semi").join(shared, ["rk", "line"], "left_anti")
+    own = settle(own.distinct())
+    tokens = lines.filter("tokens IS NOT NULL").groupBy("line").agg(F.min("tokens").alias("tokens"))
+    marks = line_marks(tokens.join(wanted.select("line"), "line", "left_semi")).select("mark").distinct()
+    edited = line_marks(tokens.join(own.select("line").distinct(), "line", "left_semi")).join(marks, "mark", "left_semi").select("line").distinct()
     told = own.join(edited, "line", "left_anti").groupBy("rk").agg(F.min("line").alias("own"))
     return held.join(told, "rk").select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template")
 
@@ -317,7 +320,10 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     taken = taken.select("template", F.lit(0).cast("long").alias("slice"), "sid", "mark").repartition(n, "template").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
     recur = settle(taken.groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template"))
     doubtful = settle(every.filter(F.col("n") >= min_docs).join(recur, "template", "left_anti").select("template", "n"))
-    recur = recur.unionByName(_strangers(known, found, wanted, lines, doubtful, min_docs))
+    tidy(spark)
+    if doubtful.head(1):
+        recur = settle(recur.unionByName(_strangers(known, found, wanted, lines, doubtful, min_docs)))
+        tidy(spark)
     drop = settle(every.join(recur, "template").select("template", "first_rk", "n"))
     hit = skew_join(known.select("rk", "template", "at"), drop, "template", "n").filter("rk <> first_rk")
     # Equal rows have the same places: a set holds them once.
