@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.session import settle
+from loomwork.operators.split import rank_within
+
 
 def overfit_gate(losses: DataFrame, step: str = "step", loss: str = "loss") -> DataFrame:
     """passed: the last loss is below 0.8 of the first."""
@@ -25,6 +28,25 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def hash_trees(df: DataFrame, split: str, line: Column, order: str, *, fanout: int = 1024) -> DataFrame:
+    """split, n, root: a tree of SHA-256 over the lines of each split in order.
+
+    A node is the hash of the texts of up to ``fanout`` nodes below it, in order; the lines' hashes are the leaves, and a split's one node is its root. The root depends on lines and order alone, not on
+    files, parts or partitions. A level is one grouping by place, of fanout rows a group; there are as many levels as fanout has to be raised to reach the rows.
+    """
+    ranked = rank_within(df.select(F.col(split).alias("split"), F.col(order).alias("order"), F.sha2(line, 256).alias("h")), "split", "order")
+    nodes = settle(ranked.select("split", (F.col("rank") - 1).alias("i"), "h"))
+    sizes = settle(nodes.groupBy("split").agg(F.count("*").alias("n")))
+    left = sizes.agg(F.max("n")).first()[0] or 0
+    while left > 1:
+        above = nodes.groupBy("split", F.floor(F.col("i") / fanout).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("all"))
+        # A split that is down to its root stays as it is.
+        alone = (F.col("i") == 0) & (F.size("all") == 1)
+        nodes = above.select("split", "i", F.when(alone, F.get("all", F.lit(0))["h"]).otherwise(F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), ""), 256)).alias("h"))
+        left = -(-left // fanout)
+    return sizes.join(nodes.select("split", F.col("h").alias("root")), "split")
+
+
 def manifest(df: DataFrame, split: str, key: str, seed: int) -> DataFrame:
     """A row a split: count, least and greatest key, and an order-free digest of its keys."""
     return df.groupBy(split).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import prompt_hash
+from loomwork.operators.chat import with_rank
 
 NL = "chr(10)"
 CLOSE = "</think>"
@@ -110,21 +111,21 @@ def sql(category: str, ids: str, seed: int, engine: str) -> str:
     return f"SELECT id, '{category}' AS category, {user} AS user, {reasoning} AS reasoning, {answer} AS answer FROM (SELECT id, {draws} FROM {ids})"
 
 
-def generate(spark: SparkSession, category: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows; strict ones carry the validator that accepts their answer."""
+def generate(spark: SparkSession, category: str, n: int | DataFrame, seed: int = 42) -> DataFrame:
+    """n rows, or a row for each id of a table; strict ones carry the validator that accepts their answer. A row depends on its id, category and seed alone."""
     text = sql(category, "@ids", seed, "spark").replace("{", "{{").replace("}", "}}").replace("@ids", "{ids}")
-    df = spark.sql(text, ids=spark.range(n))
+    df = spark.sql(text, ids=spark.range(n) if isinstance(n, int) else n.select("id"))
     if category not in STRICT:
         return df
     kind = {"json_only": "json", "line_count": "line_count"}.get(category, "regex" if category in _PATTERNS else "exact")
     return df.withColumn("validator", F.struct(F.lit(kind).alias("type"), F.when(F.lit(kind) == "exact", F.col("answer")).alias("value"), F.lit(_PATTERNS.get(category)).alias("pattern"), F.lit(2 if kind == "line_count" else None).cast("int").alias("count")))
 
 
-def over_generate(spark: SparkSession, category: str, wanted: int, seed: int = 42, factor: int = 25) -> DataFrame:
-    """The first ``wanted`` rows with distinct prompts out of factor times as many draws."""
-    df = generate(spark, category, wanted * factor, seed).withColumn("hash", prompt_hash("user"))
+def over_generate(spark: SparkSession, category: str, wanted: int, seed: int = 42, factor: int = 25, ids: DataFrame | None = None) -> DataFrame:
+    """The first ``wanted`` rows with distinct prompts out of factor times as many draws, or out of a draw for each of the ids."""
+    df = generate(spark, category, wanted * factor if ids is None else ids, seed).withColumn("hash", prompt_hash("user"))
     first = df.groupBy("hash").agg(F.min("id").alias("id"))
-    return df.join(first, ["hash", "id"], "left_semi").orderBy("id").limit(wanted)
+    return with_rank(df.join(first, ["hash", "id"], "left_semi"), "id").filter(F.col("rank") <= wanted).drop("rank")
 
 
 def stop_set(spark: SparkSession) -> DataFrame:

@@ -12,10 +12,13 @@ from loomwork.operators.generate import generate
 from loomwork.operators.select import quota_select, require_filled
 
 
-def pools(spark: SparkSession, quotas: dict[str, dict[str, int]], *, buffer: float = 3.0, seed: int = 42, extra: DataFrame | None = None) -> DataFrame:
-    """Candidates of every (split, category): generated ones, each split under a seed of its own, and the rows of extra."""
+def pools(spark: SparkSession, quotas: dict[str, dict[str, int]], *, buffer: float = 3.0, seed: int = 42, extra: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Candidates of every (split, category): generated ones, each split under a seed of its own, and the rows of extra.
+
+    A category has buffer times its quota of draws, or one for each of the ids.
+    """
     parts = [
-        generate(spark, c, int(q * buffer) + 20, seed + i).select(F.lit(s).alias("split"), "category", "user", "answer", F.col("id").alias("_ord"))
+        generate(spark, c, int(q * buffer) + 20 if ids is None else ids, seed + i).select(F.lit(s).alias("split"), "category", "user", "answer", F.col("id").alias("_ord"))
         for i, (s, of) in enumerate(quotas.items()) for c, q in of.items() if extra is None or c not in set(extra_categories(extra))
     ]
     if extra is not None:

@@ -17,7 +17,7 @@ from loomwork.plans import views as V
 from loomwork.plans.core_queries import TOKENS
 from loomwork.plans.problem_queries import _SCORED, _scored
 from loomwork.plans.registry import query, table
-from loomwork.plans.training_queries import _solved
+from loomwork.plans.training_queries import _solved, ids
 
 _KINDS = ("exact_output", "binary_only", "yes_no", "classification", "line_count", "stop_behavior")
 # Every seventh row has a defect of its own.
@@ -30,7 +30,7 @@ def _defective(engine: str) -> str:
     return f"SELECT id, category, user, CASE id % 9 {cases} ELSE answer END AS assistant FROM ({rows})"
 
 
-_STRICT = f"""WITH r AS ({_defective('duckdb').replace('@ids', '(SELECT range AS id FROM range(300))')}) SELECT id, category, CASE
+_STRICT = f"""WITH r AS ({_defective('duckdb').replace('@ids', '(SELECT p_partkey AS id FROM part)')}) SELECT id, category, CASE
     WHEN assistant = '' THEN 'empty_assistant' WHEN contains(assistant, '<|im_end|>') THEN 'end_mark' WHEN regexp_matches(assistant, '^\\s|\\s$') THEN 'outer_whitespace'
     WHEN regexp_matches(lower(assistant), '^(sure|here is|the answer is|i hope this helps|```)') THEN 'explanatory_prefix' WHEN contains(assistant, '```') THEN 'markdown_fence'
     WHEN category = 'binary_only' AND NOT regexp_full_match(assistant, '[01]{{8}}') THEN 'not_8_bits' WHEN category = 'yes_no' AND assistant NOT IN ('yes', 'no') THEN 'not_yes_no'
@@ -40,7 +40,7 @@ _STRICT = f"""WITH r AS ({_defective('duckdb').replace('@ids', '(SELECT range AS
 @query(_STRICT.replace("{{8}}", "{8}"))
 def record_errors_strict(spark: SparkSession, d: str) -> DataFrame:
     text = _defective("spark").replace("{", "{{").replace("}", "}}").replace("@ids", "{ids}")
-    rows = spark.sql(text, ids=spark.range(300))
+    rows = spark.sql(text, ids=ids(spark, d))
     error = Rec.strict_error(F.col("category"), F.col("user"), F.col("assistant"), categories=_KINDS, line_count=F.when(F.col("category") == "line_count", 2))
     return rows.select("id", "category", error.alias("error"))
 
@@ -118,10 +118,15 @@ def url_redaction(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", U.valid(F.col("url")).alias("valid"), U.redact(F.col("url")).alias("redacted"), U.host(F.col("url")).alias("host"))
 
 
-_MIX = {"train": {"simple_math_thinking": 60, "comparison_thinking": 40, "binary_only": 30}, "validation": {"simple_math_thinking": 10, "comparison_thinking": 10, "binary_only": 5}}
+_CATEGORIES = ("simple_math_thinking", "comparison_thinking", "yes_no_reasoning_thinking")
+#: Parts for one row of each category, by split.
+_SHARE = {"train": 40, "validation": 200}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}', {q}::BIGINT, {q}::BIGINT)" for s, of in _MIX.items() for c, q in of.items()) + ") v(split, category, n, n_prompts)")
+@query("WITH p AS (SELECT count(*) AS n FROM part) SELECT split, category, least(n // share, 200) AS n, least(n // share, 200) AS n_prompts FROM p, (VALUES " + ", ".join(f"('{s}', {k})" for s, k in _SHARE.items()) + ") s(split, share), (VALUES " + ", ".join(f"('{c}')" for c in _CATEGORIES) + ") c(category) WHERE n >= share")
 def mixture_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Generated pools, filled under quotas with global dedup: every quota met, no prompt twice."""
-    return Mx.stats(Mx.assemble(Mx.pools(spark, _MIX), _MIX)).select("split", "category", "n", "n_prompts")
+    """Pools with a draw for each part, filled under quotas that grow with the parts up to 200, with global dedup: every quota met, no prompt twice."""
+    draws = ids(spark, d)
+    n = draws.count()
+    quotas = {s: {c: min(n // k, 200) for c in _CATEGORIES} for s, k in _SHARE.items() if n >= k}
+    return Mx.stats(Mx.assemble(Mx.pools(spark, quotas, ids=draws), quotas)).select("split", "category", "n", "n_prompts")

@@ -15,7 +15,7 @@ from loomwork.plans import views as V
 from loomwork.plans.core_queries import CHAT, HASH, TOKENS, chat
 from loomwork.plans.record_queries import _KINDS, _STRICT, _defective
 from loomwork.plans.registry import query, table
-from loomwork.plans.training_queries import _parsed
+from loomwork.plans.training_queries import _parsed, ids
 
 # --- eligibility ----------------------------------------------------------------------------------
 
@@ -24,7 +24,7 @@ from loomwork.plans.training_queries import _parsed
     AND CASE category WHEN 'binary_only' THEN regexp_full_match(assistant, '[01]{8}') WHEN 'yes_no' THEN assistant IN ('yes', 'no') WHEN 'classification' THEN assistant IN ('positive', 'negative', 'neutral') ELSE true END AS ok FROM r""")
 def replay_strict_ok(spark: SparkSession, d: str) -> DataFrame:
     text = _defective("spark").replace("{", "{{").replace("}", "}}").replace("@ids", "{ids}")
-    rows = spark.sql(text, ids=spark.range(300))
+    rows = spark.sql(text, ids=ids(spark, d))
     return rows.select("id", "category", Rp.strict_ok(F.col("category"), F.col("user"), F.col("assistant")).alias("ok"))
 
 

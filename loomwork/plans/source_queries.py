@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.functions import grammar as G
 from loomwork.functions.session import shared_dir
 from loomwork.operators import chat as C
 from loomwork.operators import gates as Gt
@@ -20,6 +19,7 @@ from loomwork.plans.core_queries import CHAT, chat
 from loomwork.plans.registry import query, table
 from loomwork.sources import files as S
 from loomwork.sources import sinks as K
+from loomwork.sources.keyed_json import read_keyed_json
 
 
 def _fresh(spark: SparkSession) -> str:
@@ -89,53 +89,48 @@ def instruction_eval_scan(spark: SparkSession, d: str) -> DataFrame:
     return S.read_instruction_eval(spark, folder, "dev").select("id", "category", F.size("messages").cast("long").alias("n_messages"), F.col("validator.type").alias("type"), "split")
 
 
-@query("SELECT lang, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) = 1")
+@query("SELECT doc_id // 40 AS part, doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) = 1")
 def problem_files(spark: SparkSession, d: str) -> DataFrame:
-    """A file a language, of which the first line is read."""
+    """A file for every forty ids, of which the first line is read."""
     folder = _fresh(spark)
-    first = table(spark, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("all"))
-    for lang in [r[0] for r in first.select("lang").collect()]:  # four of them
-        lines = first.filter(F.col("lang") == lang).select(F.explode("all").alias("r")).select(F.to_json(F.struct(F.lit(lang).alias("lang"), "r.doc_id", "r.source")).alias("value"))
-        lines.coalesce(1).write.text(f"{folder}/parts/{lang}")
-        _rename(spark, f"{folder}/parts/{lang}", f"{folder}/{lang}.jsonl")
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType())])
-    return S.read_problem_files(spark, folder, schema).select("lang", "doc_id", "source")
-
-
-def _rename(spark: SparkSession, folder: str, target: str) -> None:
-    """The one part file of a folder under a name of its own."""
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    fs = path(folder).getFileSystem(conf)
-    fs.rename(fs.globStatus(path(f"{folder}/part-*"))[0].getPath(), path(target))
+    part = F.floor(F.col("doc_id") / 40)
+    rows = table(spark, d, "documents").select(part.alias("part"), part.alias("file"), "doc_id", "source").repartition("file").sortWithinPartitions("file", "doc_id")
+    rows.select("file", F.to_json(F.struct("part", "doc_id", "source")).alias("value")).write.partitionBy("file").text(folder)
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType())])
+    return S.read_problem_files(spark, folder, schema, "file=*/part-*").select("part", "doc_id", "source")
 
 
 @query("SELECT item_id::VARCHAR AS key, text, length(text)::BIGINT AS n FROM benchmark")
 def keyed_json_scan(spark: SparkSession, d: str) -> DataFrame:
-    """One object of all items, read pair by pair."""
+    """One object of all items, written line after line and read in ranges of 2000 bytes."""
     folder = _fresh(spark)
-    pair = F.struct(F.col("item_id").cast("string").alias("key"), F.struct("text", F.char_length("text").alias("n")).alias("value"))
-    whole = table(spark, d, "benchmark").agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value"))
-    whole.write.text(f"{folder}/parts")
-    _rename(spark, f"{folder}/parts", f"{folder}/all.json")
-    return S.read_keyed_json(spark, f"{folder}/all.json", "text string, n bigint").select("key", "value.text", "value.n")
-
-
-_WORDS = ", ".join(f"'{w}'" for w in G.WORD_LIST)
+    rows = C.with_rank(table(spark, d, "benchmark"), "item_id")
+    pair = F.concat(F.when(F.col("rank") > 1, ",").otherwise(""), F.concat(F.lit("\""), "item_id", F.lit("\"")), F.lit(": "), F.to_json(F.struct("text", F.char_length("text").alias("n"))))
+    ends = spark.createDataFrame([(0, "{"), (1 << 62, "}")], "rank long, value string")
+    lines = rows.select("rank", pair.alias("value")).unionByName(ends)
+    # One file has one writer, which streams its lines.
+    lines.coalesce(1).sortWithinPartitions("rank").select("value").write.text(f"{folder}/parts")
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    whole = path(f"{folder}/parts").getFileSystem(conf).globStatus(path(f"{folder}/parts/part-*"))[0].getPath().toString()
+    return read_keyed_json(spark, whole, "text string, n bigint", range_bytes=2000).select("key", "value.text", "value.n")
 
 
-@query(f"SELECT unnest([{_WORDS}]) AS word")
+@query("SELECT DISTINCT trim(p_type) AS word FROM part")
 def word_list(spark: SparkSession, d: str) -> DataFrame:
+    """Types of parts as a list with blanks, repeats and empty lines."""
     folder = _fresh(spark)
-    spark.createDataFrame([(f" {w} ",) for w in (*G.WORD_LIST, *G.WORD_LIST[:5], "")], "value string").write.text(folder)
+    lines = table(spark, d, "part").select(F.explode(F.array(F.concat(F.lit(" "), "p_type", F.lit(" ")), F.col("p_type"), F.lit(""))).alias("value"))
+    lines.write.text(folder)
     return S.read_words(spark, folder)
 
 
-@query("SELECT lang AS split, count(*) FILTER (doc_id % 10 = 0) AS n_excluded FROM documents GROUP BY 1")
+@query("SELECT lang AS split, count(*) AS n_excluded, min(doc_id) AS first, max(doc_id) AS last FROM documents WHERE doc_id % 10 = 0 GROUP BY 1")
 def exclusion_reader(spark: SparkSession, d: str) -> DataFrame:
-    """An audit's report, read back for the length it was made for."""
-    rows = table(spark, d, "documents").groupBy("lang").agg(F.collect_list(F.when(F.col("doc_id") % 10 == 0, F.col("doc_id"))).alias("ids")).collect()
-    got = K.exclusions({"max_length": 512, "splits": {r["lang"]: {"excluded_ids": r["ids"]} for r in rows}}, 512)
-    return spark.createDataFrame([(s, len(ids)) for s, ids in got.items()], "split string, n_excluded long")
+    """An audit's excluded rows, written out and read back for the length it was made for."""
+    folder = _fresh(spark)
+    rows = table(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("lang").alias("split"), F.col("doc_id").alias("id"), F.lit("sequence_exceeds_max_length").alias("reason"))
+    K.write_exclusions(rows, folder, 512)
+    return K.read_exclusions(spark, folder, 512, "long").groupBy("split").agg(F.count("*").alias("n_excluded"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query(f"WITH {V.PREDICTIONS} SELECT 'predictions' AS artifact, count(*) AS n FROM predictions UNION ALL SELECT 'error_cases', count(*) FILTER (prediction_raw <> gold) FROM predictions UNION ALL SELECT 'protected', 0")
@@ -170,13 +165,30 @@ def raw_copy(spark: SparkSession, d: str) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(True).alias("copied"), (F.count("*") == 0).alias("unchanged"))
 
 
-@query("SELECT count(*) AS n_files, bool_and(true) AS whole FROM region LIMIT 1")
+@query("SELECT c_nationkey AS nation, sum(length(c_name) + 1)::BIGINT AS n_bytes, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY 1")
 def file_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Files written with equal content have equal digests."""
+    """A file a nation with its customers' names; digests of the files' bytes."""
+    folder = _fresh(spark)
+    rows = table(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy("c_nationkey").text(folder)
+    digests = Gt.file_digests(spark, f"{folder}/*/part-*.txt")
+    return digests.select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("nation"), "n_bytes", "sha256")
+
+
+_TREE = "WITH p AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split, doc_id, sha256(coalesce(text, '')) AS h FROM documents), l0 AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS i, h FROM p), " + ", ".join(
+    f"l{k + 1} AS (SELECT split, i // 8 AS i, CASE WHEN max(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY split) AS n FROM l{k}) GROUP BY split, i // 8)" for k in range(7)
+)
+
+
+@query(_TREE + " SELECT split, n, h AS root FROM l7 JOIN (SELECT split, count(*) AS n FROM l0 GROUP BY 1) USING (split)")
+def hash_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The root of each split's tree of hashes, over the lines of its files in order; written in parts, and read back."""
     folder = _fresh(spark)
-    for k in range(5):
-        spark.createDataFrame([("same",)], "value string").coalesce(1).write.text(f"{folder}/{k}")
-    return Gt.file_digests(spark, f"{folder}/*/part-*.txt").agg(F.count("*").alias("n_files"), ((F.count_distinct("sha256") == 1) & (F.min("n_bytes") == 5)).alias("whole"))
+    split = F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train")
+    rows = table(spark, d, "documents").select(split.alias("split"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    K.write_splits(rows, folder, ("doc_id", "text"), order="doc_id")
+    parts = [S.read_jsonl(spark, f"{folder}/split={s}", T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]), split=s) for s in ("train", "validation")]
+    return Gt.hash_trees(parts[0].unionByName(parts[1]), "split", F.col("text"), "_ord", fanout=8)
 
 
 @query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 7 = 0) GROUP BY 1 HAVING count(*) > 1")

@@ -25,13 +25,17 @@ from loomwork.streaming.validate import windowed_counts
 
 # --- generators: a query a category ---------------------------------------------------------------
 
-_N = 500
-_IDS = f"(SELECT range AS id FROM range({_N}))"
+_IDS = "(SELECT p_partkey AS id FROM part)"
+
+
+def ids(spark: SparkSession, d: str) -> DataFrame:
+    """A draw for each part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"))
 
 
 def _generator(category: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return Gn.generate(spark, category, _N).select("id", "category", "user", "reasoning", "answer")
+        return Gn.generate(spark, category, ids(spark, d)).select("id", "category", "user", "reasoning", "answer")
 
     return run
 
@@ -41,9 +45,9 @@ for _c in (*Gn.STRICT, *Gn.THINKING):
     ORACLES[f"gen_{_c}"] = Gn.sql(_c, _IDS, 42, "duckdb")
 
 
-@query("WITH g AS (" + " UNION ALL ".join(Gn.sql(c, f"(SELECT range AS id FROM range({40 * 25}))", 7, "duckdb") for c in ("simple_math_thinking", "comparison_thinking", "yes_no")) + f"), u AS (SELECT category, {HASH.format('user')} AS h, min(id) AS id FROM g GROUP BY ALL) SELECT category, least(count(*), 40) AS n FROM u GROUP BY 1")
+@query("WITH g AS (" + " UNION ALL ".join(Gn.sql(c, _IDS, 7, "duckdb") for c in ("simple_math_thinking", "comparison_thinking", "yes_no")) + f"), u AS (SELECT category, {HASH.format('user')} AS h, min(id) AS id FROM g GROUP BY ALL) SELECT category, least(count(*), 40) AS n FROM u GROUP BY 1")
 def gen_quota_counts(spark: SparkSession, d: str) -> DataFrame:
-    parts = [Gn.over_generate(spark, c, 40, 7).groupBy("category").agg(F.count("*").alias("n")) for c in ("simple_math_thinking", "comparison_thinking", "yes_no")]
+    parts = [Gn.over_generate(spark, c, 40, 7, ids=ids(spark, d)).groupBy("category").agg(F.count("*").alias("n")) for c in ("simple_math_thinking", "comparison_thinking", "yes_no")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -193,10 +197,12 @@ def two_level_sample(spark: SparkSession, d: str) -> DataFrame:
     return _apportioned(spark, d, _PARTS | {"fr": n - _PARTS["en"] - _PARTS["de"]})
 
 
-@query("SELECT * FROM (VALUES ('external', 12), ('programmatic', 58), ('replay', 20)) v(category, quota)")
+@query("WITH n AS (SELECT count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr FROM documents) SELECT unnest(['de', 'fr', 'made', 'replay']) AS category, unnest([least(de, 1000000), least(fr, 40), 30 + 1000000 - least(de, 1000000) + 40 - least(fr, 40), 20])::BIGINT AS quota FROM n")
 def effective_quotas(spark: SparkSession, d: str) -> DataFrame:
-    q = Se.effective_quotas({"external": 40, "programmatic": 30, "replay": 20}, {"external": 12}, ("external",), "programmatic")
-    return spark.createDataFrame(list(q.items()), "category string, quota int")
+    """Two external categories with as many rows as the table has; what they lack is made."""
+    have = {r[0]: r[1] for r in table(spark, d, "documents").filter("lang IN ('de', 'fr')").groupBy("lang").count().collect()}
+    q = Se.effective_quotas({"de": 1_000_000, "fr": 40, "made": 30, "replay": 20}, have, ("de", "fr"), "made")
+    return spark.createDataFrame(list(q.items()), "category string, quota long")
 
 
 @query(r"""WITH t AS (SELECT doc_id, 'Describe document ' || doc_id || ' of source ' || coalesce(source, '') || '.' AS q, text AS r, lang AS a FROM documents), n AS (SELECT *, greatest(1, floor(length(q) / 3.5)) AS nq, greatest(1, floor(length(r) / 3.5)) AS nr FROM t)

@@ -6,11 +6,8 @@ it does not depend on the partitioning of later steps.
 
 from __future__ import annotations
 
-import codecs
 import csv
 import io
-import json
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,10 +104,10 @@ def read_instruction_eval(spark: SparkSession, path: str, split: str) -> DataFra
     return checked.select("id", "category", "messages", "validator", "_ord").withColumn("split", F.lit(split))
 
 
-def read_problem_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """The first line of each *.jsonl file of a folder, by file name."""
-    lines = spark.read.text(f"{folder}/*.jsonl").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("value"))
+def read_problem_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.jsonl") -> DataFrame:
+    """The first line of each file of a folder whose name fits the pattern, with the file's name."""
+    lines = spark.read.text(f"{folder}/{pattern}").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("block = 0").groupBy("path", "file").agg(F.min_by("value", "at").alias("value"))
     return first.select("file", F.from_json("value", schema).alias("r")).select("file", "r.*")
 
 
@@ -138,107 +135,6 @@ def scan_with_pool(rows: DataFrame, pool: DataFrame, key: str = "id") -> tuple[D
     return rows.join(pool.select(key), key, "left_semi"), pool.select(key).join(rows.select(key), key, "left_anti")
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """One JSON object {key: {...}} as rows key, value. The file is parsed by a reader that yields pairs one by one; a
-    file of this shape cannot be split, so it is one task, whose memory is one pair and a buffer. A file that is damaged, or cut
-    off before the object closes, is an error."""
-    spark.dataSource.register(keyed_json_source())
-    return spark.read.format("keyed_json").schema("key string, value string, _ord long").load(path).select("key", F.from_json("value", value_schema).alias("value"), "_ord")
-
-
-def keyed_pairs(chunks: Iterator[str]) -> Iterator[tuple[str, object]]:
-    """(key, value) of one JSON object that comes in pieces. ValueError where it is no whole object."""
-    decoder, blank = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
-    text, at, ended = "", 0, False
-
-    def more(least: int) -> bool:
-        """Drops what was read and adds least characters at least, as far as there are any."""
-        nonlocal text, at, ended
-        parts, got = [text[at:]], 0
-        while got < least and not ended:
-            piece = next(chunks, None)
-            ended = piece is None
-            parts.append(piece or "")
-            got += len(parts[-1])
-        text, at = "".join(parts), 0
-        return got > 0
-
-    def char() -> str:
-        """The next character that is not blank, without taking it; empty at the end."""
-        nonlocal at
-        while True:
-            at = blank.match(text, at).end()
-            if at < len(text) or not more(1):
-                return text[at : at + 1]
-
-    def take(wanted: str) -> None:
-        nonlocal at
-        if char() != wanted:
-            raise ValueError(f"keyed JSON: {wanted!r} expected, found {char()!r}")
-        at += 1
-
-    def value() -> object:
-        """A value that fails is read again with twice the text; it fails for good where the fault lies well before the end."""
-        nonlocal at
-        char()
-        while True:
-            try:
-                out, end = decoder.raw_decode(text, at)
-                if end < len(text) or ended:
-                    at = end
-                    return out
-            except json.JSONDecodeError as e:
-                if ended or not (e.msg.startswith("Unterminated string") or e.pos > len(text) - 16):
-                    raise ValueError(f"keyed JSON: {e.msg}") from e
-            more(max(1, len(text) - at))
-
-    take("{")
-    if char() == "}":
-        at += 1
-    else:
-        while True:
-            key = value()
-            if not isinstance(key, str):
-                raise ValueError("keyed JSON: a key is no string")
-            take(":")
-            yield key, value()
-            if char() == "}":
-                at += 1
-                break
-            take(",")
-    if char():
-        raise ValueError("keyed JSON: text after the object")
-
-
-def keyed_json_source():
-    from pyspark.sql.datasource import DataSource, DataSourceReader
-
-    class Reader(DataSourceReader):
-        def __init__(self, path: str) -> None:
-            self.path = path
-
-        def read(self, partition):
-            from pyarrow import fs
-
-            system, where = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
-            with system.open_input_stream(where) as f:
-                for n, (key, value) in enumerate(keyed_pairs(codecs.iterdecode(iter(lambda: f.read(1 << 20), b""), "utf-8"))):
-                    yield key, json.dumps(value, ensure_ascii=False), n
-
-    class KeyedJson(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return "keyed_json"
-
-        def schema(self) -> str:
-            return "key string, value string, _ord long"
-
-        def reader(self, schema):
-            return Reader(self.options["path"])
-
-    return KeyedJson
-
-
 def write_jsonl(df: DataFrame, path: str, columns: tuple[str, ...], order: str = "_ord", *, single_file: bool = False) -> None:
     """One compact JSON object a line, in order over the parts by name. A single file is written by one task: for small exports only."""
     rows = df.orderBy(order).select(F.to_json(F.struct(*columns)).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators.gates import manifest, write_json
@@ -10,8 +10,12 @@ from loomwork.sources.files import write_jsonl
 
 
 def write_splits(df: DataFrame, folder: str, columns: tuple[str, ...], split: str = "split", order: str = "_ord") -> None:
-    """JSON lines below split=<name>, ordered within each file; an existing folder is refused."""
-    rows = df.repartition(F.col(split)).sortWithinPartitions(split, order).select(split, F.to_json(F.struct(*columns)).alias("value"))
+    """JSON lines below split=<name>, in order within each file and over the files of a split by name; an existing folder is refused.
+
+    Rows are range-partitioned by split and order, so a large split is written by many tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, split, order).sortWithinPartitions(split, order).select(split, F.to_json(F.struct(*columns)).alias("value"))
     rows.write.mode("errorifexists").partitionBy(split).text(folder)
 
 
@@ -27,7 +31,7 @@ def write_evaluation(predictions: DataFrame, folder: str, *, protected: bool = F
     columns = tuple(predictions.columns)
     write_jsonl(predictions, f"{folder}/predictions", columns, columns[0])
     if not protected:
-        write_jsonl(predictions.filter(~F.col(correct)), f"{folder}/error_cases", columns, columns[0])
+        write_jsonl(predictions.filter(~F.coalesce(F.col(correct), F.lit(False))), f"{folder}/error_cases", columns, columns[0])
 
 
 def raw_copy(spark, source: str, folder: str) -> str:
@@ -60,8 +64,15 @@ def require(df: DataFrame, error: str, report: str) -> DataFrame:
     return df
 
 
-def exclusions(report: dict, max_length: int) -> dict[str, list]:
-    """Excluded ids by split of an audit report made for the same length; another length is an error."""
-    if report.get("max_length") != max_length:
-        raise ValueError(f"the audit is for max_length {report.get('max_length')}, not {max_length}")
-    return {s: v.get("excluded_ids", []) for s, v in report.get("splits", {}).items()}
+def write_exclusions(rows: DataFrame, folder: str, max_length: int) -> None:
+    """split, id and reason of every excluded row as JSON lines, each with the length that the audit was made for."""
+    rows.select(F.to_json(F.struct("split", "id", "reason", F.lit(max_length).alias("max_length"))).alias("value")).write.mode("errorifexists").text(folder)
+
+
+def read_exclusions(spark: SparkSession, folder: str, max_length: int, id_type: str = "string") -> DataFrame:
+    """split, id, reason of an audit made for the same length; another length is an error."""
+    rows = spark.read.text(folder).select(F.from_json("value", f"split string, id {id_type}, reason string, max_length int").alias("r")).select("r.*")
+    other = rows.filter(~F.col("max_length").eqNullSafe(F.lit(max_length))).select("max_length").head(1)
+    if other:
+        raise ValueError(f"the audit is for max_length {other[0][0]}, not {max_length}")
+    return rows.drop("max_length")

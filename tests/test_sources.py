@@ -1,9 +1,15 @@
+import hashlib
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.operators import gates as Gt
 from loomwork.sources import files as S
+from loomwork.sources import keyed_json as K
+from loomwork.sources.keyed_json import read_keyed_json
 from loomwork.streaming.validate import start, validated, windowed_counts
 
 
@@ -41,24 +47,67 @@ def test_pool_and_keyed_json(spark, tmp_path):
     assert [r.id for r in S.read_pool(spark, str(p)).collect()] == ["x"]
     k = tmp_path / "big.json"
     k.write_text(json.dumps({f"k{i}": {"q": f"é{i}", "n": i} for i in range(500)}, indent=1), encoding="utf-8")
-    rows = S.read_keyed_json(spark, str(k), "q string, n int").orderBy("_ord").collect()
+    rows = read_keyed_json(spark, str(k), "q string, n int").orderBy("_ord").collect()
     assert [(r.key, r.value.q, r.value.n) for r in rows] == [(f"k{i}", f"é{i}", i) for i in range(500)]
 
 
+def _in_ranges(path, size, piece):
+    """The pairs of a file as tasks read them, range by range."""
+    n = path.stat().st_size
+    opening = K._check_ends(str(path), n)
+    data, out, known = path.read_bytes(), [], []
+    for at in range(0, n, size):
+        escaped = (len(data[:at]) - len(data[:at].rstrip(b"\\"))) % 2 == 1
+        known.append((at, escaped, K.summary(K._bytes(str(path), at, size), escaped)))
+    begins, inside, depth = K.starts([s for _, _, s in known])
+    if inside or depth:
+        raise ValueError("keyed JSON: open")
+    for (at, escaped, _), (i, d) in zip(known, begins, strict=True):
+        if d < 1 and at > opening:
+            if not K._blank_after(str(path), at, n):
+                raise ValueError("keyed JSON: after")
+        else:
+            out += [(k, json.loads(v)) for k, v, _ in K.pairs(str(path), at, min(size, n - at), i, d, escaped, piece)]
+    return out
+
+
+def test_keyed_json_in_any_ranges(tmp_path):
+    r = random.Random(3)
+
+    def value(deep=0):
+        kind = r.randrange(6)
+        if kind < 3 or deep > 3:
+            return r.choice([1, 2.5, None, True, "".join(r.choice('a"\\{}[],: \n日é') for _ in range(r.randrange(12)))])
+        return [value(deep + 1) for _ in range(r.randrange(4))] if kind < 5 else {f'k{n}"': value(deep + 1) for n in range(r.randrange(4))}
+
+    path = tmp_path / "a.json"
+    for _ in range(40):
+        pairs = [(f"key{n}" + r.choice(["", '"', "\\", "{", ", \\\\"]), value()) for n in range(r.randrange(9))]
+        said = r.choice([",", ",\n", " , "]).join(json.dumps(k, ensure_ascii=r.random() < 0.5) + r.choice([":", " : "]) + json.dumps(v, ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1])) for k, v in pairs)
+        path.write_text(r.choice(["", " \n"]) + "{" + said + "}" + r.choice(["", " \n\n  "]), encoding="utf-8")
+        for size in (1, 2, 3, 7, 50, 10**6):
+            assert _in_ranges(path, size, r.choice([1, 5, 100])) == pairs
+
+
 def test_keyed_json_is_whole_or_an_error(spark, tmp_path):
     pairs = {f"k{i}": {"q": "x" * (i * 37 % 90), "n": i, "deep": [i, None, {"a": "\\u00e9, }"}]} for i in range(60)}
-    text = json.dumps(pairs)
-    for size in (1, 7, 64, 10**6):
-        chunks = lambda t, size=size: iter([t[i : i + size] for i in range(0, len(t), size)])
-        assert dict(S.keyed_pairs(chunks(text))) == pairs
-        assert list(S.keyed_pairs(chunks(" { } \n"))) == []
-        assert list(S.keyed_pairs(chunks('{"a": 12, "b":true}'))) == [("a", 12), ("b", True)]
-        for bad in (text[: len(text) // 2], text[:-1], text.replace('"n": 30', '"n": oops 30'), text + "x", "[1]", "", '{"a":1 "b":2}', '{"a":1,}', '{1:2}'):
+    text, path = json.dumps(pairs), tmp_path / "b.json"
+    path.write_text(text)
+    for parts in (1, 2, 7, 64):
+        size = -(-len(text) // parts)
+        rows = read_keyed_json(spark, str(path), "q string, n int", range_bytes=size).orderBy("_ord").collect()
+        assert [(r.key, r.value.q, r.value.n) for r in rows] == [(k, v["q"], v["n"]) for k, v in pairs.items()]
+    assert [r.key for r in read_keyed_json(spark, str(path), "n int", range_bytes=500, most=5).collect()] == [f"k{i}" for i in range(5)]
+    for bad in (text[: len(text) // 2], text[:-1], text.replace('"n": 30', '"n": oops 30'), text + "x", text + text, "[1]", "", "  ", '{"a":1 "b":2}', '{"a":1,}', "{1:2}", "{,}", '{"a":1}}', '{"a":"x}'):
+        path.write_text(bad)
+        for size in (1, 3, 64, 10**6):
             with pytest.raises(ValueError, match="keyed JSON"):
-                list(S.keyed_pairs(chunks(bad)))
-    (tmp_path / "cut.json").write_text(text[:-40])
+                _in_ranges(path, size, 16)
+    path.write_text(text[:-40])
     with pytest.raises(Exception, match="keyed JSON"):
-        S.read_keyed_json(spark, str(tmp_path / "cut.json"), "q string").collect()
+        read_keyed_json(spark, str(path), "q string", range_bytes=1000).collect()
+    path.write_text(" { } \n")
+    assert read_keyed_json(spark, str(path), "q string").count() == 0
 
 
 def test_order_over_files_is_by_name(spark, tmp_path):
@@ -111,12 +160,39 @@ def test_splits_manifest_and_reports(spark, tmp_path):
         sinks.require(df, "error", str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text())["errors"] == {"bad": 1}
     assert sinks.require(df.filter("error is null"), "error", "unused").count() == 8
-    assert sinks.exclusions({"max_length": 5, "splits": {"train": {"excluded_ids": ["a"]}}}, 5) == {"train": ["a"]}
-    with pytest.raises(ValueError, match="max_length"):
-        sinks.exclusions({"max_length": 5}, 6)
-    p = spark.createDataFrame([("a", True), ("b", False)], "id string, primary_correct boolean")
+    sinks.write_exclusions(spark.createDataFrame([("train", "a", "too long"), ("dev", "b", None)], "split string, id string, reason string"), str(tmp_path / "x"), 5)
+    assert sorted((r.split, r.id) for r in sinks.read_exclusions(spark, str(tmp_path / "x"), 5).collect()) == [("dev", "b"), ("train", "a")]
+    with pytest.raises(ValueError, match="max_length 5, not 6"):
+        sinks.read_exclusions(spark, str(tmp_path / "x"), 6)
+    p = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "id string, primary_correct boolean")
     sinks.write_evaluation(p, str(tmp_path / "e"))
-    assert spark.read.json(str(tmp_path / "e" / "error_cases")).count() == 1
+    assert spark.read.json(str(tmp_path / "e" / "error_cases")).count() == 2
+
+
+def test_a_large_split_is_written_in_order_by_many_tasks(spark, tmp_path):
+    from loomwork.sources import sinks
+
+    df = spark.range(2000).select(F.col("id").alias("_ord"), F.when(F.col("id") % 10 == 0, "dev").otherwise("train").alias("split")).repartition(6)
+    sinks.write_splits(df, str(tmp_path / "s"), ("_ord",))
+    files = sorted((tmp_path / "s" / "split=train").glob("part-*"))
+    assert len(files) > 2
+    got = [json.loads(x)["_ord"] for p in files for x in p.read_text().splitlines()]
+    assert got == [i for i in range(2000) if i % 10]
+
+
+def test_hash_trees_do_not_depend_on_parts(spark):
+    def root(hashes, fanout):
+        while len(hashes) > 1:
+            hashes = [hashlib.sha256("".join(hashes[k : k + fanout]).encode()).hexdigest() for k in range(0, len(hashes), fanout)]
+        return hashes[0]
+
+    rows = [(i, f"line {i}", "a" if i % 3 else "b") for i in range(500)] + [(1000, "alone", "c")]
+    df = spark.createDataFrame(rows, "o long, t string, s string")
+    want = {s: root([hashlib.sha256(t.encode()).hexdigest() for _, t, x in rows if x == s], 4) for s in "abc"}
+    for n in (1, 3, 11):
+        got = {r.split: (r.root, r.n) for r in Gt.hash_trees(df.repartition(n), "s", F.col("t"), "o", fanout=4).collect()}
+        assert got == {s: (want[s], sum(x == s for *_, x in rows)) for s in "abc"}
+    assert Gt.hash_trees(df.limit(0), "s", F.col("t"), "o").count() == 0
 
 
 def test_overrides():
