@@ -17,6 +17,7 @@ from loomwork.operators import validation as Va
 from loomwork.plans import views as V
 from loomwork.plans.core_queries import CHAT, chat
 from loomwork.plans.registry import query, table
+from loomwork.sources import external as X
 from loomwork.sources import files as S
 from loomwork.sources import sinks as K
 from loomwork.sources.keyed_json import read_keyed_json
@@ -213,3 +214,43 @@ def final_answer_format(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT lang AS category, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_thinking, count(*) FILTER (doc_id % 3 <> 0) AS n_plain, round(avg(length(coalesce(text, ''))), 6) AS mean_chars FROM documents GROUP BY 1")
 def think_stats(spark: SparkSession, d: str) -> DataFrame:
     return Mx.think_stats(table(spark, d, "documents").select(F.col("lang").alias("category"), (F.col("doc_id") % 3 == 0).alias("thinking"), F.coalesce("text", F.lit("")).alias("user")))
+
+
+# Six shapes by doc_id: plain texts, lists, objects, a blank field before the good one, a number for an answer, and a repeated question.
+_SHAPES = r"""WITH t AS (SELECT doc_id, doc_id % 6 AS k, 'Describe document ' || CASE WHEN doc_id % 6 = 5 THEN (doc_id // 60)::VARCHAR ELSE doc_id::VARCHAR END || '.' AS q, coalesce(text, '') AS r, lang AS a FROM documents WHERE trim(coalesce(text, ''), E' \t\n\r') <> ''),
+    f AS (SELECT doc_id, k, q, CASE k WHEN 1 THEN r || chr(10) || 'so' WHEN 2 THEN r ELSE r END AS r, CASE k WHEN 4 THEN NULL ELSE a END AS a, ['instruction', 'question', 'problem', 'prompt', 'question', 'input'][k + 1] AS asked, ['rationale', 'cot', 'reasoning', 'solution', 'thoughts', 'thinking'][k + 1] AS thought FROM t)"""
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").filter(F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\r]"))
+    k, r, a = F.col("doc_id") % 6, F.col("text"), F.col("lang")
+    q = F.concat(F.lit("Describe document "), F.when(k == 5, F.floor(F.col("doc_id") / 60)).otherwise(F.col("doc_id")).cast("string"), F.lit("."))
+    js = lambda *cols: F.to_json(F.struct(F.col("doc_id").alias("id"), *cols))
+    shapes = [
+        js(q.alias("instruction"), r.alias("rationale"), a.alias("answer")),
+        js(q.alias("question"), F.array(r, F.lit("so")).alias("cot"), F.struct(F.lit(1).alias("n"), a.alias("final")).alias("target")),
+        js(F.struct(q.alias("question")).alias("problem"), F.array(F.struct(F.lit("x").alias("role"), r.alias("content"))).alias("reasoning"), a.alias("output")),
+        js(F.lit("  ").alias("prompt"), q.alias("query"), r.alias("solution"), a.alias("gold")),
+        js(q.alias("question"), r.alias("thoughts"), F.lit(7).alias("answer")),
+        js(q.alias("input"), r.alias("thinking"), a.alias("ground_truth")),
+    ]
+    folder = _fresh(spark)
+    lines = t.select(F.coalesce(*[F.when(k == i, s) for i, s in enumerate(shapes)]).alias("value"), "doc_id")
+    lines.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(folder)
+    return X.read_variants(spark, folder)
+
+
+@query(_SHAPES + """, o AS (SELECT *, CASE WHEN a IS NULL THEN 'missing_answer' WHEN row_number() OVER (PARTITION BY q, a IS NULL ORDER BY doc_id) > 1 THEN 'duplicate_question' ELSE 'sound' END AS status FROM f)
+    SELECT doc_id::VARCHAR AS id, q AS question, md5(regexp_replace(r, '[^a-zA-Z]', '', 'g')) AS letters, coalesce(a, '') AS answer, asked, thought, status FROM o""")
+def external_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """What is found in each record, under which names."""
+    rows = X.adapt(_mixed(spark, d))
+    letters = F.md5(F.regexp_replace("reasoning", "[^a-zA-Z]", ""))
+    return rows.select(F.col("original_id").alias("id"), "question", letters.alias("letters"), F.coalesce("answer", F.lit("")).alias("answer"), F.col("fields_used")["question"].alias("asked"), F.col("fields_used")["reasoning"].alias("thought"), F.coalesce("status", F.lit("sound")).alias("status"))
+
+
+@query(_SHAPES + """, g AS (SELECT unnest([['id', 'bigint'], [CASE k WHEN 0 THEN 'instruction' WHEN 2 THEN 'problem' WHEN 3 THEN 'query' WHEN 5 THEN 'input' ELSE 'question' END, CASE k WHEN 2 THEN 'object' ELSE 'string' END], [thought, CASE WHEN k IN (1, 2) THEN 'array' ELSE 'string' END],
+    [['answer', 'target', 'output', 'gold', 'answer', 'ground_truth'][k + 1], CASE k WHEN 1 THEN 'object' WHEN 4 THEN 'bigint' ELSE 'string' END]]) AS x FROM f UNION ALL SELECT ['prompt', 'string'] FROM f WHERE k = 3) SELECT x[1] AS field, x[2] AS kind, count(*) AS n FROM g GROUP BY ALL""")
+def external_field_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that change their type from row to row."""
+    return X.field_kinds(_mixed(spark, d))

@@ -214,3 +214,38 @@ def test_twister_order_is_pythons_shuffle(spark):
     random.Random(7).shuffle(want)
     rows = twister_order(spark.range(50).repartition(5), "id", 7).orderBy("place").collect()
     assert [r.id for r in rows] == want
+
+
+def test_records_of_mixed_shapes(spark, tmp_path):
+    from loomwork.sources import external as X
+
+    why = "To solve this, first recall the fact, then apply it step by step, checking each result before the answer. " * 2
+    records = [
+        {"instruction": "What is twenty plus twenty-two?", "rationale": why, "answer": "42", "id": 7},
+        {"question": "What is the capital city of France?", "cot": [why, {"content": "so"}, {"text": "it is"}, 5, {"x": "y"}], "target": {"note": 1, "final": "Paris"}},
+        {"problem": {"question": "What is five multiplied by six?", "n": 1}, "reasoning": [{"role": "a", "content": why}], "output": "30", "prompt_id": "p3"},
+        {"prompt": "bad", "reasoning": "", "answer": ""},
+        {"question": 5, "input": " What is it? ", "response": why, "gold": 7},
+        {"question": "   ", "query": "What is the capital city of France?", "solution": why, "final": "Paris"},
+        {"source": "Write an essay about the industrial revolution.", "explanation": why, "ground_truth": "essay"},
+        {"question": "What is the meaning of life?", "thoughts": why, "answer": "a " * 200},
+        {"rationale": why, "answer": "x"},
+        {"question": None, "input": [], "answer": {}},
+    ]
+    path = tmp_path / "mixed.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in records) + "\n\n")
+    rows = X.read_variants(spark, str(path))
+    out = X.adapt(rows).orderBy("_ord").collect()
+    assert [r.status for r in out] == [None, None, None, "missing_reasoning", "missing_answer", "duplicate_question", None, None, "missing_question", "missing_question"]
+    assert [r.question for r in out[:3]] == ["What is twenty plus twenty-two?", "What is the capital city of France?", "What is five multiplied by six?"]
+    assert out[1].reasoning == why.strip() + " \nso\nit is" and out[1].answer == "Paris" and out[4].question == "What is it?"
+    assert [r.fields_used["question"] for r in out[:6]] == ["instruction", "question", "problem", "prompt", "input", "question"]
+    assert [r.fields_used["reasoning"] for r in out[:3]] == ["rationale", "cot", "reasoning"] and [r.original_id for r in out[:3]] == ["7", "", "p3"]
+    kept = X.candidates(X.adapt(rows)).collect()
+    assert {r.question.split()[0]: r.reject_reason for r in kept if r.reject_reason} == {"Write": "open_ended", "What": "answer_too_long"} and sum(r.reject_reason is None for r in kept) == 3
+    kinds = {(r.field, r.kind): r.n for r in X.field_kinds(rows).collect()}
+    assert kinds["question", "string"] == 3 and kinds["question", "bigint"] == 1 and kinds["question", "null"] == 1 and kinds["input", "array"] == 1 and kinds["answer", "object"] == 1
+    assert "question: VARIANT" in X.common_schema(rows) and "rationale: STRING" in X.common_schema(rows)
+    path.write_text('{"a":1}\n[1]\nnot json\n')
+    with pytest.raises(ValueError, match="2 lines"):
+        X.read_variants(spark, str(path))
