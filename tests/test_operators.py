@@ -331,3 +331,30 @@ def test_positions_and_run_modes(spark):
         Rg.run_limits("other", {})
     text = Rg.console(a.withColumn("g", F.col("_ord") % 2), "g", "x", samples=1)
     assert text.startswith("0: 3\n    a") and "\n1: 2\n    a" in text and text.count("\n") == 4
+
+
+def test_repeats_of_a_hot_key(spark):
+    """A third of all rows without a prompt, many of one prompt, others in pairs: what a row number by key would give."""
+    from loomwork.operators import validation as V
+
+    r = random.Random(6)
+    rows = [(i, f"{r.randrange(900):08x}", None if i % 3 == 0 else "hot" if i % 3 == 1 else f"p{r.randrange(600)}", "a") for i in range(3000)]
+    df = spark.createDataFrame(rows, "_ord long, id string, prompt string, answer string").repartition(6)
+    seen, want = (set(), set()), {}
+    for i, key, prompt, _ in rows:
+        want[i] = {n for n, s, k in (("duplicate_id", seen[0], key), ("duplicate_prompt", seen[1], prompt)) if k in s}
+        seen[0].add(key)
+        seen[1].add(prompt)
+    got = V.basic_issues(df)
+    assert got.columns == [*df.columns, "issues"]
+    assert {x._ord: {n for n in x.issues if n.startswith("dup")} for x in got.collect()} == want
+    plan = V.repeated(df, "prompt", "_ord", "again")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_all_kinds_of_errors_are_counted(spark):
+    from loomwork.operators import validation as V
+
+    df = spark.createDataFrame([(f"e{i:02d}",) for i in range(25) for _ in range(1 + (i < 5))], "error string")
+    with pytest.raises(ValueError, match="5 other kinds x 5"):
+        V.raise_on(df)
