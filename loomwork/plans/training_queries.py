@@ -18,7 +18,7 @@ from loomwork.operators import select as Se
 from loomwork.operators import token_masks as Tm
 from loomwork.operators.split import shuffle_key
 from loomwork.plans import views as V
-from loomwork.plans.core_queries import CHAT, HASH, chat
+from loomwork.plans.core_queries import CHAT, HASH, TOKENS, chat
 from loomwork.plans.registry import ORACLES, QUERIES, query, table
 from loomwork.sources.files import external_reject_reason
 from loomwork.streaming.validate import windowed_counts
@@ -316,6 +316,42 @@ def solver_steps(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pid", F.posexplode_outer("steps").alias("place", "s")).select("pid", "place", "s.*").filter("step IS NOT NULL")
 
 
+_BUDGET = "CASE task_type " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in R.BUDGET.items()) + f" ELSE {R.BUDGET_ELSE} END"
+_EMITTED = f"""{_STEPS}, w AS (SELECT pid, task_type, a, CASE task_type {' '.join(f"WHEN '{t}' THEN {text}" for t, text in _TRACES[3].items())} END AS trace FROM t),
+    said_ AS (SELECT w.*, p.prompt || chr(10) || chr(10) || 'Return only the final answer. Do not explain.' AS plain_user, p.prompt || chr(10) || chr(10) || 'Think briefly in <think>...</think>, then output only the final answer.' AS user, '<think>' || chr(10) || trace || chr(10) || '</think>' || chr(10) || chr(10) || a AS assistant FROM w JOIN problems p USING (pid)),
+    sent AS (SELECT pid, task_type, 'answer_only' AS sample_type, {TOKENS.format('(plain_user || a)')} AS tokens, 'kept' AS outcome, contains(a, '\\boxed') AS residue FROM said_
+        UNION ALL SELECT pid, task_type, 'compressed_cot', {TOKENS.format('(user || assistant)')}, CASE WHEN {TOKENS.format('(user || assistant)')} > {_BUDGET} THEN 'over_budget' ELSE 'kept' END, contains(assistant, '\\boxed') FROM said_)"""
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """The solved problems of the five tasks that SQL can follow."""
+    return settle(R.reason(_parsed(spark, d).filter("task_type <> 'bit_manipulation'")))
+
+
+@query(_EMITTED + " SELECT task_type, sample_type, outcome, count(*) AS n FROM sent GROUP BY ALL")
+def named_emission(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.emit(_named(spark, d), 3, budget=True)
+    return rows.groupBy("task_type", "sample_type", F.coalesce("skip_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(_EMITTED + ", done AS (SELECT * FROM sent WHERE outcome = 'kept') SELECT sample_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM done), 6)::DOUBLE AS share, 1.0::DOUBLE AS parse_rate, round(avg(tokens), 6) AS mean_tokens, count(*) FILTER (residue) AS residue FROM done GROUP BY 1")
+def named_mixture_report(spark: SparkSession, d: str) -> DataFrame:
+    return R.mixture_report(R.emit(_named(spark, d), 3, budget=True))
+
+
+@query(f"{_STEPS} SELECT task_type, count(*) AS n, count(*) AS n_ok, 0::BIGINT AS n_error, 1.0::DOUBLE AS ok_rate FROM t GROUP BY 1")
+def named_rates(spark: SparkSession, d: str) -> DataFrame:
+    return R.rates(_named(spark, d))
+
+
+@query(f"""{_STEPS}, s AS (SELECT pid, 'coefficient' AS name, c AS value FROM t WHERE c IS NOT NULL UNION ALL SELECT pid, 'predicted', predicted FROM t WHERE c IS NOT NULL UNION ALL SELECT pid, 'value_' || i, vs[i] FROM t, unnest(generate_series(1, len(vs))) u(i) WHERE c IS NOT NULL
+    UNION ALL SELECT pid, 'number', q::DOUBLE FROM t WHERE task_type = 'numeral' UNION ALL SELECT pid, 'symbols', len(symbols)::DOUBLE FROM t WHERE task_type = 'numeral') SELECT pid, name, round(value, 6) AS value FROM s""")
+def intermediates(spark: SparkSession, d: str) -> DataFrame:
+    """Values by name that stand behind an answer."""
+    rows = _named(spark, d).select("pid", F.explode("intermediates").alias("name", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
 def _bit_rules_sql() -> str:
     of = {"Identity": "a", "NOT": "xor(a, ones)", "Constant": "CASE p WHEN 1 THEN ones ELSE 0 END", "AND": "a & b", "OR": "a | b", "XOR": "xor(a, b)", "AND-NOT": "a & xor(b, ones)", "OR-NOT": "a | xor(b, ones)", "XOR-NOT": "xor(a, xor(b, ones))"}
     rules = ", ".join(f"('{f}', {p}, {'NULL' if q is None else q})" for f, p, q in B.RULES)
