@@ -327,12 +327,13 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     drop = settle(every.join(recur, "template").select("template", "first_rk", "n"))
     hit = skew_join(known.select("rk", "template", "at"), drop, "template", "n").filter("rk <> first_rk")
     # Equal rows have the same places: a set holds them once.
-    return hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at"))
+    return settle(hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at")))
 
 
 def rebuilt(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (df's columns as they are), text (without the dropped lines), n_lines (not blank) and n_dropped."""
     gone = recurring(df, min_docs=min_docs, similar=similar, id_col=id_col, text_col=text_col)
+    tidy(df.sparkSession)  # all that led to it goes before texts are shuffled
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     was = F.col("row")[text_col]
     text = F.coalesce(was.cast("string"), F.lit(""))
