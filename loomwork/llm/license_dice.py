@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,6 +127,22 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def alone(found: list[Match]) -> list[Match]:
+    """The matches that no better one overlaps (higher Dice, more words, name, place); a match that goes still outdoes those below it."""
+    starts: list[int] = []  # what the matches so far cover, in pieces that do not overlap
+    ends: list[int] = []
+    out = []
+    for m in sorted(found, key=lambda m: (-m[3], -m[2], m[0], m[1])):
+        a, z = m[1], m[1] + m[2]
+        i = j = bisect_right(ends, a)
+        if j == len(starts) or starts[j] >= z:
+            out.append(m)
+        while j < len(starts) and starts[j] < z:
+            a, z, j = min(a, starts[j]), max(z, ends[j]), j + 1
+        starts[i:j], ends[i:j] = [a], [z]
+    return out
+
+
 class Templates:
     """The templates' bigrams, and which templates each belongs to."""
 
@@ -143,10 +160,10 @@ class Templates:
         self.fewest = [max(1, math.ceil(least * len(s) / (2 - least) - 1e-9)) for s in self.sets]
         self.ids = {w: k for k, w in enumerate(sorted({w for s in self.sets for pair in s for w in pair}))}
         size = len(self.ids) + 1  # the last one stands for all other words
-        self.has = np.zeros((len(self.sets), size * size), dtype=bool)
-        for k, s in enumerate(self.sets):
-            self.has[k, [self.ids[a] * size + self.ids[b] for a, b in s]] = True
-        self.any = self.has.any(axis=0)
+        # Postings: the bigrams' codes, sorted, and the templates of each, one bigram after the other.
+        held = sorted((self.ids[a] * size + self.ids[b], k) for k, s in enumerate(self.sets) for a, b in s)
+        codes, self.owners = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1))
+        self.codes, self.first, self.count = np.unique(codes, return_index=True, return_counts=True)
 
     def find(self, text: str) -> list[Match]:
         """(name, first word, words, Dice) of the matches that no better one overlaps."""
@@ -154,22 +171,23 @@ class Templates:
         other = len(self.ids)
         ids = np.fromiter((self.ids.get(w, other) for w in words), dtype=np.int64, count=len(words))
         pairs = ids[:-1] * (other + 1) + ids[1:]
-        spots = np.flatnonzero(self.any[pairs]) if len(pairs) else pairs
+        at = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
+        spots = np.flatnonzero(self.codes[at] == pairs) if len(self.codes) else at[:0]
         if not len(spots):
             return []
+        code = at[spots]
+        n = self.count[code]
+        owner = self.owners[np.repeat(self.first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.argsort(owner, kind="stable")
+        owner, place = owner[order], np.repeat(spots, n)[order]
         found: list[Match] = []
-        pairs = pairs[spots]
-        for k in range(len(self.sets)):
-            at = spots[self.has[k, pairs]]
-            if len(at) < self.fewest[k]:
-                continue
+        for k in np.flatnonzero(np.bincount(owner, minlength=len(self.sets)) >= self.fewest).tolist():
+            at = place[slice(*np.searchsorted(owner, (k, k + 1)))]
             reach = self.words[k] - 1
             full = at[np.searchsorted(at, at + reach) - np.arange(len(at)) >= self.fewest[k]]
             if len(full):
                 found += self._best(k, words, full.tolist(), reach)
-        better = lambda m: (-m[3], -m[2], m[0], m[1])
-        found.sort(key=better)
-        return [m for i, m in enumerate(found) if not any(o[1] < m[1] + m[2] and m[1] < o[1] + o[2] for o in found[:i])]
+        return alone(found)
 
     def _best(self, k: int, words: list[str], starts: list[int], reach: int) -> list[Match]:
         """The best window of each match of template k, of windows that begin at starts."""

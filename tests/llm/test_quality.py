@@ -274,6 +274,35 @@ def test_licences_wrapped_embedded_and_edited(docs, corpus, nothing, spark):
 # --- shards ---------------------------------------------------------------------------------------
 
 
+def test_matches_that_no_better_one_overlaps():
+    r = random.Random(2)
+    for _ in range(200):
+        found = [(r.choice("ab"), r.randrange(60), r.randrange(1, 12), r.choice([0.8, 0.9, 1.0])) for _ in range(r.randrange(25))]
+        better = sorted(found, key=lambda m: (-m[3], -m[2], m[0], m[1]))
+        want = [m for i, m in enumerate(better) if not any(o[1] < m[1] + m[2] and m[1] < o[1] + o[2] for o in better[:i])]
+        assert license_dice.alone(found) == want
+
+
+def test_a_long_list_of_long_licences():
+    """600 templates of 2500 words out of 10,000, in little memory; each is found in a text, edited."""
+    import tracemalloc
+
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(10_000)]
+    notices = tuple((f"L{k}", " ".join(r.choices(vocabulary, k=2500))) for k in range(600))
+    tracemalloc.start()
+    known = license_dice.Templates(notices, 0.8)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 600 << 20 and known.codes.nbytes + known.owners.nbytes + known.first.nbytes + known.count.nbytes < 80 << 20
+    for k in (0, 17, 599):
+        words = notices[k][1].split()
+        edited = [w if r.random() > 0.02 else "other" for w in words]
+        text = " ".join(r.choices(vocabulary, k=300) + edited + r.choices(vocabulary, k=200))
+        (match,) = known.find(text)
+        assert match[0] == f"L{k}" and abs(match[1] - 300) < 60 and match[3] > 0.9
+
+
 def test_shards_fit_and_split_only_when_needed(docs, corpus, nothing):
     out = ext_hash.shard(docs, byte_limit=3000).collect()
     assert len(out) == len(corpus)
