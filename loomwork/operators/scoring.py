@@ -228,3 +228,11 @@ def top_reasons(df: DataFrame, group: str, reason: str, k: int = 10) -> DataFram
 
     n = df.groupBy(group, reason).agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), reason))).filter(F.col("rank") <= k)
+
+
+def error_samples(classed: DataFrame, k: int = 5, shown: int = 200) -> DataFrame:
+    """The first k wrong rows of each task, in order: what was expected, the final part, and the first characters of what was said."""
+    from loomwork.operators.split import take_per_group
+
+    rows = take_per_group(classed, "task_type", k, "_ord")
+    return rows.select("task_type", F.col("rank").cast("long").alias("rank"), "pid", "error_class", F.col("answer").alias("expected"), "final", F.substring("assistant", 1, shown).alias("said"))

@@ -201,6 +201,12 @@ def error_class_numeric(spark: SparkSession, d: str) -> DataFrame:
     return _classed(spark, d).groupBy("task_type", "error_class").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {V.THINKING}, {_SCORED}, {_CLASSED} SELECT task_type, row_number() OVER (PARTITION BY task_type ORDER BY _ord) AS rank, pid, error_class, answer AS expected, final, substr(assistant, 1, 20) AS said FROM classed QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY _ord) <= 5")
+def error_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Five wrong answers of each task."""
+    return S.error_samples(_classed(spark, d), 5, 20)
+
+
 @query(f"WITH {V.THINKING}, {_SCORED}, {_CLASSED}, c AS (SELECT task_type, error_class, count(*) AS n FROM classed GROUP BY ALL) SELECT task_type, error_class, n, row_number() OVER (PARTITION BY task_type ORDER BY n DESC, error_class)::INT AS rank FROM c QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY n DESC, error_class) <= 2")
 def top_error_classes(spark: SparkSession, d: str) -> DataFrame:
     return S.top_reasons(_classed(spark, d), "task_type", "error_class", 2).withColumn("rank", F.col("rank").cast("int"))
