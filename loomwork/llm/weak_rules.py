@@ -130,10 +130,22 @@ def estimate(votes: DataFrame, names: list[str]) -> tuple[float, Rates]:
     return float(share), {n: (tuple(rates[0, k].tolist()), tuple(rates[1, k].tolist())) for k, n in enumerate(names)}
 
 
-def judge(df: DataFrame, *, keep_from: float = 0.5, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, base_failed, kept and posterior_quality (the posterior, rounded to 6 places) of every row."""
-    names = list(rules())
-    votes = settle(counts(df, id_col=id_col, text_col=text_col)).withColumns({f"vote_{n}": v for n, v in rules().items()})
-    out = votes.withColumn("posterior_quality", F.round(posterior(*estimate(votes, names)), 6))
+def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, Rates]:
+    """The share of good documents and the rules' rates on a corpus, for ``judge`` on this or another one."""
+    return estimate(_votes(df, id_col, text_col), list(rules()))
+
+
+def _votes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return settle(counts(df, id_col=id_col, text_col=text_col)).withColumns({f"vote_{n}": v for n, v in rules().items()})
+
+
+def judge(df: DataFrame, *, keep_from: float = 0.5, least_words: int = 50, fitted: tuple[float, Rates] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts, base_failed, kept and posterior_quality (the posterior, rounded to 6 places) of every row.
+
+    Without a fit, rates are those of df itself, so the verdict is relative to it: what was kept, judged by itself, loses its mildest symptoms again. To judge several tables by one measure, or
+    one table twice, pass the fit of one of them.
+    """
+    votes = _votes(df, id_col, text_col)
+    out = votes.withColumn("posterior_quality", F.round(posterior(*(fitted or estimate(votes, list(rules())))), 6))
     out = out.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior_quality") >= keep_from)).alias("kept"), "posterior_quality")

@@ -139,6 +139,19 @@ def test_defects_are_found_and_one_mild_symptom_is_outvoted(spark):
 # --- language model -------------------------------------------------------------------------------
 
 
+def test_a_fit_judges_again_as_it_did(spark):
+    """What was kept stays kept under the fit of the whole table; one class alone, and empty tables, are judged without failing."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    fitted = weak_rules.fit(df)
+    first = weak_rules.judge(df, fitted=fitted)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, weak_rules.judge(df).collect()))
+    kept = df.join(first.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    assert weak_rules.judge(kept, fitted=fitted).filter("not kept").count() == 0
+    one = spark.createDataFrame([(i, "the same sound words in every text " * 12) for i in range(20)], "doc_id long, text string")
+    assert weak_rules.judge(one).count() == 20
+    assert weak_rules.judge(df.limit(0)).count() == 0 and weak_rules.judge(df.limit(0), fitted=fitted).count() == 0
+
+
 def test_base_scores_against_python(spark, docs, corpus, nothing):
     out = context_mix.score(docs).collect()
     assert len(out) == len(corpus)
