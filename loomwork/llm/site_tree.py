@@ -53,21 +53,23 @@ SALTS = 61
 # Names of HTML elements by what they do, and words that name noise in roles, classes and ids.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("nav footer aside form button select option dialog menu svg canvas audio video object head fieldset datalist applet map".split())
+NOISE_TAGS = frozenset("nav footer aside form dialog menu head fieldset".split())
+#: Noise that stands within a line of text and does not part it.
+NOISE_IN_LINE = frozenset("button select option optgroup datalist svg canvas audio video object applet map".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img meter progress slot input picture".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt body html".split()
 )
-CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "option": ("option",)}
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPE = frozenset("table td th caption button object".split())
 LISTS = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager topbar toolbar masthead header footer sidebar aside rail widget widgets "
-    "ad ads adbox adslot adsense adunit adwrap advert adverts advertisement advertising advertorial banner promo promotion promoted sponsor sponsored outbrain taboola "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager topbar toolbar masthead footer sidebar aside rail widget widgets "
+    "ad ads adbox adslot adsense adsbygoogle adunit adwrap advert adverts advertisement advertising advertorial banner promo promotion promoted sponsor sponsored outbrain taboola "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
     "comment comments commentlist disqus replies respond share sharing social related recommended form search login".split()
 )
@@ -90,9 +92,9 @@ def host_of(url: str | None) -> str:
 
 
 class _Labels(dict):
-    """(tag, attributes) -> label, whether words name noise, whether hidden, whether an article; remembered while few."""
+    """(tag, attributes) -> label, whether words name noise, whether a header, whether hidden, whether an article; remembered while few."""
 
-    def __missing__(self, key: tuple[str, str]) -> tuple[str, bool, bool, bool]:
+    def __missing__(self, key: tuple[str, str]) -> tuple[str, bool, bool, bool, bool]:
         if len(self) > 20_000:
             self.clear()
         tag, text = key
@@ -103,7 +105,8 @@ class _Labels(dict):
         noise = bool(words & NOISE_WORDS) or role in NOISE_ROLES
         hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(got.get("style", "")))
         article = tag in ARTICLE or role in ARTICLE or got.get("itemprop", "").lower() == "articlebody"
-        out = self[key] = (_DIGITS.sub("0", " ".join([tag, *sorted(names.split())])), noise, hidden, article)
+        header = tag == "header" or "header" in words
+        out = self[key] = (_DIGITS.sub("0", " ".join([tag, *sorted(names.split())])), noise, header, hidden, article)
         return out
 
 
@@ -117,8 +120,8 @@ class Page:
         self.parent: list[int] = [-1]
         self.label: list[str] = [""]
         self.tag: list[str] = [""]
-        #: Noise by tag or hidden, noise by names, an article's element.
-        self.dead, self.named, self.article = [False], [False], [False]
+        #: Noise by tag or hidden, noise by names, a header, an article's element.
+        self.dead, self.named, self.header, self.article = [False], [False], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(html)
         self._settle_names()
@@ -193,9 +196,10 @@ class Page:
             if closing:
                 if tag == "a":
                     in_link = False
-                if tag in INLINE:
-                    if muted and muted[-1][0] == tag:
-                        muted.pop()
+                if tag in INLINE or tag in NOISE_IN_LINE:
+                    at_ = next((i for i in range(len(muted) - 1, -1, -1) if muted[i][0] == tag), None)
+                    if at_ is not None:
+                        del muted[at_:]
                     continue
                 if tag == "br":
                     held.append(" ")
@@ -204,7 +208,7 @@ class Page:
                         close_to(k)
                 elif k := find((tag,), ("article", "main", "body") if tag in ("p", "li", "dt", "dd") else ()):
                     close_to(k)
-                else:
+                elif not (muted and muted[-1][0] in NOISE_IN_LINE):
                     flush()
                 continue
             if tag == "br":
@@ -217,14 +221,17 @@ class Page:
                 if not at:
                     break
                 continue
-            if tag in INLINE:
+            if tag in INLINE or tag in NOISE_IN_LINE:
                 if tag == "a":
                     in_link = True
                 if tag not in VOID:
-                    _, noise, hidden, _ = _LABELS[tag, rest] if rest else ("", False, False, False)
-                    if noise or hidden or (muted and muted[-1][0] == tag):
+                    _, noise, _, hidden, _ = _LABELS[tag, rest] if rest else ("", False, False, False, False)
+                    if noise or hidden or tag in NOISE_IN_LINE or (muted and muted[-1][0] == tag):
                         muted.append((tag, len(open_)))
                 continue
+            if muted and muted[-1][0] in NOISE_IN_LINE:
+                # What stands in a button or a drawing is no part of the page's structure.
+                continue
             if tag in CLOSES_P and (k := find(("p",), SCOPE)):
                 close_to(k)
             if tag in HEADINGS and self.tag[open_[-1]] in HEADINGS:
@@ -238,17 +245,18 @@ class Page:
                 close_to(k)
             if tag in VOID:
                 continue
-            label, noise, hidden, article = _LABELS[tag, rest]
-            self._push(open_, tag, label, bool(muted) or hidden or tag in NOISE_TAGS, noise or tag == "header", article)
+            label, noise, header, hidden, article = _LABELS[tag, rest]
+            self._push(open_, tag, label, bool(muted) or hidden or tag in NOISE_TAGS, noise, header, article)
         flush()
 
-    def _push(self, open_: list[int], tag: str, label: str, dead: bool, named: bool, article: bool) -> None:
+    def _push(self, open_: list[int], tag: str, label: str, dead: bool, named: bool, header: bool, article: bool) -> None:
         up = open_[-1]
         self.parent.append(up)
         self.label.append(label)
         self.tag.append(tag)
         self.dead.append(self.dead[up] or dead)
         self.named.append(named)
+        self.header.append(header)
         self.article.append(article)
         open_.append(len(self.parent) - 1)
 
@@ -262,7 +270,7 @@ class Page:
         def marked() -> list[bool]:
             out = [False] * n
             for i in range(1, n):
-                own = self.named[i] and self.tag[i] not in ("html", "body") and not (self.tag[i] in ("header", "hgroup") and inside[self.parent[i]])
+                own = (self.named[i] or (self.header[i] and not inside[self.parent[i]])) and self.tag[i] not in ("html", "body")
                 out[i] = self.dead[i] or out[self.parent[i]] or own
             return out
 
@@ -272,7 +280,7 @@ class Page:
             for i in articles:
                 if not self.named[i]:
                     while i > 0:
-                        self.named[i] = False
+                        self.named[i] = self.header[i] = False
                         i = self.parent[i]
             out = marked()
         self.dead = out

@@ -36,6 +36,8 @@ def text(html):
         ("<article><p class=ad>x<p>y</article>", "y"),
         ("<ul><li><a href=/>Home</a></li></ul><div>A text of its own with a <a>link</a>.</div>", "A text of its own with a link."),
         ('<article><p title="a > b">x</p><p title="open>y</p></article>', "x\ny"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>a <button>b</button>c <svg><text>d</text></svg><select><option>1<option>2</select>e</p></article><div class=page-header>x</div>", "T\na c e"),
+        ("<header class=top><div>Site</div></header><div class=post><p>one<p>two</div><div class=reader-comments><p>hi</div>", "one\ntwo"),
         ("<ARTICLE><P>Upper</P></ARTICLE><textarea>t</textarea><select><option>o</select>", "Upper"),
     ],
 )
