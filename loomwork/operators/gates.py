@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.session import settle
+from loomwork.functions.streams import digests
 from loomwork.operators.split import rank_within
 
 
@@ -24,8 +25,13 @@ def stop_gate(predictions: DataFrame, max_new: int) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, n_bytes and SHA-256 of each file; equal before and after says that the data did not change."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, n_bytes and SHA-256 of each file; equal before and after says that the data did not change.
+
+    Spark lists the files (empty ones it leaves out); each is read as a stream by one task, of whatever size it is.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(n, "path").mapInArrow(digests, "path string, n_bytes long, sha256 string")
 
 
 def hash_trees(df: DataFrame, split: str, line: Column, order: str, *, fanout: int = 1024) -> DataFrame:

@@ -20,21 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.streams import file_system
+
 _QUOTE, _BACK, _COMMA = 34, 92, 44
 _OPEN, _CLOSE, _BLANK = (123, 91), (125, 93), (9, 10, 13, 32)
 RANGE = 32 << 20
 
 
-def _system(path: str):
-    from pyarrow import fs
-
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
-
-
 def _bytes(path: str, start: int, size: int) -> np.ndarray:
-    system, where = _system(path)
+    system, where = file_system(path)
     with system.open_input_file(where) as f:
         return np.frombuffer(f.read_at(size, start), dtype=np.uint8)
 
@@ -117,7 +111,7 @@ def pairs(path: str, start: int, size: int, inside: bool, depth: int, escaped: b
                     yield (*_pair(text), open_at)
                 open_at = -1
             if kind == "close":
-                system, where = _system(path)
+                system, where = file_system(path)
                 if not _blank_after(path, place + 1, system.get_file_info(where).size):
                     raise ValueError("keyed JSON: text after the object")
             if kind == "close" or place >= first:
@@ -165,7 +159,7 @@ def starts(summaries: list[tuple[int, int, int, int]]) -> tuple[list[tuple[bool,
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str, *, range_bytes: int = RANGE, most: int | None = None) -> DataFrame:
     """key, value (by the schema), _ord of one JSON object, its first ``most`` pairs at least where that is given: then no more ranges are read than that takes."""
-    system, where = _system(path)
+    system, where = file_system(path)
     size = system.get_file_info(where).size or 0
     opening = _check_ends(path, size)
     cuts = [(k, at, min(range_bytes, size - at)) for k, at in enumerate(range(0, size, range_bytes))]

@@ -249,3 +249,10 @@ def test_records_of_mixed_shapes(spark, tmp_path):
     path.write_text('{"a":1}\n[1]\nnot json\n')
     with pytest.raises(ValueError, match="2 lines"):
         X.read_variants(spark, str(path))
+
+
+def test_file_digests_are_streamed(spark, tmp_path):
+    for k, n in enumerate((1, 10, 3_000_000)):
+        (tmp_path / f"{k} é.bin").write_bytes(bytes(range(256)) * (n // 256) + b"x" * (n % 256))
+    got = {r.path.rsplit("/", 1)[1][0]: (r.n_bytes, r.sha256) for r in Gt.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {p.name[0]: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
