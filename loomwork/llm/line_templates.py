@@ -29,6 +29,7 @@ the counts then take the first free name with a number.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import skew_join
-from loomwork.llm.textkit import lower_ascii, mix64, pick, release, run_hashes, settle, ship, sub_batches, tidy, token_bounds
+from loomwork.llm.textkit import lower_ascii, mix64, pick, release, run_hashes, settle, shared_dir, ship, sub_batches, tidy, token_bounds
 
 LEAD = 4
 BINS = 32
@@ -49,6 +50,7 @@ SLICE = 2000
 #: Least shingle hashes of a line that tell its edited versions.
 MARKS = 4
 _FIELD = np.uint64(0x2A2A2A2A)
+_FOUND = "rk long, doc_id long, sid long, line long, leaf long, at array<int>, tokens binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,7 +144,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for b in sub_batches(batches, 1 << 20):
             yield _parsed(b)
 
-    return docs.mapInArrow(run, "rk long, doc_id long, sid long, line long, leaf long, at array<int>, tokens binary")
+    return docs.mapInArrow(run, _FOUND)
 
 
 class Leaf:
@@ -293,7 +295,10 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     """rk, at: the places of lines to drop, a row for each document (by row_key of id and text) that loses any."""
     spark = ship(df.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(occurrences(pick(df, id_col, text_col).select(row_key().alias("rk"), "doc_id", "text")))
+    # Written as columns, which take half of the room that settled rows do and are read one by one; it goes when this is done.
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    occurrences(pick(df, id_col, text_col).select(row_key().alias("rk"), "doc_id", "text")).write.option("compression", "zstd").parquet(folder)
+    found = spark.read.schema(_FOUND).parquet(folder)
     marks = found.filter("line is null").select("sid", F.col("tokens").alias("mark"))
     found = found.filter("line is not null")
     # One occurrence of each line: copies are gone before lines meet by leaf.
@@ -327,7 +332,10 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     drop = settle(every.join(recur, "template").select("template", "first_rk", "n"))
     hit = skew_join(known.select("rk", "template", "at"), drop, "template", "n").filter("rk <> first_rk")
     # Equal rows have the same places: a set holds them once.
-    return settle(hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at")))
+    out = settle(hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at")))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 def rebuilt(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
