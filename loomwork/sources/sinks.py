@@ -44,6 +44,38 @@ def raw_copy(spark, source: str, folder: str) -> str:
     return target.toString()
 
 
+def output_folder(spark: SparkSession, folder: str, resume: str | None = None) -> str:
+    """A folder to write to: a new one is made, one that is there is refused, unless work goes on from a folder inside of it. On any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(path(folder))
+    if not fs.exists(whole):
+        if resume is not None:
+            raise FileNotFoundError(f"cannot go on: {folder} does not exist")
+        fs.mkdirs(whole)
+        return whole.toString()
+    if resume is None:
+        raise FileExistsError(f"{folder} exists")
+    inside = fs.makeQualified(path(resume))
+    above = inside
+    while above is not None and above.toString() != whole.toString():
+        above = above.getParent()
+    if above is None:
+        raise ValueError(f"{resume} is not inside of {folder}")
+    if not fs.exists(inside) or not fs.getFileStatus(inside).isDirectory():
+        raise FileNotFoundError(f"{resume} is no folder")
+    return whole.toString()
+
+
+def open_split(split: str, allow_test: bool = False) -> str:
+    """The name of a split that may be evaluated: validation, or test where that is said outright."""
+    if split not in ("validation", "test"):
+        raise ValueError("an evaluation takes the validation or the test split")
+    if split == "test" and not allow_test:
+        raise ValueError("the test split is protected; allow it outright")
+    return split
+
+
 def write_debug_traces(solved: DataFrame, folder: str, columns: tuple[str, ...] = ("pid", "task_type", "rule", "error")) -> None:
     """What the solvers said, beside the training rows and never among them."""
     write_jsonl(solved, f"{folder}/debug/raw_traces", columns, columns[0])

@@ -256,3 +256,24 @@ def test_file_digests_are_streamed(spark, tmp_path):
         (tmp_path / f"{k} é.bin").write_bytes(bytes(range(256)) * (n // 256) + b"x" * (n % 256))
     got = {r.path.rsplit("/", 1)[1][0]: (r.n_bytes, r.sha256) for r in Gt.file_digests(spark, str(tmp_path)).collect()}
     assert got == {p.name[0]: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+
+
+def test_output_folders_and_protected_splits(spark, tmp_path):
+    from loomwork.sources import sinks
+
+    run = tmp_path / "run"
+    with pytest.raises(FileNotFoundError, match="does not exist"):
+        sinks.output_folder(spark, str(run), str(run / "step-1"))
+    assert sinks.output_folder(spark, str(run)).endswith("/run") and run.is_dir()
+    with pytest.raises(FileExistsError):
+        sinks.output_folder(spark, str(run))
+    with pytest.raises(ValueError, match="not inside"):
+        sinks.output_folder(spark, str(run), str(tmp_path / "run-2"))
+    with pytest.raises(FileNotFoundError, match="no folder"):
+        sinks.output_folder(spark, str(run), str(run / "step-1"))
+    (run / "step-1").mkdir()
+    assert sinks.output_folder(spark, str(run), str(run / "step-1")).endswith("/run")
+    assert sinks.open_split("validation") == "validation" and sinks.open_split("test", True) == "test"
+    for args in (("train",), ("test",)):
+        with pytest.raises(ValueError):
+            sinks.open_split(*args)
