@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,23 +91,38 @@ def tokenizer_of(path: str):
     return t
 
 
+#: Bytes of text that the tokenizer sees at once: what it returns for a token is some hundred bytes.
+MOST_BYTES = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about most_bytes of text, or of one row that is longer."""
+    upto = np.cumsum(pc.binary_length(batch.column("__t")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_bytes, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, given: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns given, input_ids, mask and end_id of rows with a text (__t) and the first and end of each span (__a, __z)."""
+    t = tokenizer_of(path)
+    end_id = t.token_to_id(END)
+    for b in (x for batch in batches for x in _slices(batch, MOST_BYTES)):
+        texts, starts, ends = (b.column(c).to_pylist() for c in ("__t", "__a", "__z"))
+        ids, masks = [], []
+        for e, a, z in zip(t.encode_batch(texts, add_special_tokens=False), starts, ends, strict=True):
+            offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+            ids.append(np.array(e.ids, dtype=np.int32))
+            masks.append(covered(offsets[:, 0], offsets[:, 1], np.array(a, dtype=np.int64), np.array(z, dtype=np.int64)))
+        kept = [b.column(c) for c in given]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int32())), pa.array([end_id] * len(ids), pa.int32())], names=[*given, "input_ids", "mask", "end_id"])
+
+
 def tokenized(df: DataFrame, path: str, messages: str = "messages") -> DataFrame:
     """df with input_ids, mask (1 where a token is generated) and end_id; df's own columns pass through."""
     new = T.StructType([T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType())), T.StructField("end_id", T.IntegerType())])
     given = df.columns
     shown = df.withColumn("__r", rendered(messages)).withColumns({"__t": F.coalesce("__r.text", F.lit("")), "__a": F.coalesce("__r.spans.start", F.array().cast("array<int>")), "__z": F.coalesce("__r.spans.end", F.array().cast("array<int>"))}).drop("__r")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer_of(path)
-        end_id = t.token_to_id(END)
-        for b in batches:
-            texts, starts, ends = (b.column(c).to_pylist() for c in ("__t", "__a", "__z"))
-            ids, masks = [], []
-            for e, a, z in zip(t.encode_batch(texts, add_special_tokens=False), starts, ends, strict=True):
-                offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-                ids.append(e.ids)
-                masks.append(covered(offsets[:, 0], offsets[:, 1], np.array(a, dtype=np.int64), np.array(z, dtype=np.int64)).tolist())
-            kept = [b.column(c) for c in given]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int32())), pa.array([end_id] * len(ids), pa.int32())], names=[*given, *new.names])
-
-    return shown.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+    return shown.mapInArrow(lambda batches: encoded(batches, path, given), T.StructType([*df.schema.fields, *new.fields]))

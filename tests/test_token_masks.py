@@ -79,6 +79,34 @@ def test_audit_of_real_tokens(spark, path):
     assert out[1].truncated and out[1].exclusion_reason == "sequence_exceeds_max_length" and out[1].original_spans == 2
 
 
+def test_the_tokenizer_sees_few_bytes_at_once(spark, path, monkeypatch):
+    """A batch of many or long chats goes to the tokenizer in slices of about MOST_BYTES, and gives the same rows."""
+    sizes, real = [], Tm.tokenizer_of
+
+    class Seen:
+        def __init__(self, p):
+            self.t = real(p)
+
+        def token_to_id(self, m):
+            return self.t.token_to_id(m)
+
+        def encode_batch(self, texts, **k):
+            sizes.append([len(x.encode()) for x in texts])
+            return self.t.encode_batch(texts, **k)
+
+    chats = [[("user", "word " * (7 * k)), ("assistant", "an answer " * k)] for k in range(60)] + [None, [("user", "long " * 3000)]]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(chats)], f"id int, messages {MSG}").coalesce(1)
+    want = sorted(map(tuple, Tm.tokenized(rows, path).select("id", "input_ids", "mask").collect()))
+    shown = rows.withColumn("r", Tm.rendered()).select("id", F.coalesce("r.text", F.lit("")).alias("__t"), F.coalesce("r.spans.start", F.array().cast("array<int>")).alias("__a"), F.coalesce("r.spans.end", F.array().cast("array<int>")).alias("__z"))
+    monkeypatch.setattr(Tm, "tokenizer_of", Seen)
+    monkeypatch.setattr(Tm, "MOST_BYTES", 4000)
+    got = []
+    for b in Tm.encoded(iter(shown.toArrow().combine_chunks().to_batches()), path, ["id"]):
+        got += zip(*(b.column(c).to_pylist() for c in ("id", "input_ids", "mask")), strict=True)
+    assert sorted(got) == want and len(sizes) > 5
+    assert all(sum(x) <= 4000 or len(x) == 1 for x in sizes)
+
+
 # Ids, masks and what an audit must say of them; 99 ends an answer.
 @pytest.mark.parametrize(
     ("ids", "mask", "most", "labels", "want"),
