@@ -9,8 +9,9 @@ for a chance of 0.8**64, and pairs with an equal minimum become candidates. A ca
 all shingles of the document. Items of fewer than five shingles have none of this: a document with any of their shingles
 is a candidate. Nothing caps candidates.
 
-Items come to the executors in groups of at most ``group`` (a bound on what is broadcast), one group after the
-other against all documents (a pass for every half group of items, each some 1.5 kilobytes in a worker); documents are never shuffled.
+Items come in groups of at most ``group``, one group after the other against all documents (a pass for every half group of items, each
+some 4 kilobytes in a worker); documents are never shuffled. Tasks make a group's index and write it to the shared folder, workers read it there, so the
+driver holds no item. The ``decontam-*`` folder stays, as the result is read when it is asked for.
 
 Nulls: null texts are empty; an item without words is in no document; null ids stay null. An item of fewer
 than five words is one shingle of its own length, found where a document has that run of words. Repeated
@@ -19,7 +20,9 @@ rows give repeated results. Empty tables give no rows.
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.textkit import pick, release, shingle_hashes, ship, sub_batches, word_hashes
+from loomwork.llm.sstable import open_fs
+from loomwork.llm.textkit import HELD, pick, release, shared_dir, shingle_hashes, ship, sub_batches, word_hashes
 
 _WORDS = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
@@ -140,21 +144,57 @@ class Items:
                             yield i, k, 1, 1
 
 
+def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int, containment: float, hashes: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (part, item, text) sorted by part: the index of each part as a file. A repeated task writes the same file once more."""
+    system, root = open_fs(folder)
+    system.create_dir(root, recursive=True)
+    now, rows = None, []
+
+    def publish() -> pa.RecordBatch:
+        own = f"{root}/{now}-{uuid.uuid4().hex}.tmp"
+        with system.open_output_stream(own) as sink:
+            pickle.dump(Items(rows, width, containment, hashes), sink, protocol=5)
+        system.move(own, f"{root}/{now}")
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["part"])
+
+    release()
+    for b in batches:
+        for part, item, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if part != now and rows:
+                yield publish()
+                rows = []
+            now = part
+            rows.append((item, text))
+    if rows:
+        yield publish()
+
+
+def _read(path: str) -> Items:
+    """The index of a file; a worker keeps one at a time."""
+    index = HELD.get(path)
+    release()
+    if index is None:
+        system, where = open_fs(path)
+        with system.open_input_stream(where) as source:
+            index = pickle.load(source)
+    HELD[path] = index
+    return index
+
+
 def find(df: DataFrame, items: DataFrame, *, width: int = 5, containment: float = 0.8, hashes: int = 64, group: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, n_shingles, n_found, containment."""
     spark = ship(df.sparkSession)
     bench = pick(items, item_id, item_text)
-    n = bench.count()
-    rounds = max(1, -(-n // (group // 2)))
-    out = None
-    for r in range(rounds):
-        part = bench if rounds == 1 else bench.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r)
-        rows = [tuple(x) for x in part.orderBy("doc_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Items(rows, width, containment, hashes))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
-            index = shared.value
+    rounds = max(1, -(-bench.count() // (group // 2)))
+    folder = f"{shared_dir(spark)}/decontam-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int").alias("part")
+    dealt = bench.select(part, "doc_id", "text").repartition(rounds, "part").sortWithinPartitions("part", "doc_id", "text")
+    present = sorted(x.part for x in dealt.mapInArrow(lambda x: _write(x, folder, width, containment, hashes), "part int").collect())
+    out = spark.createDataFrame([], SCHEMA)
+    for r in present:
+
+        def run(batches: Iterator[pa.RecordBatch], path=f"{folder}/{r}") -> Iterator[pa.RecordBatch]:
+            index = _read(path)
             for b in sub_batches(batches, 4 << 20):
                 ids = b.column(0).to_pylist()
                 found = [(ids[i], index.ids[k], q, n, n / q) for i, k, q, n in index.search(b.column(1).to_pylist())]
@@ -162,6 +202,5 @@ def find(df: DataFrame, items: DataFrame, *, width: int = 5, containment: float
                     types = [pa.int64()] * 4 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        found = pick(df, id_col, text_col).mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(pick(df, id_col, text_col).mapInArrow(run, SCHEMA))
     return out

@@ -79,12 +79,15 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+#: What a worker has read from the shared folder and may need again.
+HELD: dict[str, object] = {}
 
 
 def release() -> None:
     """Workers are reused: one that begins other work gives back what it remembered."""
     Encoder.release()
     _HASHES.clear()
+    HELD.clear()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -163,3 +163,17 @@ def test_items_against_brute_force(spark, docs, corpus):
     few = decontam.find(docs, bench, group=8).select("doc_id", "item_id").collect()
     assert sorted(map(key, few)) == sorted(key((x.doc_id, x.item_id)) for x in got)
     assert docs.filter(F.col("doc_id") == 300).count() == 1
+
+
+def test_no_item_passes_through_the_driver(spark, docs, corpus, monkeypatch):
+    """Indexes are made and kept in the cluster: the driver makes none, and gets a number a group."""
+    items = [(k, " ".join(dict(corpus)[300].split()[9 * k : 9 * k + 30])) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+
+    def never(*a, **k):
+        raise AssertionError("the driver makes an index or broadcasts it")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", never)
+    monkeypatch.setattr(type(bench), "orderBy", never)
+    got = decontam.find(docs, bench, group=16).collect()
+    assert sorted(map(key, [(x.doc_id, x.item_id, x.n_shingles, x.n_found) for x in got])) == sorted(map(key, slow_find(corpus, items)))
