@@ -16,6 +16,7 @@ from loomwork.functions.grammar import WORD_LIST
 from loomwork.functions.solvers import solve_many
 from loomwork.operators import long_traces as Lt
 from loomwork.operators import reason as R
+from loomwork.plans import arithmetic_queries
 from tests import models as M
 
 EXAMPLES = "examples array<struct<input_value:string,output_value:string>>"
@@ -206,6 +207,28 @@ def test_products_and_quotients_of_any_length(spark):
     assert [x.p is None for x in none.select(L.product("a", "b").alias("p")).collect()] == [False, False, False, False, True, True, True]
 
 
+def written(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet"))
+
+
+def test_copies_of_order_lines_add_little_to_the_quotients_disk(spark, tmp_path):
+    def quotients(copies):
+        line, d = F.col("id") % 1500, tmp_path / str(copies)
+        rows = spark.range(0, 1500 * copies, 1, 1).select(
+            F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), ((line * 7919 * 7919) % 10_000_000 / 100 + 900).alias("l_extendedprice"), (line % 50 + 1).cast("double").alias("l_quantity"), (line % 11 / 100).alias("l_discount")
+        )
+        rows.unionByName(rows.limit(1).withColumns({"l_orderkey": F.lit(-1).cast("bigint"), "l_extendedprice": F.lit(None).cast("double")})).write.parquet(f"{d}/lineitem.parquet")
+        return arithmetic_queries.long_quotients(spark, str(d))
+
+    one, eight = written(quotients(1), tmp_path / "one"), written(quotients(8), tmp_path / "eight")
+    rows = spark.read.parquet(str(tmp_path / "eight")).collect()
+    assert sorted(x.l_orderkey for x in rows) == list(range(-1, 12_000))
+    for x in rows:
+        assert (x.a, x.b, x.result, x.lines) == (None,) * 4 if x.l_orderkey < 0 else (x.result, x.lines.split("\n")) == model_quotient(x.a, x.b)
+    assert eight < 3 * one
+
+
 def cut(t):
     return re.sub(r"(\.\d{3})\d+$", r"\1", t)
 
