@@ -12,6 +12,15 @@ HOT_SHARE = 1000
 LINKS, LEAST = 50_000, 8
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides, whatever size Spark takes it for.
+
+    Spark broadcasts what it sizes under ``spark.sql.autoBroadcastJoinThreshold``, by estimates that leave out what an explode or a function adds, or by the compressed
+    bytes of a shuffle; the driver holds it several times as large. Only tables with a bound of their own are broadcast, and say so.
+    """
+    return df.hint("merge")
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
     """Joins many rows of ``left`` to the one row a key of ``right``, whose ``count`` says how many rows of left it meets.
 
@@ -22,9 +31,9 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, how: str
     least = max(2, -(-total // HOT_SHARE))
     hot, cold = right.filter(F.col(count) >= least).drop(count), right.filter(F.col(count) < least).drop(count)
     if not hot.head(1):
-        return left.join(right.drop(count), key, how)
+        return left.join(shuffled(right.drop(count)), key, how)
     met = left.join(F.broadcast(hot), key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(shuffled(cold), key, how)
     return met.unionByName(rest)
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.components import skew_join
+from loomwork.llm.components import shuffled, skew_join
 from loomwork.llm.textkit import lower_ascii, mix64, pick, release, run_hashes, settle, shared_dir, ship, sub_batches, tidy, token_bounds
 
 LEAD = 4
@@ -281,14 +281,14 @@ def _strangers(known: DataFrame, found: DataFrame, wanted: DataFrame, lines: Dat
     held = skew_join(known.select("rk", "line", "template"), doubtful, "template", "n")
     docs = settle(held.select("rk").distinct())
     # Lines of five words or more that these documents have beside the shared ones.
-    shared = known.select("rk", "line").join(docs, "rk", "left_semi")
-    own = found.filter("tokens IS NOT NULL").select("rk", "line").join(docs, "rk", "left_semi").join(shared, ["rk", "line"], "left_anti")
+    shared = known.select("rk", "line").join(shuffled(docs), "rk", "left_semi")
+    own = found.filter("tokens IS NOT NULL").select("rk", "line").join(shuffled(docs), "rk", "left_semi").join(shuffled(shared), ["rk", "line"], "left_anti")
     own = settle(own.distinct())
     tokens = lines.filter("tokens IS NOT NULL").groupBy("line").agg(F.min("tokens").alias("tokens"))
-    marks = line_marks(tokens.join(wanted.select("line"), "line", "left_semi")).select("mark").distinct()
-    edited = line_marks(tokens.join(own.select("line").distinct(), "line", "left_semi")).join(marks, "mark", "left_semi").select("line").distinct()
-    told = own.join(edited, "line", "left_anti").groupBy("rk").agg(F.min("line").alias("own"))
-    return held.join(told, "rk").select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template")
+    marks = line_marks(tokens.join(shuffled(wanted.select("line")), "line", "left_semi")).select("mark").distinct()
+    edited = line_marks(tokens.join(shuffled(own.select("line").distinct()), "line", "left_semi")).join(shuffled(marks), "mark", "left_semi").select("line").distinct()
+    told = own.join(shuffled(edited), "line", "left_anti").groupBy("rk").agg(F.min("line").alias("own"))
+    return held.join(shuffled(told), "rk").select("template", "own").distinct().groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template")
 
 
 def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,12 +304,12 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     # One occurrence of each line: copies are gone before lines meet by leaf.
     lines = settle(found.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min("tokens").alias("tokens")))
     busy = lines.filter("leaf is not null").groupBy("leaf").agg(F.count("*").alias("m")).filter("m > 1").select("leaf")
-    ordered = lines.join(busy, "leaf", "left_semi").select("leaf", "line", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "line")
+    ordered = lines.join(shuffled(busy), "leaf", "left_semi").select("leaf", "line", "tokens").repartition(n, "leaf").sortWithinPartitions("leaf", "line")
     moved = settle(ordered.mapInArrow(_parse(similar), "line long, template long"))
     # Lines of templates that so many rows hold.
-    named = lines.groupBy("line").agg(F.sum("n").alias("n")).join(moved, "line", "left").withColumn("template", F.coalesce("template", "line"))
+    named = lines.groupBy("line").agg(F.sum("n").alias("n")).join(shuffled(moved), "line", "left").withColumn("template", F.coalesce("template", "line"))
     often = named.groupBy("template").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select("template")
-    wanted = settle(named.join(often, "template").select("line", "template", "n"))
+    wanted = settle(named.join(shuffled(often), "template").select("line", "template", "n"))
     known = settle(skew_join(found.select("rk", "doc_id", "sid", "line", "at"), wanted, "line", "n"))
 
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "rk")
@@ -319,17 +319,17 @@ def recurring(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col:
     several = every.filter(F.col("m") >= min_docs)
     slices = F.greatest(F.lit(1), F.ceil(F.col("m") / SLICE))
     rows = skew_join(per.select("template", "sid"), several.select("template", "m", slices.alias("slices")), "template", "m")
-    rows = rows.select("template", F.expr("pmod(sid, slices)").alias("slice"), "sid").join(marks.groupBy("sid").agg(F.min("mark").alias("mark")), "sid")
+    rows = rows.select("template", F.expr("pmod(sid, slices)").alias("slice"), "sid").join(shuffled(marks.groupBy("sid").agg(F.min("mark").alias("mark"))), "sid")
     schema = "template long, slice long, sid long, mark binary"
     taken = rows.select("template", "slice", "sid", "mark").repartition(n, "template", "slice").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
     taken = taken.select("template", F.lit(0).cast("long").alias("slice"), "sid", "mark").repartition(n, "template").sortWithinPartitions("template", "slice", "sid").mapInArrow(_unlike(min_docs), schema)
     recur = settle(taken.groupBy("template").agg(F.count("*").alias("k")).filter(F.col("k") >= min_docs).select("template"))
-    doubtful = settle(every.filter(F.col("n") >= min_docs).join(recur, "template", "left_anti").select("template", "n"))
+    doubtful = settle(every.filter(F.col("n") >= min_docs).join(shuffled(recur), "template", "left_anti").select("template", "n"))
     tidy(spark)
     if doubtful.head(1):
         recur = settle(recur.unionByName(_strangers(known, found, wanted, lines, doubtful, min_docs)))
         tidy(spark)
-    drop = settle(every.join(recur, "template").select("template", "first_rk", "n"))
+    drop = settle(every.join(shuffled(recur), "template").select("template", "first_rk", "n"))
     hit = skew_join(known.select("rk", "template", "at"), drop, "template", "n").filter("rk <> first_rk")
     # Equal rows have the same places: a set holds them once.
     out = settle(hit.groupBy("rk").agg(F.flatten(F.collect_set("at")).alias("at")))
@@ -345,7 +345,7 @@ def rebuilt(df: DataFrame, *, min_docs: int = 3, similar: float = 0.8, id_col: s
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     was = F.col("row")[text_col]
     text = F.coalesce(was.cast("string"), F.lit(""))
-    met = rows.withColumn("rk", row_key(F.col("row")[id_col].cast("long"), text)).join(gone, "rk", "left").withColumn("lines", F.split(text, "\n"))
+    met = rows.withColumn("rk", row_key(F.col("row")[id_col].cast("long"), text)).join(shuffled(gone), "rk", "left").withColumn("lines", F.split(text, "\n"))
     left = F.array_join(F.expr("transform(array_except(sequence(0, size(lines) - 1), at), i -> lines[i])"), "\n")
     counted = F.size(F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     return met.select("row", F.when(F.col("at").isNull(), was).otherwise(left).alias("text"), counted.alias("n_lines"), F.coalesce(F.when(F.col("at").isNotNull(), F.size("at")), F.lit(0)).cast("long").alias("n_dropped"))

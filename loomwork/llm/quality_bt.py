@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.components import shuffled
 from loomwork.llm.textkit import pick, release, settle, ship, sub_batches
 
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "wide": range(128, 256), "mark": b"#*$%&|<>", "bar": b"|", "bang": b"!?", "stop": b".", "comma": b",;:", "other": b"\"'()-/=@[]^_`{}~+\\", "control": [*range(9), *range(14, 32), 127]}
@@ -135,7 +136,7 @@ def score_rows(df: DataFrame, labels: DataFrame, *, label: str = "quality", fold
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).dropna().filter(~held("doc_id"))
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     once = x.groupBy("doc_id").agg(F.min("x").alias("x"))
-    labelled = settle(once.join(known, "doc_id"))
+    labelled = settle(once.join(shuffled(known), "doc_id"))
     # Ids below a hash threshold: tasks send what stays, not a sorted head each.
     n, place = labelled.count(), F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
     few = labelled if n <= max_rows else labelled.filter(place < int((1 << 32) * 0.98 * max_rows / n))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.components import components, skew_join, with_roots
+from loomwork.llm.components import components, shuffled, skew_join, with_roots
 from loomwork.llm.textkit import ascii_words, pick, release, settle, ship, sub_batches
 
 TILE = 1024
@@ -200,7 +200,7 @@ def near_duplicates(df: DataFrame, *, width: int = 3, seed: int = 42, radius: in
     docs = settle(fingerprints(df, width=width, seed=seed, id_col=id_col, text_col=text_col))
     reps = settle(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = with_roots(components(links(reps.select("fp"), radius)))
-    known = settle(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    known = settle(reps.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
     table = settle(skew_join(known, settle(least), "root", "m").select("fp", "component_id", "n"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))

@@ -1,7 +1,10 @@
 import random
+import re
 
 import corpus_pipeline
 import pytest
+from loomwork.functions import session
+from loomwork.llm import components, line_templates, near_copies, pipeline, quality_bt
 from loomwork.llm.textkit import Encoder, default_tokenizer
 from tests.llm.test_duplicates import slow_classes, slow_find
 
@@ -57,3 +60,25 @@ def test_stages_against_brute_force(spark, tables):
         got[p.doc_id] = got.get(p.doc_id, 0) + p.length
         assert p.offset + p.length <= 2048 and p.doc_tokens == length[p.doc_id]
     assert got == length
+
+
+def test_no_join_leaves_to_spark_what_is_broadcast(spark, tables, monkeypatch):
+    """Of estimates and compressed bytes Spark broadcasts tables that fill the driver; each join says which kind it is, and what is broadcast has a bound."""
+    d, rows, *_ = tables
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    for module in (components, line_templates, near_copies, pipeline, quality_bt):
+        monkeypatch.setattr(module, "settle", lambda df: session.settle(seen(df)), raising=False)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    # near copies in addition, and a template that only equal texts beside it hold
+    more = [(700 + i, rows[k][1] + " and more", "en", "src0", 1) for i, k in enumerate((3, 4, 5))]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen(stage(spark, docs, d)).count()
+    joins = [x.strip() for p in plans for x in p.split("\n") if re.search(r"\bJoin\b", x)]
+    assert len(joins) > 30
+    assert [x for x in joins if "strategy=" not in x] == []
