@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -229,6 +230,37 @@ def test_copies_of_order_lines_add_little_to_the_quotients_disk(spark, tmp_path)
     assert eight < 3 * one
 
 
+def order_lines(spark, rows, d):
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{d}/lineitem.parquet")
+    return arithmetic_queries.long_quotients(spark, str(d))
+
+
+def test_quotients_of_short_numbers_are_those_of_texts(spark, tmp_path):
+    """Prices from nothing to over 64 bits, below nothing and unknown; whole parts of up to 200 and so beyond LINES."""
+    r = random.Random(8)
+    prices = [0.0, 0.01, 0.02, 0.09, 1.0, 9.99, 900.0, 104949.5, 1e12, 999999999999999.0, 1e16, 9e16, -0.01, -3.5, None, *(r.randrange(1, 10**7) / 100 for _ in range(150))]
+    rows = [(i, 1, p, r.choice([0.0, 1.0, 2.0, 49.0, 50.0, 63.0, 64.0, 65.0, 200.0]), r.randrange(11) / 100) for i, p in enumerate(prices)]
+    shown = order_lines(spark, rows, tmp_path).collect()
+    texts = spark.createDataFrame([(x.l_orderkey, x.a, x.b) for x in shown], "k bigint, a string, b string").withColumn("q", L.quotient("a", "b")).withColumn("l", L.quotient_lines(F.col("q")))
+    want = {x.k: (x.result, x.n, x.lines) for x in texts.select("k", "q.result", F.size("l").alias("n"), F.array_join("l", "\n").alias("lines")).collect()}
+    assert len(shown) == len(rows) and {x.l_orderkey: (x.result, x.n_lines, x.lines) for x in shown} == want
+    assert max(x.n_lines or 0 for x in shown) > L.LINES + 40 and sum(x.result is None for x in shown) == 3
+    assert all((x.result, x.lines.split("\n")) == model_quotient(x.a, x.b) for x in shown if x.result)
+
+
+def test_quotients_of_short_numbers_take_less_than_half_the_time_of_texts(spark, tmp_path):
+    fast = order_lines(spark, [(i, 1, 900 + i * 7919 % 100_000 + i % 100 / 100, i % 50 + 1.0, i % 11 / 100) for i in range(8_000)], tmp_path)
+    slow = fast.select("a", "b").withColumn("q", L.quotient("a", "b")).withColumn("l", L.quotient_lines(F.col("q"))).select("q.result", F.array_join("l", "\n").alias("lines"))
+
+    def seconds(df):
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    assert all(seconds(df) for df in (slow, fast, fast))  # compiled
+    assert 2 * min(seconds(fast) for _ in range(3)) < min(seconds(slow) for _ in range(2))
+
+
 def cut(t):
     return re.sub(r"(\.\d{3})\d+$", r"\1", t)
 
